@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, secret_scan
+from loomspark.session import ship
+
+from . import bpe, mixing, secret_scan, token_counts, topk
 from .common import Workspace, table
 
 
@@ -13,9 +16,29 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, Workspace(spark))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op10_secret_scan)}
+def _shipped(f):
+    return lambda spark, sf_dir: f(ship(spark), sf_dir)
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (op3_source_mix, op5_bpe_round_trip, op7_exact_top_k, op9_token_counts, op10_secret_scan)}
 ORACLE: dict[str, str] = {}
