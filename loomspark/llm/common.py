@@ -6,6 +6,7 @@ clash with ours, in any case. Missing columns raise at once.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these six characters.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-_TO_SPACE = {ord(c): " " for c in SPACES[1:]}
+_WORDS = re.compile(WORD_PATTERN).findall
+#: Blanks at which str.split() would split as well.
+_OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 #: Aim for this many characters of text in one numpy working set.
 CHUNK_CHARS = 2_000_000
@@ -36,8 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def words(text: str) -> list[str]:
-    """Words of a text; str.split() alone would also split at Unicode spaces."""
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w]
+    return _WORDS(text) if _OTHER_BLANK(text) else text.split()
 
 
 def chunks(ids: list, texts: list, size: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str]]]:

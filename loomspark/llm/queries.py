@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from loomspark.session import ship
 
-from . import bpe, mixing, secret_scan, token_counts, topk
+from . import bpe, fingerprints, mixing, secret_scan, token_counts, topk, toxicity
 from .common import Workspace, table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), Workspace(spark))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -22,6 +26,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str | None
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_neighbours(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, Workspace(spark))
 
@@ -40,5 +48,5 @@ def _shipped(f):
     return lambda spark, sf_dir: f(ship(spark), sf_dir)
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op3_source_mix, op5_bpe_round_trip, op7_exact_top_k, op9_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: _shipped(f) for f in (op2_toxicity, op3_source_mix, op5_bpe_round_trip, op6_fingerprints, op7_exact_top_k, op9_token_counts, op10_secret_scan)}
 ORACLE: dict[str, str] = {}
