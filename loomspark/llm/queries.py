@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.session import ship
 
-from . import bpe, fingerprints, mixing, secret_scan, token_counts, topk, toxicity
+from . import bpe, fingerprints, mixing, secret_scan, substring, token_counts, topk, toxicity
 from .common import Workspace, table
 
 
@@ -20,6 +20,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -48,5 +52,5 @@ def _shipped(f):
     return lambda spark, sf_dir: f(ship(spark), sf_dir)
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op2_toxicity, op3_source_mix, op5_bpe_round_trip, op6_fingerprints, op7_exact_top_k, op9_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: _shipped(f) for f in (op2_toxicity, op3_source_mix, op4_substring_dedup, op5_bpe_round_trip, op6_fingerprints, op7_exact_top_k, op9_token_counts, op10_secret_scan)}
 ORACLE: dict[str, str] = {}

@@ -150,7 +150,7 @@ def fit_curve(evidence: np.ndarray, label: np.ndarray, steps: int = 60) -> tuple
         return 0.0, (50.0 if len(label) and label[0] else -50.0)
     x = np.stack([evidence, np.ones(len(evidence))], 1)
     w = np.zeros(2)
-    balance = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
+    balance = np.ones(len(label))
     ridge = np.diag([1e-3, 1e-6]) * len(label) * 1e-2
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
