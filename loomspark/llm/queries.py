@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.session import ship
 
-from . import bpe, fingerprints, mixing, secret_scan, substring, token_counts, topk, toxicity
+from . import bpe, fingerprints, mixing, neardup, secret_scan, substring, token_counts, topk, toxicity
 from .common import Workspace, table
 
 
@@ -38,6 +38,11 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, Workspace(spark))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -52,5 +57,5 @@ def _shipped(f):
     return lambda spark, sf_dir: f(ship(spark), sf_dir)
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op2_toxicity, op3_source_mix, op4_substring_dedup, op5_bpe_round_trip, op6_fingerprints, op7_exact_top_k, op9_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: _shipped(f) for f in (op2_toxicity, op3_source_mix, op4_substring_dedup, op5_bpe_round_trip, op6_fingerprints, op7_exact_top_k, op8_near_dedup, op9_token_counts, op10_secret_scan)}
 ORACLE: dict[str, str] = {}
