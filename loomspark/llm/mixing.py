@@ -163,3 +163,15 @@ def mix(df: DataFrame, ws: Workspace, *, weights: tuple[int, ...] = (5, 2, 1), s
     out = out.withColumn("copies", (F.col("whole") + F.when(F.col("place") <= F.col("extra"), 1).otherwise(0)).cast("bigint"))
     keep = [c for c in carry if c not in ("doc_id",)]
     return out.select("doc_id", *keep, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(df: DataFrame, ws: Workspace, **options) -> DataFrame:
+    """The table's rows, each as often as the mix takes it, with all their columns."""
+    names = df.columns
+    plain = df.toDF(*[f"_{i}" for i in range(len(names))])
+    own = {c: F.col(f"_{names.index(c)}").alias(c) for c in ("doc_id", "text", "source")}
+    rows = plain.select(*own.values(), F.struct(*plain.columns).alias("payload"))
+    kind = rows.schema["payload"].dataType.simpleString()
+    taken = mix(rows, ws, carry={"payload": kind}, **options).filter("copies > 0")
+    taken = taken.select("payload", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return taken.select("payload.*").toDF(*names)

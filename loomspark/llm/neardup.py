@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordHashes, Workspace, chunks, mix, pick, shingle_hashes, words
 
@@ -229,3 +230,32 @@ def _all(links: list[DataFrame]) -> DataFrame:
     for x in links[1:]:
         out = out.unionAll(x)
     return out
+
+
+def deduplicated(df: DataFrame, ws: Workspace, *, width: int = 5, percent: int = 80, **options) -> DataFrame:
+    """The rows of a table that stay, with all their columns: one of each component, and every row without words.
+
+    The least doc_id of a component stays (rows without one only if no other has
+    one), of equal ids the row of the least class; repeated rows count once.
+    """
+    names = df.columns
+    found = near_duplicates(df, ws, width=width, percent=percent, **options)
+    linked = found.filter("class_id is not null")
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("class "), F.col("class_id")))
+    stay = linked.groupBy(group.alias("g")).agg(F.min_by(F.struct("doc_id", "class_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "class_id")).alias("x"))
+    stay = stay.select(F.col("x.doc_id").alias("_id"), F.col("x.class_id").alias("_class")).distinct()
+    place, at = names.index("text"), names.index("doc_id")
+    plain = df.toDF(*[f"_{i}" for i in range(len(names))])
+    schema = T.StructType([*plain.schema.fields, T.StructField("_class", T.StringType())])
+
+    def classed(batches):
+        hashes = WordHashes()
+        for b in batches:
+            sets = (_class(shingle_set(t, width, hashes)) for _, ts in chunks([0] * b.num_rows, b.column(place).to_pylist()) for t in ts)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if c is None else c.hex().upper() for c in sets], pa.string())], schema.names)
+
+    rows = plain.mapInArrow(classed, schema)
+    once = linked.groupBy("doc_id", "class_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() == 0
+    met = rows.filter("_class is not null").join(stay.withColumnRenamed("_class", "_kept"), F.col(f"_{at}").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_kept")), "left_semi")
+    met = met if once else met.dropDuplicates([f"_{at}", "_class"])
+    return met.unionAll(rows.filter("_class is null")).drop("_class").toDF(*names)

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from loomspark.session import ship
 
-from . import bpe, fingerprints, mixing, neardup, secret_scan, substring, token_counts, topk, toxicity
+from . import bpe, fingerprints, mixing, neardup, pii, secret_scan, substring, token_counts, topk, toxicity
 from .common import Workspace, table
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,5 +62,5 @@ def _shipped(f):
     return lambda spark, sf_dir: f(ship(spark), sf_dir)
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op2_toxicity, op3_source_mix, op4_substring_dedup, op5_bpe_round_trip, op6_fingerprints, op7_exact_top_k, op8_near_dedup, op9_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_personal_data, op2_toxicity, op3_source_mix, op4_substring_dedup, op5_bpe_round_trip, op6_fingerprints, op7_exact_top_k, op8_near_dedup, op9_token_counts, op10_secret_scan)}
 ORACLE: dict[str, str] = {}

@@ -150,12 +150,11 @@ def fit_curve(evidence: np.ndarray, label: np.ndarray, steps: int = 60) -> tuple
         return 0.0, (50.0 if len(label) and label[0] else -50.0)
     x = np.stack([evidence, np.ones(len(evidence))], 1)
     w = np.zeros(2)
-    balance = np.ones(len(label))
     ridge = np.diag([1e-3, 1e-6]) * len(label) * 1e-2
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        g = x.T @ (balance * (p - label)) + ridge @ w
-        h = (x * (balance * p * (1 - p))[:, None]).T @ x + ridge
+        g = x.T @ ((p - label)) + ridge @ w
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge
         step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
         w -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
     return float(w[0]), float(w[1])
@@ -205,27 +204,37 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, most_words: i
     return model
 
 
-def score(docs: DataFrame, model: Model, carry: dict[str, str] | None = None) -> DataFrame:
-    """Per row: the carried columns (doc_id if none are named) and score, 0 to 1.
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row: doc_id and score, 0 to 1.
 
     A null or empty text has no evidence and scores what the curve gives to none.
     Very long texts are scored whole. Repeated rows each yield a row.
     """
-    carry = carry or {"doc_id": "bigint"}
-    rows = pick(docs, **carry | {"text": "string"})
-    names = [*carry]
-    place = rows.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by most_grams
+
+    def run(batches):
+        known = _Evidence(shared.value)
+        for b in batches:
+            values = [known.model.score(known.of(t)) for _, ts in chunks([0] * b.num_rows, b.column(1).to_pylist()) for t in ts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
+
+    return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, score double")
+
+
+def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of a table whose text scores below `limit`, with all their columns."""
+    names = docs.columns
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    place = names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = rows.select(*names).withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
         known = _Evidence(shared.value)
         for b in batches:
-            values = [known.model.score(known.of(t)) for _, ts in chunks([0] * b.num_rows, b.column(place).to_pylist()) for t in ts]
-            yield pa.RecordBatch.from_arrays([*[b.column(rows_at) for rows_at in places], pa.array(values, pa.float64())], [*names, "score"])
+            keep = [known.model.score(known.of(t)) < limit for _, ts in chunks([0] * b.num_rows, b.column(place).to_pylist()) for t in ts]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    places = [rows.columns.index(c) for c in names]
-    return rows.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
