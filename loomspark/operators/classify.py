@@ -108,35 +108,39 @@ def quoted(c: Column) -> Column:
     return F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _is(v: Column, kind: str) -> Column:
-    return v.isNotNull() & _kind(v).startswith(kind)
+def _view(v: Column) -> Column:
+    """What checks need of a JSON value: its kind and its text (nested values as JSON); nulls if it is absent."""
+    return F.struct(F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text"))
 
 
-def _string(v: Column) -> Column:
-    return F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string"))
+def _is(view: Column, kind: str) -> Column:
+    return F.coalesce(view["kind"].startswith(kind), F.lit(False))
 
 
-def _shown(v: Column, as_repr: bool = False) -> Column:
+def _string(view: Column) -> Column:
+    return F.when(_is(view, "STRING"), view["text"])
+
+
+def _shown(view: Column, as_repr: bool = False) -> Column:
     """str() or repr() of a JSON value; numbers and nested values as their JSON text."""
-    text = F.try_variant_get(v, "$", "string")
-    return (
-        F.when(_is(v, "STRING"), quoted(text) if as_repr else text)
-        .when(_is(v, "BOOLEAN"), F.initcap(text))
-        .when(_is(v, "VOID"), "None")
-        .otherwise(F.coalesce(text, F.to_json(v)))
-    )
+    text = view["text"]
+    return F.when(_is(view, "STRING"), quoted(text) if as_repr else text).when(_is(view, "BOOLEAN"), F.initcap(text)).when(_is(view, "VOID"), "None").otherwise(text)
 
 
 def item_count(text: Column) -> Column:
     """Non-blank lines if there are several; else the larger number of numbers or bullets, 1 at least."""
-    n = F.size(lines(text))
     edge = rf"(?:^|[{BLANK}])"
-    count = lambda mark: F.size(F.regexp_extract_all(text, F.lit(rf"{edge}{mark}[{BLANK}]"), F.lit(0)))
-    return F.when(n > 1, n).otherwise(F.greatest(F.lit(1), count(r"\p{Nd}+\."), count(r"[•\-*]")))
+
+    def counted(t: Column) -> Column:
+        marks = [F.size(F.regexp_extract_all(t, F.lit(rf"{edge}{mark}[{BLANK}]"), F.lit(0))) for mark in (r"\p{Nd}+\.", r"[•\-*]")]
+        return let(F.size(lines(t)), lambda n: F.when(n > 1, n).otherwise(F.greatest(F.lit(1), *marks)))
+
+    return let(text, counted)
 
 
 def cloze_repaired(text: Column) -> Column:
@@ -152,21 +156,24 @@ def cloze_violation(text: Column, limit: int) -> Column:
     whole, inner = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, 1))
     counted = F.zip_with(whole, inner, lambda w, i: F.struct(w.alias("w"), F.size(F.filter(F.split(i, f"[{BLANK}]+"), lambda x: x != "")).alias("n")))
     first = F.get(F.filter(counted, lambda x: x["n"] > limit), F.lit(0))
-    return F.when(first.isNotNull(), F.concat(F.lit("cloze deletion "), quoted(first["w"]), F.lit(" has "), first["n"], F.lit(f" words, limit {limit}")))
+    said = lambda x: F.concat(F.lit("cloze deletion "), let(x["w"], quoted), F.lit(" has "), x["n"], F.lit(f" words, limit {limit}"))
+    return let(first, lambda x: F.when(x.isNotNull(), said(x)))
 
 
 def budget_violation(fields: Column, shape: Shape) -> Column:
     """The first cutoff that is exceeded, in the order in which the shape declares them."""
     found = []
     back, text = shape.fields.get("back"), shape.fields.get("text")
+
+    def over(count: Column, limit: int, what: str) -> Column:
+        verb = "is" if what == "chars" else "has"
+        return let(count, lambda n: F.when(n > limit, F.concat(F.lit(f"{back} {verb} "), n, F.lit(f" {what}, limit {limit}"))))
+
     for cutoff, limit in shape.cutoffs.items():
         if back and cutoff == "back_max_chars":
-            n = F.length(fields[back])
-            found.append(F.when(n > limit, F.concat(F.lit(f"{back} is "), n, F.lit(f" chars, limit {limit}"))))
+            found.append(over(F.length(fields[back]), limit, "chars"))
         elif back and cutoff in ("list_max_items", "steps_max"):
-            n = item_count(fields[back])
-            what = "items" if cutoff == "list_max_items" else "steps"
-            found.append(F.when(fields[back].isNotNull() & (n > limit), F.concat(F.lit(f"{back} has "), n, F.lit(f" {what}, limit {limit}"))))
+            found.append(F.when(fields[back].isNotNull(), over(item_count(fields[back]), limit, "items" if cutoff == "list_max_items" else "steps")))
         elif text and cutoff == "deletion_max_words":
             found.append(cloze_violation(fields[text], limit))
     return F.coalesce(*found) if found else F.lit(None).cast("string")
@@ -175,51 +182,64 @@ def budget_violation(fields: Column, shape: Shape) -> Column:
 def _fields(raw: Column, reply: Column, shape: Shape) -> Column:
     """Fields in the reply's order, keys in the shape's spelling where they differ by case only; of equal keys the last counts."""
     texts = F.map_entries(F.from_json(F.from_json(raw, "map<string,string>")["fields"], "map<string,string>"))
-    kinds = F.try_variant_get(reply, "$.fields", "map<string,variant>")
+    kinds = F.transform_values(F.try_variant_get(reply, "$.fields", "map<string,variant>"), lambda k, v: F.schema_of_variant(v))
     known = F.create_map(*[F.lit(x) for f in shape.fields.values() for x in (f.lower(), f)])
-    value = lambda e: F.when(_is(kinds[e["key"]], "BOOLEAN") | _is(kinds[e["key"]], "VOID"), _shown(kinds[e["key"]])).otherwise(e["value"])
-    named = F.transform(texts, lambda e: F.struct(F.coalesce(known[F.lower(e["key"])], e["key"]).alias("key"), value(e).alias("value")))
-    order = F.array_distinct(F.transform(named, lambda e: e["key"]))
-    last = F.transform(order, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(named, lambda e: e["key"] == k), -1)["value"].alias("value")))
-    if shape.shape == "cloze" and "text" in shape.fields:
-        last = F.transform(last, lambda e: F.struct(e["key"].alias("key"), F.when(e["key"] == shape.fields["text"], cloze_repaired(e["value"])).otherwise(e["value"]).alias("value")))
-    return F.map_from_entries(last)
+
+    def value(e: Column, kind: Column) -> Column:
+        v = F.when(kind == "BOOLEAN", F.initcap(e["value"])).when(kind == "VOID", "None").otherwise(e["value"])
+        if shape.shape == "cloze" and "text" in shape.fields:
+            return let(v, lambda t: F.when(F.lower(e["key"]) == shape.fields["text"].lower(), cloze_repaired(t)).otherwise(t))
+        return v
+
+    def named(ks: Column) -> Column:
+        return F.transform(texts, lambda e: F.struct(F.coalesce(known[F.lower(e["key"])], e["key"]).alias("key"), value(e, ks[e["key"]]).alias("value")))
+
+    def last(ns: Column) -> Column:
+        keys = F.array_distinct(F.transform(ns, lambda e: e["key"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(ns, lambda e: e["key"] == k), -1)["value"])))
+
+    return let(let(kinds, named), last)
+
+
+def _rows(reply: Column) -> Column:
+    """Rows of a table reply: kind, key, and attrs (null unless a list) with the views of their parts."""
+    view = lambda v, path: _view(F.try_variant_get(v, path, "variant"))
+    attr = lambda a: F.struct(F.schema_of_variant(a).alias("kind"), view(a, "$.name").alias("name"), view(a, "$.value").alias("value"))
+    row = lambda r: F.struct(F.schema_of_variant(r).alias("kind"), view(r, "$.key").alias("key"), F.transform(F.try_variant_get(r, "$.attrs", "array<variant>"), attr).alias("attrs"))
+    return F.transform(F.try_variant_get(reply, "$.rows", "array<variant>"), row)
 
 
 def _row_violation(row: Column, i: Column, shape: Shape) -> Column:
     most, chars = shape.cutoffs.get("attrs_per_row_max", 4), shape.cutoffs.get("attr_max_chars", 80)
     slots = sum(f"attr{k}_name" in shape.fields and f"attr{k}_value" in shape.fields for k in range(1, 1 + len(shape.fields)))
     at = F.concat(F.lit("row "), (i + 1).cast("string"))
-    key, attrs = F.try_variant_get(row, "$.key", "variant"), F.try_variant_get(row, "$.attrs", "variant")
-    pairs = F.when(_is(attrs, "ARRAY"), F.try_variant_get(attrs, "$", "array<variant>"))
+    pairs, n = row["attrs"], F.size(row["attrs"])
 
     def attr_violation(a: Column, j: Column) -> Column:
-        name, value = (F.try_variant_get(a, f"$.{p}", "variant") for p in ("name", "value"))
         here = F.concat(at, F.lit(" attr "), (j + 1).cast("string"))
-        too_long = lambda v, what: F.when(F.length(_string(v)) > chars, F.concat(F.lit("exceeds_budget: "), here, F.lit(f" {what} is "), F.length(_string(v)), F.lit(f" chars, limit {chars}")))
+        too_long = lambda what: F.when(F.length(a[what]["text"]) > chars, F.concat(F.lit("exceeds_budget: "), here, F.lit(f" {what} is "), F.length(a[what]["text"]), F.lit(f" chars, limit {chars}")))
         return F.coalesce(
             F.when(~_is(a, "OBJECT"), F.concat(F.lit("invalid_response: "), here, F.lit(" is not an object"))),
-            F.when(~_is(name, "STRING") | ~_is(value, "STRING"), F.concat(F.lit("invalid_response: "), here, F.lit(" missing 'name'/'value'"))),
-            too_long(name, "name"), too_long(value, "value"),
+            F.when(~_is(a["name"], "STRING") | ~_is(a["value"], "STRING"), F.concat(F.lit("invalid_response: "), here, F.lit(" missing 'name'/'value'"))),
+            too_long("name"), too_long("value"),
             F.when(j >= slots, F.concat(F.lit("invalid_response: shape has no slot for attr "), (j + 1).cast("string"))),
         )
 
     return F.coalesce(
         F.when(~_is(row, "OBJECT"), F.concat(F.lit("invalid_response: "), at, F.lit(" is not an object"))),
-        F.when(~_is(key, "STRING") | (strip(_string(key)) == ""), F.concat(F.lit("invalid_response: "), at, F.lit(" missing 'key'"))),
-        F.when(pairs.isNull() | (F.size(pairs) == 0), F.concat(F.lit("invalid_response: "), at, F.lit(" missing 'attrs'"))),
-        F.when(F.size(pairs) > most, F.concat(F.lit("exceeds_budget: "), at, F.lit(" has "), F.size(pairs), F.lit(f" attrs, per-row limit {most}"))),
+        F.when(~_is(row["key"], "STRING") | (strip(row["key"]["text"]) == ""), F.concat(F.lit("invalid_response: "), at, F.lit(" missing 'key'"))),
+        F.when(pairs.isNull() | (n == 0), F.concat(F.lit("invalid_response: "), at, F.lit(" missing 'attrs'"))),
+        F.when(n > most, F.concat(F.lit("exceeds_budget: "), at, F.lit(" has "), n, F.lit(f" attrs, per-row limit {most}"))),
         F.get(F.filter(F.transform(pairs, attr_violation), lambda v: v.isNotNull()), F.lit(0)),
     )
 
 
 def _row_fields(row: Column, shape: Shape) -> Column:
-    attrs = F.try_variant_get(row, "$.attrs", "array<variant>")
-    pairs = [F.lit(shape.fields["key"]), strip(F.try_variant_get(row, "$.key", "string"))]
+    pairs = [F.lit(shape.fields["key"]), strip(row["key"]["text"])]
     for k in range(1, shape.cutoffs.get("attrs_per_row_max", 4) + 1):
         for part in ("name", "value"):
             if f"attr{k}_{part}" in shape.fields:
-                pairs += [F.lit(shape.fields[f"attr{k}_{part}"]), F.coalesce(F.try_variant_get(F.get(attrs, F.lit(k - 1)), f"$.{part}", "string"), F.lit(""))]
+                pairs += [F.lit(shape.fields[f"attr{k}_{part}"]), F.coalesce(F.get(row["attrs"], F.lit(k - 1))[part]["text"], F.lit(""))]
     return F.create_map(*pairs)
 
 
@@ -240,49 +260,65 @@ def classified(replied: DataFrame, shapes: dict[str, Shape] = DEFAULT_SHAPES) ->
     null = F.lit(None).cast("string")
     if not shapes:
         return replied.withColumns({"kind": F.lit("overflow"), "note_type": null, "shape": null, "cards": F.array().cast("array<map<string,string>>"), "reason": F.lit("no_shape_fit"), "llm_bucket": null})
-    df = replied.withColumn("_raw", unfenced(F.col("raw"))).withColumn("_v", F.try_parse_json(F.col("_raw")))
-    df = df.withColumn("_choice", F.when(_is(F.col("_v"), "OBJECT"), F.try_variant_get("_v", "$.choice", "variant")))
-    df = df.withColumn("_type", _string(F.col("_choice")))
-    over = F.col("_type") == "overflow"
-    said = F.try_variant_get("_v", "$.reason", "variant")
-    of_type = {n: F.col("_type") == n for n in shapes}
     plain = {n: s for n, s in shapes.items() if s.shape != "term-table"}
     tables = {n: s for n, s in shapes.items() if s.shape == "term-table"}
-    fields = F.try_variant_get("_v", "$.fields", "variant")
-    no_map = F.lit(None).cast("map<string,string>")
-    made = F.coalesce(*[F.when(of_type[n] & _is(fields, "OBJECT"), _fields(F.col("_raw"), F.col("_v"), s)) for n, s in plain.items()], no_map)
-    df = df.withColumn("_fields", made)
-    rows = F.try_variant_get("_v", "$.rows", "variant")
-    df = df.withColumn("_rows", F.when(_is(rows, "ARRAY"), F.try_variant_get("_v", "$.rows", "array<variant>")))
-    row_faults = [F.when(of_type[n], F.get(F.filter(F.transform("_rows", _violations_of(s)), lambda v: v.isNotNull()), F.lit(0))) for n, s in tables.items()]
-    is_table = F.col("_type").isin(*tables) if tables else F.lit(False)
-    budget = F.coalesce(*[F.when(of_type[n], budget_violation(F.col("_fields"), s)) for n, s in plain.items()], null)
-    reason = (
-        F.when(F.col("llm_error").isNotNull(), F.concat(F.lit("llm_error: "), F.col("llm_error")))
-        .when(F.col("_v").isNull(), "invalid_response: not JSON")
-        .when(_is(F.col("_v"), "ARRAY"), "invalid_response: got array (expected single object)")
-        .when(F.col("_choice").isNull(), "invalid_response: missing 'choice'")
-        .when(over, F.when(said.isNull(), "no_shape_fit").otherwise(_shown(said)))
-        .when(F.col("_type").isNull() | ~F.col("_type").isin(*shapes), F.concat(F.lit("invalid_response: unknown note type "), _shown(F.col("_choice"), True)))
-        .when(is_table & (F.col("_rows").isNull() | (F.size("_rows") == 0)), "invalid_response: missing or empty 'rows'")
-        .when(is_table, F.coalesce(*row_faults, null))
-        .when(F.col("_fields").isNull(), "invalid_response: missing or non-dict 'fields'")
-        .otherwise(F.concat(F.lit("exceeds_budget: "), budget))
-    )
-    df = df.withColumn("reason", reason)
-    bucket = _string(F.try_variant_get("_v", "$.bucket", "variant"))
-    df = df.withColumn("llm_bucket", F.when(F.coalesce(over, F.lit(False)) & bucket.isin("qa", "trimmed"), bucket))
-    good = F.col("reason").isNull()
-    cards = [F.when(good & of_type[n], F.transform("_rows", _fields_of(s))) for n, s in tables.items()]
-    cards.append(F.when(good & F.col("_fields").isNotNull(), F.array("_fields")))
+    no_cards = F.lit(None).cast("array<map<string,string>>")
     shape_of = F.create_map(*[F.lit(x) for n, s in shapes.items() for x in (n, s.shape)])
+
+    def out(reason: Column, bucket: Column = null, made: Column = no_cards) -> Column:
+        return F.struct(reason.cast("string").alias("reason"), bucket.alias("llm_bucket"), made.alias("cards"))
+
+    def fault(text: str) -> Column:
+        return out(F.lit(f"invalid_response: {text}"))
+
+    def as_card(shape: Shape, raw: Column, v: Column) -> Column:
+        judged = lambda m: let(budget_violation(m, shape), lambda why: F.when(why.isNull(), out(null, made=F.array(m))).otherwise(out(F.concat(F.lit("exceeds_budget: "), why))))
+        is_map = _is(_view(F.try_variant_get(v, "$.fields", "variant")), "OBJECT")
+        return F.when(is_map, let(_fields(raw, v, shape), judged)).otherwise(fault("missing or non-dict 'fields'"))
+
+    def as_table(shape: Shape, v: Column) -> Column:
+        def judged(rows: Column) -> Column:
+            first = F.get(F.filter(F.transform(rows, _violations_of(shape)), lambda x: x.isNotNull()), F.lit(0))
+            whole = let(first, lambda why: F.when(why.isNull(), out(null, made=F.transform(rows, _fields_of(shape)))).otherwise(out(why)))
+            return F.when(rows.isNull() | (F.size(rows) == 0), fault("missing or empty 'rows'")).otherwise(whole)
+
+        return let(_rows(v), judged)
+
+    def as_overflow(v: Column) -> Column:
+        said, bucket = (_view(F.try_variant_get(v, f"$.{k}", "variant")) for k in ("reason", "bucket"))
+        reason = let(said, lambda x: F.coalesce(_shown(x), F.lit("no_shape_fit")))
+        return out(F.when(F.try_variant_get(v, "$.reason", "variant").isNull(), "no_shape_fit").otherwise(reason), let(bucket, lambda x: F.when(_string(x).isin("qa", "trimmed"), x["text"])))
+
+    def by_choice(choice: Column, raw: Column, v: Column) -> Column:
+        named = _string(choice)
+        made = F.when(choice["kind"].isNull(), fault("missing 'choice'")).when(named == "overflow", as_overflow(v))
+        for n, s in plain.items():
+            made = made.when(named == n, as_card(s, raw, v))
+        for n, s in tables.items():
+            made = made.when(named == n, as_table(s, v))
+        return made.otherwise(out(F.concat(F.lit("invalid_response: unknown note type "), _shown(choice, True))))
+
+    def of_reply(raw: Column) -> Column:
+        def of_value(v: Column) -> Column:
+            kind = F.schema_of_variant(v)
+            choice = _view(F.when(kind.startswith("OBJECT"), F.try_variant_get(v, "$.choice", "variant")))
+            return (
+                F.when(v.isNull(), fault("not JSON"))
+                .when(kind.startswith("ARRAY"), fault("got array (expected single object)"))
+                .otherwise(let(choice, lambda c: by_choice(c, raw, v)))
+            )
+
+        return let(F.try_parse_json(raw), of_value)
+
+    failed = out(F.concat(F.lit("llm_error: "), F.col("llm_error")))
+    df = replied.withColumn("_o", F.when(F.col("llm_error").isNotNull(), failed).otherwise(let(unfenced(F.col("raw")), of_reply)))
+    card = F.col("_o.cards").isNotNull()
+    named = F.when(card, F.try_variant_get(F.try_parse_json(unfenced(F.col("raw"))), "$.choice", "string"))
     df = df.withColumns({
-        "kind": F.when(good, "card").otherwise("overflow"),
-        "note_type": F.when(good, F.col("_type")),
-        "shape": F.when(good, shape_of[F.col("_type")]),
-        "cards": F.coalesce(*cards, F.array().cast("array<map<string,string>>")),
+        "kind": F.when(card, "card").otherwise("overflow"), "note_type": named, "shape": shape_of[named],
+        "cards": F.coalesce("_o.cards", F.array().cast("array<map<string,string>>")), "reason": F.col("_o.reason"), "llm_bucket": F.col("_o.llm_bucket"),
     })
-    return df.drop("_raw", "_v", "_choice", "_type", "_fields", "_rows")
+    return df.drop("_o")
 
 
 def cards(done: DataFrame) -> DataFrame:
