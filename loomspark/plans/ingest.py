@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import date as day
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,8 +76,6 @@ def tag_with_model(vocabulary: DataFrame, model: Callable[[str], str], rules: Ta
     block = tagging.tags_block(tagging.seed(vocabulary, rules, agents)).first()["block"]
 
     def replies(cards: DataFrame) -> DataFrame:
-        import pandas as pd
-
         @F.pandas_udf("string")
         def ask(prompts: pd.Series) -> pd.Series:
             def one(p):

@@ -94,7 +94,7 @@ def decoded(content: Column) -> Column:
 
 def read_whole(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Text files, one row each: source_id (the path), label (the stem), suffix, text."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).withColumn("source_id", F.col("_metadata.file_path"))
+    rows = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).withColumn("source_id", F.col("_metadata.file_path"))
     name = F.element_at(F.split("source_id", "/"), -1)
     return rows.select("source_id", F.regexp_replace(name, r"\.[^.]*$", "").alias("label"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("suffix"), F.col("value").alias("text"))
 
