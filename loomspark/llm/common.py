@@ -97,6 +97,28 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def many_shingles(hashed: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of several texts, one after another, and how many each has (as `shingle_hashes` gives them)."""
+    sizes = np.array([len(h) for h in hashed], np.int64)
+    count = np.where(sizes >= width, sizes - width + 1, np.minimum(sizes, 1))
+    out = np.empty(int(count.sum()), np.uint64)
+    ends = np.cumsum(count)
+    long_ = np.nonzero(sizes >= width)[0]
+    if len(long_):
+        all_words = np.concatenate([hashed[i] for i in long_])
+        runs = shingle_hashes(all_words, width)
+        word_ends = np.cumsum(sizes[long_])
+        inside = np.ones(len(runs), bool)
+        for k in range(1, width):  # runs that begin in one text and end in the next
+            cut = word_ends[:-1] - k
+            inside[cut[cut < len(runs)]] = False
+        place = np.repeat(sizes >= width, count)
+        out[place] = runs[inside]
+    for i in np.nonzero((sizes > 0) & (sizes < width))[0]:
+        out[ends[i] - 1] = shingle_hashes(hashed[i], width)[0]
+    return out, count
+
+
 class Workspace:
     """Written tables in the folder that all executors share (spark.checkpoint.dir)."""
 

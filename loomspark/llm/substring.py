@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange
 from .common import WordHashes, Workspace, mix, pick, words
 
 FAR = 1 << 40
@@ -133,59 +134,6 @@ def settled(seq: Sequence, width: int, rounds: int) -> tuple[np.ndarray, np.ndar
     return mix(name[ok] ^ seq.hashes(low, high, 0)), low, high
 
 
-def _grouped(values: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each hash: ranges of equal width."""
-    return ((values >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-
-
-def _packets(batch: int, keys: np.ndarray, payload: np.ndarray, buckets: int):
-    """Sorted keys, cut by bucket: (bucket, batch, keys, payload)."""
-    cut = np.searchsorted(_grouped(keys if keys.ndim == 1 else keys[:, 0], buckets), np.arange(buckets + 1))
-    for b in np.nonzero(np.diff(cut))[0]:
-        part = slice(cut[b], cut[b + 1])
-        yield int(b), batch, np.ascontiguousarray(keys[part]).tobytes(), payload[part].tobytes()
-
-
-def _rows(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-
-_PACKET = "bucket int, batch bigint, keys binary, payload binary"
-_ANSWER = "batch bigint, bucket int, bits binary"
-
-
-def _emit(rows):
-    out = []
-    for r in rows:
-        out.append(r)
-        if len(out) == 256:
-            yield _rows(out, ["bucket", "batch", "keys", "payload"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
-            out = []
-    if out:
-        yield _rows(out, ["bucket", "batch", "keys", "payload"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
-
-
-def _answered(rows: pa.Table, decide) -> pa.Table:
-    """One bit for each key of each packet of a bucket; `decide` sees all of them together."""
-    bucket = rows.column("bucket")[0].as_py()
-    batches, keys, payload = (rows.column(c).to_pylist() for c in ("batch", "keys", "payload"))
-    sizes, bits = decide(keys, payload)
-    ends = np.cumsum(sizes)
-    out = [np.packbits(bits[e - s : e]).tobytes() for s, e in zip(sizes, ends, strict=True)]
-    return pa.table([pa.array(batches, pa.int64()), pa.array([bucket] * len(batches), pa.int32()), pa.array(out, pa.binary())], names=["batch", "bucket", "bits"])
-
-
-def _in_two(keys: list[bytes], payload: list[bytes]):
-    """Whether a key comes from two batches, or from one that holds it in two documents."""
-    parts = [np.frombuffer(k, _U) for k in keys]
-    sizes = [len(p) for p in parts]
-    flag = np.concatenate([np.frombuffer(p, bool) for p in payload])
-    _, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    many = count > 1
-    np.logical_or.at(many, place[flag], True)
-    return sizes, many[place]
-
-
 def _elsewhere_first(keys: list[bytes], payload: list[bytes]):
     """Whether a window starts in a document smaller than the batch's smallest that has it."""
     parts = [np.frombuffer(k, [("a", "<u8"), ("b", "<u8")]) for k in keys]
@@ -200,22 +148,6 @@ def _elsewhere_first(keys: list[bytes], payload: list[bytes]):
     return sizes, bits
 
 
-def _exchange(packets: DataFrame, decide) -> DataFrame:
-    """Packets to buckets and the answers back, one row a batch."""
-    answers = packets.groupBy("bucket").applyInArrow(lambda rows: _answered(rows, decide), _ANSWER)
-    return answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-
-
-def _bits(answers, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Answer bits in the order of the sorted keys."""
-    out = np.zeros(len(keys), bool)
-    cut = np.searchsorted(_grouped(keys if keys.ndim == 1 else keys[:, 0], buckets), np.arange(buckets + 1))
-    for r in answers or ():
-        a, b = cut[r["bucket"]], cut[r["bucket"] + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=b - a).astype(bool)
-    return out
-
-
 def _symbol_keys(seq: Sequence, width: int, rounds: int):
     key, low, high = settled(seq, width, rounds)
     keys, first, place = np.unique(key, return_index=True, return_inverse=True)
@@ -301,11 +233,11 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
                 for batch, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     seq = Sequence(unsqueeze(z)[1], hashes)
                     keys, two, *_ = _symbol_keys(seq, width, rounds)
-                    yield from _packets(batch, keys, two, buckets)
+                    yield from exchange.packets(batch, keys, two, buckets)
 
-        yield from _emit(made())
+        yield from exchange.emit(made())
 
-    shared = ws.write(_exchange(raw.select("batch", "z").mapInArrow(name_packets, _PACKET), _in_two), "names")
+    shared = ws.write(exchange.ask(raw.select("batch", "z").mapInArrow(name_packets, exchange.PACKET), exchange.in_two), "names")
     result = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     names, kinds = [c.split()[0] for c in result.split(", ")], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -321,7 +253,7 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
                 ids, texts = unsqueeze(r["z"])
                 seq = Sequence(texts, hashes)
                 keys, _, place, low, high = _symbol_keys(seq, width, rounds)
-                unique = ~_bits(r["answers"], keys, buckets)[place]
+                unique = ~exchange.bits(r["answers"], keys, buckets)[place]
                 at = _candidates(seq, unique, low, high, width)
                 has = np.zeros(len(ids), bool)
                 has[seq.doc[at]] = True
@@ -333,7 +265,7 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
                     bits = np.concatenate([bits[seq.starts[i] : seq.ends[i]] for i in left])
                     z = squeeze([int(x) for x in ids[left]], [texts[i] for i in left])
                     done.append((None,) * 5 + (r["batch"], z, np.packbits(bits).tobytes()))
-                yield _rows(done, [*names, "batch", "z", "bits"], [*kinds, pa.int64(), pa.binary(), pa.binary()])
+                yield exchange.record(done, [*names, "batch", "z", "bits"], [*kinds, pa.int64(), pa.binary(), pa.binary()])
 
     met = raw.select("batch", "z").join(shared, "batch", "left")
     screen = ws.write(met.mapInArrow(screened, result + ", batch bigint, z binary, bits binary"), "screened")
@@ -353,19 +285,19 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
             for b in batches:
                 for r in b.to_pylist():
                     *_, keys, least, _, _ = opened(r, hashes)
-                    yield from _packets(r["batch"], keys, least, buckets)
+                    yield from exchange.packets(r["batch"], keys, least, buckets)
 
-        yield from _emit(made())
+        yield from exchange.emit(made())
 
-    first = ws.write(_exchange(left.mapInArrow(window_packets, _PACKET), _elsewhere_first), "windows")
+    first = ws.write(exchange.ask(left.mapInArrow(window_packets, exchange.PACKET), _elsewhere_first), "windows")
 
     def judged(batches):
         hashes = WordHashes()
         for b in batches:
             for r in b.to_pylist():
                 ids, seq, at, keys, least, place, own = opened(r, hashes)
-                gone = _covered(seq, at[_bits(r["answers"], keys, buckets)[place] | (own > least[place])], width)
-                yield _rows([row(ids[i], seq, i, gone) for i in range(len(ids))], names, kinds)
+                gone = _covered(seq, at[exchange.bits(r["answers"], keys, buckets)[place] | (own > least[place])], width)
+                yield exchange.record([row(ids[i], seq, i, gone) for i in range(len(ids))], names, kinds)
 
     checked = left.join(first, "batch", "left").mapInArrow(judged, result)
     out = screen.filter("batch is null").select(*names).unionByName(checked)
