@@ -9,6 +9,7 @@ from loomspark.session import ship
 
 from . import bpe, fingerprints, mixing, neardup, pii, secret_scan, substring, token_counts, topk, toxicity
 from .common import Workspace, table
+from .oracles import ORACLE as ORACLE
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark), width=3, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
@@ -63,4 +64,3 @@ def _shipped(f):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (op1_personal_data, op2_toxicity, op3_source_mix, op4_substring_dedup, op5_bpe_round_trip, op6_fingerprints, op7_exact_top_k, op8_near_dedup, op9_token_counts, op10_secret_scan)}
-ORACLE: dict[str, str] = {}
