@@ -29,7 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # always matches where it starts, so a long run is read once
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -435,8 +435,13 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def fit(df: DataFrame, *, sample: int = 400, sample_chars: int = 20_000, **options) -> Tagger:
     """Train on a sample: the `sample` texts of least hash, among those of up to `sample_chars` characters."""
     rows = pick(df, doc_id="bigint", text="string").filter(F.length("text").between(1, sample_chars))
-    order = [F.xxhash64("doc_id", F.lit(21)), F.col("doc_id"), F.xxhash64("text")]
-    texts = [r["text"] for r in rows.orderBy(*order).limit(sample).select("text").collect()]
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # Hashes first: texts of the chosen rows only go to the driver, at most sample * sample_chars characters.
+    least = rows.select("doc_id", "h").distinct().orderBy(F.xxhash64("doc_id", F.lit(21)), "doc_id", "h").limit(sample)
+    least = least.withColumnsRenamed({"doc_id": "i", "h": "j"})
+    chosen = rows.join(F.broadcast(least), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")), "left_semi")
+    one = chosen.groupBy("doc_id", "h").agg(F.min("text").alias("text"))
+    texts = [r["text"] for r in one.orderBy(F.xxhash64("doc_id", F.lit(21)), "doc_id", "h").collect()]
     return train(*training_windows(texts), **options)
 
 
@@ -451,7 +456,7 @@ def find(df: DataFrame, model: Tagger) -> DataFrame:
     def run(batches):
         finder = Finder(model)
         for b in batches:
-            for ids, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, texts in chunks(b.column(1), b.column(0)):
                 found = finder.spans(texts)
                 n = [[sum(k == j for _, k, _ in base) for base, _ in found] for j in range(len(KINDS))]
                 cols = [pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in n), pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found]), pa.array([listed(base + more) for base, more in found]), pa.array([len(more) for _, more in found], pa.int64())]
@@ -470,7 +475,7 @@ def redact(df: DataFrame, model: Tagger) -> DataFrame:
         finder = Finder(model)
         for b in batches:
             at = 0
-            for _, texts in chunks([0] * b.num_rows, b.column(place).to_pylist()):
+            for _, texts in chunks(b.column(place)):
                 cols = [c.slice(at, len(texts)) for c in b.columns]
                 was = cols[place].to_pylist()
                 new = [None if o is None else redacted(t, base + more) for o, t, (base, more) in zip(was, texts, finder.spans(texts), strict=True)]
