@@ -123,7 +123,7 @@ def mix(df: DataFrame, ws: Workspace, *, weights: tuple[int, ...] = (5, 2, 1), s
     per, n_sources = _sources(cells.withColumn("size", F.col("size") * F.col("n")).select("source", "size"), ws, weights, share)
     largest = cells.groupBy("source").agg(F.greatest(F.max("size"), F.lit(1)).alias("largest"))
     per = ws.write(_joined(largest, per.drop("largest"), n_sources), "per")
-    a = _multipliers(cells.filter("size > 0"), per, n_sources, ws, steps, tolerance)
+    a = _multipliers(cells, per, n_sources, ws, steps, tolerance)
 
     # Whole copies: floor of the rate, and the fraction in units, which all documents of a size share.
     rated = _joined(cells, a, n_sources).withColumn("rate", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate(F.col("a"))))
