@@ -96,6 +96,19 @@ def replay(chunks: DataFrame, responses: DataFrame, strict: bool = True) -> Data
     return met.withColumns({"raw": raw, "llm_error": error}).drop("_key", "_there")
 
 
+def merged_replies(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Recorded replies of both; where both have a text, the new one counts."""
+    both = old.select("text_sha1", "raw", F.lit(0).alias("age")).unionAll(new.select("text_sha1", "raw", F.lit(1)))
+    return both.groupBy("text_sha1").agg(F.max_by("raw", "age").alias("raw"))
+
+
+def unanswered(chunks: DataFrame, responses: DataFrame) -> DataFrame:
+    """Distinct texts of unflagged chunks without a recorded reply."""
+    ask, _ = split(chunks)
+    texts = ask.select("text").distinct().withColumn("text_sha1", reply_key(F.col("text")))
+    return texts.join(responses.select("text_sha1").distinct(), "text_sha1", "left_anti")
+
+
 # Checks of one reply.
 
 
