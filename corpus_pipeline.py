@@ -12,30 +12,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm import bpe, mixing, neardup, pii, toxicity
-from loomspark.llm.common import Workspace, table
-from loomspark.session import ship
+from loomspark.llm.common import Workspace, prepare, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return toxicity.accepted(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicated(docs, Workspace(ship(spark)), width=5, percent=80)
+    return neardup.deduplicated(docs, Workspace(prepare(spark)), width=5, percent=80)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return pii.redact(docs, pii.fit(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, Workspace(ship(spark)))
+    return mixing.mixed(docs, Workspace(prepare(spark)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

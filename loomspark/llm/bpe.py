@@ -23,13 +23,13 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, pick
+from .common import chunks, lean, pick
 
 _NONE = 1 << 60
 
 
 class TreeBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, *, leaf: int = 32, remembered: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, *, leaf: int = 32, remembered: int = 250_000):
         import regex
 
         self.ranks, self.leaf, self.remembered = ranks, leaf, remembered
@@ -137,7 +137,7 @@ def _mapped(df: DataFrame, vocabulary: str, pattern: str, keep_ids: bool) -> Dat
     def run(batches):
         bpe = load(vocabulary, pattern)
         for batch in batches:
-            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in chunks(batch.column(1), batch.column(0)):
                 out = []
                 for text in texts:
                     packed = bpe.encode_bytes(text)
@@ -151,7 +151,7 @@ def _mapped(df: DataFrame, vocabulary: str, pattern: str, keep_ids: bool) -> Dat
                     cols, names = [*cols, pa.array(packed, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return pick(df, doc_id="bigint", text="string").mapInArrow(run, schema)
+    return pick(df, doc_id="bigint", text="string").mapInArrow(lean(run), schema)
 
 
 def digest(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -12,9 +12,12 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.session import ship
+
 #: Words are maximal runs of anything but these six characters.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -23,7 +26,37 @@ _WORDS = re.compile(WORD_PATTERN).findall
 _OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 #: Aim for this many characters of text in one numpy working set.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Ship the package, and let Arrow batches hold 1,000 rows unless the session says otherwise than the default.
+
+    Documents are long: the default of 10,000 rows makes batches of 30 MB and more, several of which
+    a task holds at once on either side.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+    return ship(spark)
+
+
+def lean(run):
+    """A function over batches that hands free memory back to the system when it ends; workers live on."""
+
+    def lean_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return lean_run
 
 
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
@@ -42,22 +75,27 @@ def words(text: str) -> list[str]:
     return _WORDS(text) if _OTHER_BLANK(text) else text.split()
 
 
-def chunks(ids: list, texts: list, size: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str]]]:
-    """Rows in runs of about `size` characters; null texts become empty."""
-    a, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t or "") + 64
-        if n >= size:
-            yield ids[a : i + 1], [x or "" for x in texts[a : i + 1]]
-            a, n = i + 1, 0
-    if a < len(texts):
-        yield ids[a:], [x or "" for x in texts[a:]]
+def chunks(texts: pa.Array, ids: pa.Array | None = None, size: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str]]]:
+    """Rows of Arrow columns in runs of about `size` characters, few rows open at a time; null texts become empty."""
+    run_ids, run, n = [], [], 0
+    for a in range(0, len(texts), 128):
+        part = texts.slice(a, 128)
+        keys = ids.slice(a, 128).to_pylist() if ids is not None else [None] * len(part)
+        for i, t in zip(keys, part.to_pylist(), strict=True):
+            run_ids.append(i)
+            run.append(t or "")
+            n += len(run[-1]) + 64
+            if n >= size:
+                yield run_ids, run
+                run_ids, run, n = [], [], 0
+    if run:
+        yield run_ids, run
 
 
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 150_000):
         super().__init__()
         self.bound = bound
 

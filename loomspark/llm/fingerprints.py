@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, Workspace, chunks, pick, shingle_hashes, words
+from .common import WordHashes, Workspace, chunks, lean, many_shingles, pick, shingle_hashes, words
 
 
 class MinHash:
@@ -32,20 +32,19 @@ class MinHash:
 
     def signatures(self, texts: list[str]) -> np.ndarray:
         """One row of `size` 16-bit values a text; all ones without words."""
-        sets = [self.shingles(t) for t in texts]
+        x, count = many_shingles([self.hashes.of(words(t)) for t in texts], self.width)
         out = np.full((len(texts), self.size), 0xFFFF, np.uint16)
-        full = [i for i, s in enumerate(sets) if len(s)]
-        step = 1 << 16
-        a = 0
+        full, ends = np.nonzero(count)[0], np.cumsum(count)
+        starts = ends - count
+        a, step = 0, 1 << 15
         while a < len(full):  # runs of about `step` shingles stay in cache
-            b, n = a, 0
-            while b < len(full) and (n == 0 or n + len(sets[full[b]]) <= step):
-                n += len(sets[full[b]])
-                b += 1
-            x = np.concatenate([sets[i] for i in full[a:b]])
-            at = np.cumsum([0, *(len(sets[i]) for i in full[a : b - 1])])
+            b = max(a + 1, int(np.searchsorted(ends[full], starts[full[a]] + step, "right")))
+            part, at = x[starts[full[a]] : ends[full[b - 1]]], starts[full[a:b]] - starts[full[a]]
+            h = np.empty_like(part)
             for j in range(self.size):
-                least = np.minimum.reduceat(x * self.a[j] + self.b[j], at)
+                np.multiply(part, self.a[j], out=h)
+                np.add(h, self.b[j], out=h)
+                least = np.minimum.reduceat(h, at)
                 out[full[a:b], j] = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
             a = b
         return out
@@ -91,11 +90,11 @@ def with_neighbours(df: DataFrame, ws: Workspace, *, size: int = 64, width: int
         import zstandard
 
         c = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in (x.slice(a, 256) for x in batches for a in range(0, x.num_rows, 256)):
             texts = [(t or "").encode() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int.from_bytes(hashlib.blake2b(t, digest_size=7).digest()) for t in texts], pa.int64()), pa.array([c.compress(t) for t in texts], pa.binary())], ["doc_id", "tie", "z"])
 
-    z = rows.mapInArrow(squeeze, "doc_id bigint, tie bigint, z binary")
+    z = rows.mapInArrow(lean(squeeze), "doc_id bigint, tie bigint, z binary")
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     dealt = z.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
@@ -114,10 +113,9 @@ def with_neighbours(df: DataFrame, ws: Workspace, *, size: int = 64, width: int
         last = None
         for b in batches:
             part = b.column(3)[0].as_py() if b.num_rows else 0
-            # Compressed texts come in row groups; only one chunk of them is ever open.
-            for a in range(0, b.num_rows, 512):
-                texts = [d.decompress(x).decode() for x in b.column(2)[a : a + 512].to_pylist()]
-                for own_ids, own in chunks(b.column(0)[a : a + 512].to_pylist(), texts):
+            for a in range(0, b.num_rows, 256):  # a few texts are unpacked at a time
+                texts = pa.array([d.decompress(x).decode() for x in b.column(2).slice(a, 256).to_pylist()], pa.string())
+                for own_ids, own in chunks(texts, b.column(0).slice(a, 256)):
                     if last is None:
                         yield edge("head", own_ids[0], own[0], part)
                     else:
@@ -130,7 +128,7 @@ def with_neighbours(df: DataFrame, ws: Workspace, *, size: int = 64, width: int
         if last is not None:
             yield edge("tail", *last, part)
 
-    made = ws.write(dealt.mapInArrow(run, _OUT + ", part int, edge string, text string"), "fingerprints")
+    made = ws.write(dealt.mapInArrow(lean(run), _OUT + ", part int, edge string, text string"), "fingerprints")
     heads = made.filter("edge = 'head'").select("part", F.col("text").alias("first"))
     by_part = Window.orderBy("part")  # one row a partition
     following = F.coalesce(F.lead("first").over(by_part), F.first("first").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -143,4 +141,50 @@ def with_neighbours(df: DataFrame, ws: Workspace, *, size: int = 64, width: int
             cols = _rows(*[b.column(i).to_pylist() for i in range(3)], mh)
             yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _OUT.split(", ")])
 
-    return made.filter("edge is null").drop("part", "edge", "text").unionByName(tails.mapInArrow(stitch, _OUT))
+    return made.filter("edge is null").drop("part", "edge", "text").unionByName(tails.mapInArrow(lean(stitch), _OUT))
+
+
+def near_pairs(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5, rows: int = 3, percent: int = 80) -> DataFrame:
+    """first_id, doc_id, jaccard: documents that are near the first document of one of their band groups.
+
+    Equal texts form a class, named by its least doc_id (rows without doc_id take no
+    part). Classes with an equal signature band form a group; each member meets the
+    group's least doc_id, not all others, and the pair is verified on the full shingle
+    sets. With 21 bands of 3 positions a pair at 0.8 shares none with probability 3e-7.
+    """
+    docs = pick(df, doc_id="bigint", text="string").filter("doc_id is not null")
+
+    def sign(batches):
+        mh = MinHash(size, width)
+        for b in batches:
+            for ids, texts in chunks(b.column(1), b.column(0)):
+                s = mh.signatures(texts).astype(np.int64)
+                n = size // rows
+                band = np.zeros((len(ids), n), np.int64)
+                for k in range(rows):
+                    band = band << 16 | s[:, k : n * rows : rows]
+                keep = [i for i, t in enumerate(texts) if words(t)]
+                lists = [band[i].tolist() for i in keep]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([hashlib.blake2b(texts[i].encode(), digest_size=16).digest() for i in keep], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "cls", "bands"])
+
+    signed = docs.mapInArrow(lean(sign), "doc_id bigint, cls binary, bands array<bigint>")
+    classes = ws.write(signed.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands")), "classes")
+    posted = classes.select("doc_id", F.posexplode("bands").alias("band", "value"))
+    firsts = posted.groupBy("band", "value").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    pairs = ws.write(posted.join(firsts, ["band", "value"]).filter("doc_id <> first_id").select("first_id", "doc_id").distinct(), "pairs")
+    need = pairs.select(F.col("doc_id").alias("i")).unionAll(pairs.select("first_id")).distinct()
+    texts = docs.join(need, F.col("doc_id") == F.col("i"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    x, y = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(t)) for c, t in (("first_id", "text_a"), ("doc_id", "text_b")))
+
+    def verify(batches):
+        mh = MinHash(size, width)
+        for b in batches:
+            out = []
+            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, q = np.unique(mh.shingles(p or "")), np.unique(mh.shingles(q or ""))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                out.append(both / max(1, len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["first_id", "doc_id", "jaccard"])
+
+    met = pairs.join(x, "first_id").join(y, "doc_id").select("first_id", "doc_id", "text_a", "text_b")
+    return met.mapInArrow(lean(verify), "first_id bigint, doc_id bigint, jaccard double").filter(F.col("jaccard") * 100 >= percent)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange
-from .common import WordHashes, Workspace, chunks, many_shingles, mix, pick, words
+from .common import WordHashes, Workspace, chunks, lean, many_shingles, mix, pick, words
 
 #: Classes whose sets are fetched by a broadcast of their keys (16 bytes each); beyond, by a shuffle.
 BROADCAST_KEYS = 500_000
@@ -100,24 +100,24 @@ def _signed(rows: DataFrame, width: int, size: int) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            for ids, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, texts in chunks(b.column(1), b.column(0)):
                 x, count, sets = shingle_sets(texts, width, hashes)
                 keys = (mix(signatures(x, count, seeds) ^ seeds) >> np.uint64(1)).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * size), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.binary()), lists], ["doc_id", "n_shingles", "cls", "keys"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, keys array<bigint>")
+    return rows.mapInArrow(lean(run), "doc_id bigint, n_shingles bigint, cls binary, keys array<bigint>")
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            for ids, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, texts in chunks(b.column(1), b.column(0)):
                 sets = shingle_sets(texts, width, hashes)[2]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_class(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "cls", "shingles"])
 
-    return rows.mapInArrow(run, "doc_id bigint, cls binary, shingles binary")
+    return rows.mapInArrow(lean(run), "doc_id bigint, cls binary, shingles binary")
 
 
 def _shared_counts(sets: DataFrame, ws: Workspace, name: str, batch_sets: int = 1000, bucket_keys: int = 2_000_000, least_buckets: int = 256) -> DataFrame:
@@ -138,7 +138,7 @@ def _shared_counts(sets: DataFrame, ws: Workspace, name: str, batch_sets: int =
                 yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([b"".join(s.column(0).to_pylist())], pa.binary()), pa.array([np.array([len(x) // 8 for x in blobs], "<i8").tobytes()], pa.binary()), pa.array([b"".join(blobs)], pa.binary())], ["batch", "classes", "sizes", "shingles"])
                 seq += 1
 
-    packs = ws.write(sets.select("cls", "shingles").mapInArrow(packed, "batch bigint, classes binary, sizes binary, shingles binary"), f"{name}_packs")
+    packs = ws.write(sets.select("cls", "shingles").mapInArrow(lean(packed), "batch bigint, classes binary, sizes binary, shingles binary"), f"{name}_packs")
     total = packs.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
     buckets = max(least_buckets, total // 8 // bucket_keys)
 
@@ -156,7 +156,7 @@ def _shared_counts(sets: DataFrame, ws: Workspace, name: str, batch_sets: int =
 
         yield from exchange.emit(made())
 
-    answers = exchange.ask(packs.mapInArrow(send, exchange.PACKET), exchange.in_two)
+    answers = exchange.ask(packs.mapInArrow(lean(send), exchange.PACKET), exchange.in_two)
 
     def counted(batches):
         for b in batches:
@@ -168,7 +168,7 @@ def _shared_counts(sets: DataFrame, ws: Workspace, name: str, batch_sets: int =
                 classes = [r["classes"][i : i + 16] for i in range(0, len(r["classes"]), 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(upto[ends] - upto[ends - sizes], pa.int64())], ["cls", "n", "shared"])
 
-    made = packs.join(answers, "batch", "left").mapInArrow(counted, "cls binary, n bigint, shared bigint")
+    made = packs.join(answers, "batch", "left").mapInArrow(lean(counted), "cls binary, n bigint, shared bigint")
     out = ws.write(made, name)
     ws.drop(f"{name}_packs")
     return out
@@ -191,7 +191,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 values = np.frombuffer(b"".join(blobs), np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(blobs)), sizes))), pa.array(values)], ["cls", "v"])
 
-    rows = sets.select("cls", "shingles").mapInArrow(flat, "cls binary, v bigint")
+    rows = sets.select("cls", "shingles").mapInArrow(lean(flat), "cls binary, v bigint")
     often = rows.groupBy("v").agg(F.count("*").alias("often"))
     whole = rows.join(often, "v").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("s")).withColumn("n", F.size("s").cast("bigint"))
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
@@ -212,7 +212,7 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.mapInArrow(lean(run), "a binary, b binary")
 
 
 def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -368,10 +368,10 @@ def deduplicated(df: DataFrame, ws: Workspace, *, width: int = 5, percent: int =
     def classed(batches):
         hashes = WordHashes()
         for b in batches:
-            sets = (_class(s) for _, ts in chunks([0] * b.num_rows, b.column(place).to_pylist()) for s in shingle_sets(ts, width, hashes)[2])
+            sets = (_class(s) for _, ts in chunks(b.column(place)) for s in shingle_sets(ts, width, hashes)[2])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if c is None else c.hex().upper() for c in sets], pa.string())], schema.names)
 
-    rows = plain.mapInArrow(classed, schema)
+    rows = plain.mapInArrow(lean(classed), schema)
     once = linked.groupBy("doc_id", "class_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() == 0
     met = rows.filter("_class is not null").join(stay.withColumnRenamed("_class", "_kept"), F.col(f"_{at}").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_kept")), "left_semi")
     met = met if once else met.dropDuplicates([f"_{at}", "_class"])

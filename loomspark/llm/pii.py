@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, pick
+from .common import chunks, lean, pick
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -462,7 +462,7 @@ def find(df: DataFrame, model: Tagger) -> DataFrame:
                 cols = [pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in n), pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found]), pa.array([listed(base + more) for base, more in found]), pa.array([len(more) for _, more in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in schema.split(", ")])
 
-    return pick(df, doc_id="bigint", text="string").mapInArrow(run, schema)
+    return pick(df, doc_id="bigint", text="string").mapInArrow(lean(run), schema)
 
 
 def redact(df: DataFrame, model: Tagger) -> DataFrame:
@@ -485,4 +485,4 @@ def redact(df: DataFrame, model: Tagger) -> DataFrame:
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*names)

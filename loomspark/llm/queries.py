@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.session import ship
-
 from . import bpe, fingerprints, mixing, neardup, pii, secret_scan, substring, token_counts, topk, toxicity
-from .common import Workspace, table
+from .common import Workspace, prepare, table
 from .oracles import ORACLE as ORACLE
 
 
@@ -60,7 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shipped(f):
-    return lambda spark, sf_dir: f(ship(spark), sf_dir)
+    return lambda spark, sf_dir: f(prepare(spark), sf_dir)
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (op1_personal_data, op2_toxicity, op3_source_mix, op4_substring_dedup, op5_bpe_round_trip, op6_fingerprints, op7_exact_top_k, op8_near_dedup, op9_token_counts, op10_secret_scan)}

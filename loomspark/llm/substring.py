@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import WordHashes, Workspace, mix, pick, words
+from .common import WordHashes, Workspace, lean, mix, pick, words
 
 FAR = 1 << 40
 NULL_ID = (1 << 63) - 1
@@ -210,7 +210,7 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
         from pyspark import TaskContext
 
         part, seq, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
-        for b in batches:
+        for b in (x.slice(a, 256) for x in batches for a in range(0, x.num_rows, 256)):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(t or "")
@@ -221,7 +221,7 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([squeeze(ids, texts)], pa.binary()), pa.array([size], pa.int64())], ["batch", "z", "size"])
 
-    raw = ws.write(rows.mapInArrow(batched, "batch bigint, z binary, size bigint"), "batches")
+    raw = ws.write(rows.mapInArrow(lean(batched), "batch bigint, z binary, size bigint"), "batches")
     chars = raw.agg(F.sum("size")).first()[0] or 0
     buckets = max(least_buckets, chars // 30 // bucket_keys)
 
@@ -237,7 +237,7 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
 
         yield from exchange.emit(made())
 
-    shared = ws.write(exchange.ask(raw.select("batch", "z").mapInArrow(name_packets, exchange.PACKET), exchange.in_two), "names")
+    shared = ws.write(exchange.ask(raw.select("batch", "z").mapInArrow(lean(name_packets), exchange.PACKET), exchange.in_two), "names")
     result = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     names, kinds = [c.split()[0] for c in result.split(", ")], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -268,7 +268,7 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
                 yield exchange.record(done, [*names, "batch", "z", "bits"], [*kinds, pa.int64(), pa.binary(), pa.binary()])
 
     met = raw.select("batch", "z").join(shared, "batch", "left")
-    screen = ws.write(met.mapInArrow(screened, result + ", batch bigint, z binary, bits binary"), "screened")
+    screen = ws.write(met.mapInArrow(lean(screened), result + ", batch bigint, z binary, bits binary"), "screened")
     ws.drop("names", "batches")
     left = screen.filter("batch is not null").select("batch", "z", "bits")
 
@@ -289,7 +289,7 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
 
         yield from exchange.emit(made())
 
-    first = ws.write(exchange.ask(left.mapInArrow(window_packets, exchange.PACKET), _elsewhere_first), "windows")
+    first = ws.write(exchange.ask(left.mapInArrow(lean(window_packets), exchange.PACKET), _elsewhere_first), "windows")
 
     def judged(batches):
         hashes = WordHashes()
@@ -299,6 +299,6 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
                 gone = _covered(seq, at[exchange.bits(r["answers"], keys, buckets)[place] | (own > least[place])], width)
                 yield exchange.record([row(ids[i], seq, i, gone) for i in range(len(ids))], names, kinds)
 
-    checked = left.join(first, "batch", "left").mapInArrow(judged, result)
+    checked = left.join(first, "batch", "left").mapInArrow(lean(judged), result)
     out = screen.filter("batch is null").select(*names).unionByName(checked)
     return out if keep_text else out.drop("kept_text")

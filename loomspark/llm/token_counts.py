@@ -25,7 +25,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, pick
+from .common import chunks, lean, pick
 
 BLANK = "▁"
 
@@ -45,7 +45,7 @@ class Counter(dict):
 
     PARTS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
-    def __init__(self, scores: dict[str, float], remembered: int = 400_000):
+    def __init__(self, scores: dict[str, float], remembered: int = 250_000):
         import ahocorasick
 
         super().__init__()
@@ -114,7 +114,7 @@ def count_tokens(df: DataFrame, path: str) -> DataFrame:
     def run(batches):
         counter = load(path)
         for batch in batches:
-            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in chunks(batch.column(1), batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([counter.count(t) for t in texts], pa.int64())], ["doc_id", "n_chars", "n_tokens"])
 
-    return pick(df, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, n_chars bigint, n_tokens bigint")
+    return pick(df, doc_id="bigint", text="string").mapInArrow(lean(run), "doc_id bigint, n_chars bigint, n_tokens bigint")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, pick
+from .common import Workspace, lean, pick
 
 EXACT = float(1 << 53)
 
@@ -124,11 +124,11 @@ def top_k(df: DataFrame, is_query: Column, ws: Workspace, *, k: int = 5, bits: i
     if not n:
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.repartition(n).mapInArrow(_pack(2 * query_rows), schema)
+    q = queries.repartition(n).mapInArrow(lean(_pack(2 * query_rows)), schema)
     q = ws.write(q.withColumn("q", F.monotonically_increasing_id()), "queries")
     numbers = [r[0] for r in q.select("q").collect()]  # one a block of queries
     q = q.select("q", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "kind", "width")])
-    c = rows.mapInArrow(_pack(block_rows), schema)
+    c = rows.mapInArrow(lean(_pack(block_rows)), schema)
     c = c.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("q", F.explode(F.array(*[F.lit(x) for x in numbers]).cast("array<bigint>")))
 
     def run(batches):
@@ -152,6 +152,6 @@ def top_k(df: DataFrame, is_query: Column, ws: Workspace, *, k: int = 5, bits: i
 
     from pyspark.sql import Window
 
-    met = c.join(q, ["q", "salt"]).mapInArrow(run, "q bigint, j bigint, query_id bigint, vec_id bigint, score bigint")
+    met = c.join(q, ["q", "salt"]).mapInArrow(lean(run), "q bigint, j bigint, query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("q", "j").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, chunks, pick, words
+from .common import WORD_PATTERN, chunks, lean, pick, words
 
 DISCOUNT = 0.75
 START, END = "\x02", "\x03"
@@ -70,7 +70,7 @@ class Model:
 
 
 class _Evidence(dict):
-    def __init__(self, model: Model, bound: int = 400_000):
+    def __init__(self, model: Model, bound: int = 150_000):
         super().__init__()
         self.model, self.bound = model, bound
 
@@ -85,7 +85,7 @@ class _Evidence(dict):
         return sum(map(self.__getitem__, ws)) / math.sqrt(len(ws)) if ws else 0.0
 
 
-def fit_counts(ordinary: dict[str, int], toxic: dict[str, int], *, order: int = 5, admixture: float = 1e-3, most_grams: int = 600_000) -> Model:
+def fit_counts(ordinary: dict[str, int], toxic: dict[str, int], *, order: int = 5, admixture: float = 1e-3, most_grams: int = 250_000) -> Model:
     """The model of two word-count tables. At most `most_grams` pairs are kept, the most frequent."""
     own: list[dict[str, Counter]] = []
     for counts in (ordinary, toxic):
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, most_words: i
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([known.of(t or "") for t in b.column(2).to_pylist()], pa.float64())], ["toxic", "evidence"])
 
-    pdf = kept.mapInArrow(run, "toxic int, evidence double").toPandas().sort_values(["evidence", "toxic"])
+    pdf = kept.mapInArrow(lean(run), "toxic int, evidence double").toPandas().sort_values(["evidence", "toxic"])
     model.slope, model.offset = fit_curve(pdf["evidence"].to_numpy(float), pdf["toxic"].to_numpy(float))
     shared.unpersist()
     return model
@@ -215,10 +215,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         known = _Evidence(shared.value)
         for b in batches:
-            values = [known.model.score(known.of(t)) for _, ts in chunks([0] * b.num_rows, b.column(1).to_pylist()) for t in ts]
+            values = [known.model.score(known.of(t)) for _, ts in chunks(b.column(1)) for t in ts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
 
-    return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, score double")
+    return pick(docs, doc_id="bigint", text="string").mapInArrow(lean(run), "doc_id bigint, score double")
 
 
 def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
@@ -231,10 +231,10 @@ def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     def run(batches):
         known = _Evidence(shared.value)
         for b in batches:
-            keep = [known.model.score(known.of(t)) < limit for _, ts in chunks([0] * b.num_rows, b.column(place).to_pylist()) for t in ts]
+            keep = [known.model.score(known.of(t)) < limit for _, ts in chunks(b.column(place)) for t in ts]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*names)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
