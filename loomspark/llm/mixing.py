@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, pick
+from .common import WORD_PATTERN, Workspace, pick
 
 UNIT = 1 << 20
 OFFSETS = 64
@@ -33,9 +33,7 @@ BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
-    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    one = F.btrim(F.regexp_replace(spaced, " {2,}", " "), F.lit(" "))
-    return F.when(one == "", F.lit(0)).otherwise(F.length(one) - F.length(F.translate(one, " ", "")) + 1).cast("bigint")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("bigint")
 
 
 def _sources(sized: DataFrame, ws: Workspace, weights: tuple[int, ...], share: float) -> tuple[DataFrame, int]:
