@@ -98,12 +98,10 @@ def fit_counts(ordinary: dict[str, int], toxic: dict[str, int], *, order: int =
     shared: dict[str, Counter] = defaultdict(Counter)
     level = {(context, x) for top in own for context, xs in top.items() for x in xs}
     while level:
-        longer: dict[tuple[str, str], set[str]] = defaultdict(set)
-        for context, x in level:
-            if context:
-                longer[context[1:], x].add(context[0])
-        for (context, x), before in longer.items():
-            shared[context][x] = max(shared[context][x], len(before))
+        # Contexts that share all but their first character have one length, so each counts once.
+        longer = Counter((context[1:], x) for context, x in level if context)
+        for (context, x), n in longer.items():
+            shared[context][x] = max(shared[context][x], n)
         level = set(longer)
     memo: dict[tuple[str, str], float] = {}
 
@@ -164,7 +162,7 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, most_words: int = 600_000, order: int = 5, admixture: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, most_words: int = 400_000, order: int = 5, admixture: float = 1e-3) -> Model:
     """Fit on rows whose crc32(doc_id) mod 5 is not 0. A document labelled both ways counts as toxic.
 
     Without labelled rows of both classes the model gives every text the same score.
