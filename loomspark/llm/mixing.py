@@ -28,6 +28,8 @@ UNIT = 1 << 20
 OFFSETS = 64
 SALTS = 64
 SIZE_BLOCK = 256
+#: Halvings after the Newton steps: more than a bracket of doubles rounded to 9 places has.
+HALVINGS = 100
 #: Sources up to which a table of one row a source is broadcast (about 20 MB); beyond, joins shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -76,10 +78,17 @@ def _rate(a: Column) -> Column:
 
 
 def _multipliers(cells: DataFrame, per: DataFrame, n: int, ws: Workspace, steps: int, tolerance: float) -> DataFrame:
-    """Newton steps with a bracket: a step that leaves the bracket halves it instead."""
+    """Newton steps with a bracket: a step that leaves the bracket halves it instead.
+
+    The bracket of a source follows from its smallest positive size: at its lower end no
+    document has a word to give, at its upper end each has its 2 copies, so it holds the
+    multiplier. After `steps` steps it is only halved; a source that still misses its
+    target when there is nothing left to halve is an error.
+    """
     full = F.col("target") >= 2.0 * F.col("source_size") - 0.5
-    now = per.select("source", "largest", "source_size", "target", full.alias("full"), F.lit(0.0).alias("a"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"))
-    for step in range(steps):
+    ratio = F.col("largest") / F.col("smallest")
+    now = per.select("source", "largest", "source_size", "target", full.alias("full"), F.lit(0.0).alias("a"), (-700.0 * ratio).alias("low"), ratio.alias("high"))
+    for step in range(steps + HALVINGS):
         rated = _joined(cells, now, n).withColumn("r", _rate(F.col("a")))
         term = (F.col("r") * F.col("size") * UNIT).cast("decimal(38,0)") * F.col("n")
         slope = F.when(F.col("r") < 2.0, F.col("r") * F.col("size") * F.col("size") / F.col("largest") * UNIT).otherwise(0.0).cast("decimal(38,0)") * F.col("n")
@@ -88,7 +97,7 @@ def _multipliers(cells: DataFrame, per: DataFrame, n: int, ws: Workspace, steps:
         got = _joined(sums, now, n).withColumn("off", F.when(F.col("full"), 0.0).otherwise(F.col("got") - F.col("target")))
         low, high = F.when(F.col("off") <= 0, F.col("a")).otherwise(F.col("low")), F.when(F.col("off") >= 0, F.col("a")).otherwise(F.col("high"))
         got = got.withColumns({"low": low, "high": high}).withColumn("next", F.when(F.col("slope") > 0, F.col("a") - F.col("off") / F.col("slope")))
-        inside = F.col("next").isNotNull() & (F.col("next") > F.col("low")) & (F.col("next") < F.col("high"))
+        inside = F.lit(step < steps) & F.col("next").isNotNull() & (F.col("next") > F.col("low")) & (F.col("next") < F.col("high"))
         done = F.abs("off") <= F.greatest(F.lit(0.25), F.col("target") * tolerance)
         got = got.withColumn("next", F.when(done, F.col("a")).when(inside, F.col("next")).otherwise((F.col("low") + F.col("high")) / 2))
         got = got.select("source", "largest", "source_size", "target", "full", F.round("next", 9).alias("a"), "low", "high", done.alias("done"))
@@ -97,6 +106,9 @@ def _multipliers(cells: DataFrame, per: DataFrame, n: int, ws: Workspace, steps:
             ws.drop(f"step{step - 1}")
         if not now.filter(~F.col("done")).limit(1).count():
             break
+        if step + 1 == steps + HALVINGS:
+            left = now.filter(~F.col("done")).select("source", "target").first()
+            raise RuntimeError(f"source {left['source']!r} does not reach its target of {left['target']} words")
         now = now.drop("done")
     return now.select("source", "largest", "source_size", "target", "full", "a")
 
@@ -119,7 +131,8 @@ def mix(df: DataFrame, ws: Workspace, *, weights: tuple[int, ...] = (5, 2, 1), s
     fine = ws.write(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "fine")
     cells = ws.write(fine.groupBy("source", "size").agg(F.sum("n").alias("n")), "cells")
     per, n_sources = _sources(cells.withColumn("size", F.col("size") * F.col("n")).select("source", "size"), ws, weights, share)
-    largest = cells.groupBy("source").agg(F.greatest(F.max("size"), F.lit(1)).alias("largest"))
+    smallest = F.coalesce(F.min(F.when(F.col("size") > 0, F.col("size"))), F.lit(1)).alias("smallest")
+    largest = cells.groupBy("source").agg(F.greatest(F.max("size"), F.lit(1)).alias("largest"), smallest)
     per = ws.write(_joined(largest, per.drop("largest"), n_sources), "per")
     a = _multipliers(cells, per, n_sources, ws, steps, tolerance)
 

@@ -293,6 +293,27 @@ def test_mixing(spark):
     assert sorted((str(r.doc_id), r.taken) for r in got) == sorted((str(r.doc_id), r.taken) for r in again)
 
 
+@pytest.mark.parametrize("share", [0.4, 1.5])
+def test_mixing_reaches_targets_beside_a_very_long_document(spark, share):
+    from pyspark.sql import functions as F
+
+    many = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.lit("s").alias("source"))
+    df = many.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.repeat(F.lit("w "), 20_000).alias("text"), F.lit("s").alias("source")))
+    taken, target = mixing.mix(df, Workspace(spark), share=share).agg(F.sum("taken"), F.first("target")).first()
+    assert target == share * 80_000 and abs(taken - target) <= 0.005 * target
+
+
+def test_mixing_fails_where_a_target_is_missed(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HALVINGS", 0)
+    with pytest.raises(RuntimeError, match="source 's'"):
+        mixing.mix(docs(spark, {i: "w " * (i + 1) for i in range(50)}, ["s"] * 50), Workspace(spark), steps=1)
+
+
+def test_mixing_halves_to_the_target(spark):
+    got = mixing.mix(docs(spark, {i: "w " * (i + 1) for i in range(300)}, ["s"] * 300), Workspace(spark), steps=0).collect()
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 0.005 * got[0].target
+
+
 def test_mixing_of_few(spark):
     assert mixing.mix(docs(spark, {1: "a"}).filter("false"), Workspace(spark)).count() == 0
     assert [r.taken for r in mixing.mix(docs(spark, {1: None, 2: ""}, ["s", "s"]), Workspace(spark)).collect()] == [0, 0]
