@@ -3,8 +3,8 @@
 A fingerprint holds, for each universal hash h(x) = a * x + b mod 2**64, the 16
 bits below the top of the least hash of a document's shingles. The share of equal
 positions estimates the Jaccard similarity. Near pairs come from signature bands,
-joined in Spark group by group to the group's first document, and are verified on
-the full shingle sets.
+joined in Spark with all of a group meeting all of it, and are verified on the full
+shingle sets.
 """
 
 from __future__ import annotations
@@ -144,13 +144,35 @@ def with_neighbours(df: DataFrame, ws: Workspace, *, size: int = 64, width: int
     return made.filter("edge is null").drop("part", "edge", "text").unionByName(tails.mapInArrow(lean(stitch), _OUT))
 
 
-def near_pairs(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5, rows: int = 3, percent: int = 80) -> DataFrame:
-    """first_id, doc_id, jaccard: documents that are near the first document of one of their band groups.
+def _class(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
-    Equal texts form a class, named by its least doc_id (rows without doc_id take no
-    part). Classes with an equal signature band form a group; each member meets the
-    group's least doc_id, not all others, and the pair is verified on the full shingle
-    sets. With 21 bands of 3 positions a pair at 0.8 shares none with probability 3e-7.
+
+def members(df: DataFrame) -> DataFrame:
+    """first_id, doc_id: the class of each row that has doc_id and words, named by the least doc_id of equal texts."""
+    docs = pick(df, doc_id="bigint", text="string").filter("doc_id is not null")
+
+    def run(batches):
+        for b in batches:
+            for ids, texts in chunks(b.column(1), b.column(0)):
+                kept = [(i, _class(t)) for i, t in zip(ids, texts, strict=True) if words(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array([c for _, c in kept], pa.binary())], ["doc_id", "cls"])
+
+    rows = docs.mapInArrow(lean(run), "doc_id bigint, cls binary")
+    return rows.join(rows.groupBy("cls").agg(F.min("doc_id").alias("first_id")), "cls").select("first_id", "doc_id")
+
+
+def near_pairs(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5, rows: int = 3, percent: int = 80, block: int = 256) -> DataFrame:
+    """first_id, doc_id, jaccard: all pairs of different texts whose shingle sets are near, each pair once.
+
+    Equal texts form a class, named by its least doc_id, the one that pairs show;
+    `members` has the rows of each (rows without doc_id or words take no part). The
+    lesser name is first_id; texts that share a doc_id are classes of their own.
+    Classes with an equal signature band form a group, in which all meet all: members
+    are dealt into blocks of about `block`, and each two blocks are one key of the
+    join, so no task holds a large group. Pairs that the sizes of their sets do not
+    rule out are verified on the full sets. With 21 bands of 3 positions a pair at 0.8
+    shares none with probability 3e-7.
     """
     docs = pick(df, doc_id="bigint", text="string").filter("doc_id is not null")
 
@@ -165,26 +187,44 @@ def near_pairs(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5,
                     band = band << 16 | s[:, k : n * rows : rows]
                 keep = [i for i, t in enumerate(texts) if words(t)]
                 lists = [band[i].tolist() for i in keep]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([hashlib.blake2b(texts[i].encode(), digest_size=16).digest() for i in keep], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "cls", "bands"])
+                held = [len(np.unique(mh.shingles(texts[i]))) for i in keep]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([_class(texts[i]) for i in keep], pa.binary()), pa.array(held, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "cls", "held", "bands"])
+
+    signed = docs.mapInArrow(lean(sign), "doc_id bigint, cls binary, held bigint, bands array<bigint>")
+    classes = ws.write(signed.groupBy("cls").agg(F.min("doc_id").alias("id"), F.max("held").alias("held"), F.max("bands").alias("bands")), "classes")
+    posted = classes.select("cls", "held", F.posexplode("bands").alias("band", "value"))
+    groups = posted.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / block)
+    dealt = posted.join(groups, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("cls"), blocks))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    dealt = dealt.select("band", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "held")
+    dealt = ws.write(dealt, "dealt")
+    left, right = (dealt.withColumnsRenamed({c: f"{c}_{k}" for c in ("own", "cls", "held")}) for k in "ab")
+    met = left.join(right, ["band", "value", "p", "q"]).filter((F.col("p") == F.col("q")) | (F.col("own_a") != F.col("own_b"))).filter("cls_a < cls_b")
+    met = met.filter(F.least("held_a", "held_b") * 100 >= F.greatest("held_a", "held_b") * percent)
+    pairs = ws.write(met.select("cls_a", "cls_b").distinct(), "pairs")
+    need = pairs.select(F.col("cls_a").alias("cls")).unionAll(pairs.select("cls_b")).distinct()
+    need = ws.write(classes.select("cls", "id").join(need, "cls"), "need")
+
+    def sets(batches):
+        mh = MinHash(size, width)
+        for b in batches:
+            for _, texts in chunks(b.column(0)):
+                found = [np.unique(mh.shingles(t)).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([_class(t) for t in texts], pa.binary()), pa.array(found, pa.binary())], ["cls", "held"])
 
-    signed = docs.mapInArrow(lean(sign), "doc_id bigint, cls binary, bands array<bigint>")
-    classes = ws.write(signed.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands")), "classes")
-    posted = classes.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    firsts = posted.groupBy("band", "value").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = ws.write(posted.join(firsts, ["band", "value"]).filter("doc_id <> first_id").select("first_id", "doc_id").distinct(), "pairs")
-    need = pairs.select(F.col("doc_id").alias("i")).unionAll(pairs.select("first_id")).distinct()
-    texts = docs.join(need, F.col("doc_id") == F.col("i"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    x, y = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(t)) for c, t in (("first_id", "text_a"), ("doc_id", "text_b")))
+    asked = docs.join(need.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select("text")
+    found = ws.write(asked.mapInArrow(lean(sets), "cls binary, held binary").join(need, "cls").dropDuplicates(["cls"]), "sets")
+    x, y = (found.select(*[F.col(c).alias(f"{c}_{k}") for c in ("cls", "id", "held")]) for k in "ab")
 
     def verify(batches):
-        mh = MinHash(size, width)
         for b in batches:
             out = []
             for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.unique(mh.shingles(p or "")), np.unique(mh.shingles(q or ""))
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 out.append(both / max(1, len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["first_id", "doc_id", "jaccard"])
 
-    met = pairs.join(x, "first_id").join(y, "doc_id").select("first_id", "doc_id", "text_a", "text_b")
+    met = pairs.join(x, "cls_a").join(y, "cls_b").select(F.least("id_a", "id_b"), F.greatest("id_a", "id_b"), "held_a", "held_b")
     return met.mapInArrow(lean(verify), "first_id bigint, doc_id bigint, jaccard double").filter(F.col("jaccard") * 100 >= percent)

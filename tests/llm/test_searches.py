@@ -224,3 +224,30 @@ def test_band_pairs(spark):
     want = {(0, i): len(sets[0] & sets[i]) / len(sets[0] | sets[i]) for i, t in enumerate(texts) if i and first[t] == i and sets[i]}
     want = {p: j for p, j in want.items() if j >= 0.8}
     assert {p: round(j, 9) for p, j in got.items() if p[0] == 0} == {p: round(j, 9) for p, j in want.items()} and want
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_band_pairs_are_all_pairs(spark, block):
+    rng = random.Random(4)
+    pairs = []
+    for f in range(12):  # two edits of a text, and edits of these, are near each other too
+        base = " ".join(f"t{f}-{i}" for i in range(150))
+        first, second = (base.replace(f"t{f}-{k}", "new") for k in (20, 120))
+        pairs += [base, first, second, *family(rng, first, 3, 2), *family(rng, second, 3, 2)]
+    texts = [*enumerate(pairs, 100), (5, pairs[3]), (5, pairs[4]), (900, pairs[1]), (None, pairs[1]), (901, ""), (902, None)]
+    df = clashing(docs(spark, texts)).repartition(5)
+    got = [tuple(r) for r in fingerprints.near_pairs(df, Workspace(spark), block=block).collect()]
+    least = {}
+    for i, t in texts:
+        if i is not None and words(t):
+            least[t] = min(i, least.get(t, i))
+    sets = {t: {tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)} for t in least}
+    want = []
+    for a, b in ((a, b) for a in least for b in least if a < b):
+        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        if j >= 0.8:
+            want.append((*sorted((least[a], least[b])), j))
+    assert sorted((a, b, round(j, 9)) for a, b, j in got) == sorted((a, b, round(j, 9)) for a, b, j in want)
+    assert any(a % 9 != 1 for a, _, _ in got)
+    rows = sorted((r.first_id, r.doc_id) for r in fingerprints.members(df).collect())
+    assert rows == sorted((least[t], i) for i, t in texts if i is not None and words(t))
