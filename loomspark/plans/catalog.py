@@ -153,6 +153,7 @@ def _by_doc(df: DataFrame, *cols) -> DataFrame:
 
 
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_BLANK = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"  # X.BLANK for the SQL side
 
 
 @query(f"""SELECT doc_id, unnest(range(len(ps)))::INT AS chunk_ord, unnest(ps) AS text FROM (
@@ -370,6 +371,42 @@ def cloze_budget(spark, sf_dir):
     return classify.classified(_replied(rows, raw)).select("doc_id", "reason")
 
 
+# The same over whole texts: a deletion for each run of words, and the last six words of every other text as one more.
+
+_RUNS_IN = f"""(SELECT *, [array_to_string(w[i * step + 1:(i + 1) * step], ' ') FOR i IN range((n + step - 1) // step)] || CASE WHEN doc_id % 2 = 0 AND n > 5 THEN [array_to_string(w[n - 5:n], ' ')] ELSE [] END AS runs
+  FROM (SELECT *, len(w) AS n FROM (SELECT doc_id, doc_id % 5 + 1 AS step, [x FOR x IN string_split(regexp_replace(coalesce(text, ''), '[{{}}{_BLANK}]+', ' ', 'g'), ' ') IF x <> ''] AS w FROM documents)))"""
+
+
+def _whole_cloze(spark, sf_dir) -> DataFrame:
+    step = (F.col("doc_id") % 5 + 1).cast("int")
+    words = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{{}}{X.BLANK}]+", " "), " "), lambda x: x != "")
+
+    def runs(w):
+        part = lambda i: F.array_join(F.slice(w, i * step + 1, step), " ")
+        each = F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / step).cast("int") - 1), part)).otherwise(F.array().cast("array<string>"))
+        last = F.when((F.col("doc_id") % 2 == 0) & (F.size(w) > 5), F.array(F.array_join(F.slice(w, F.size(w) - 5, 6), " "))).otherwise(F.array().cast("array<string>"))
+        return F.concat(each, last)
+
+    def deletion(r, i):
+        k = (F.col("doc_id") + i) % 4
+        return F.concat(F.when(k % 2 == 0, "{c").otherwise("{{c"), i + 1, F.lit("::"), r, F.when((k == 1) | (k == 2), "}").otherwise("}}"))
+
+    made = F.transform(classify.let(words, runs), deletion)
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.concat(made, F.array(F.lit("{{c0::z}}"))), " and ").alias("cloze"))
+
+
+@query(f"SELECT doc_id, array_to_string(['{{{{c' || i || '::' || runs[i] || '}}}}' FOR i IN range(1, len(runs) + 1)] || ['{{{{c0::z}}}}'], ' and ') AS cloze FROM {_RUNS_IN}")
+def cloze_repair_whole(spark, sf_dir):
+    return _whole_cloze(spark, sf_dir).select("doc_id", classify.cloze_repaired(F.col("cloze")).alias("cloze"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND n > 5 THEN 'exceeds_budget: cloze deletion ' || CASE WHEN contains(d, '''') AND NOT contains(d, '"') THEN '"' || replace(d, '\\', '\\\\') || '"' ELSE '''' || replace(replace(d, '\\', '\\\\'), '''', '\\''') || '''' END || ' has 6 words, limit 5' END AS reason
+FROM (SELECT *, '{{{{c' || len(runs) || '::' || runs[len(runs)] || '}}}}' AS d FROM {_RUNS_IN})""")
+def cloze_budget_whole(spark, sf_dir):
+    raw = F.to_json(F.struct(F.lit("Cloze").alias("choice"), F.struct(F.col("cloze").alias("text")).alias("fields")))
+    return classify.classified(_replied(_whole_cloze(spark, sf_dir), raw)).select("doc_id", "reason")
+
+
 @query("""SELECT p_partkey, r::INT AS row_ord, CASE r WHEN 0 THEN p_name ELSE 'again' END AS key, CASE r WHEN 0 THEN 'type' ELSE 'brand' END AS name1, CASE r WHEN 0 THEN p_type ELSE p_brand END AS value1, CASE r WHEN 0 THEN 'size' ELSE '' END AS name2, CASE r WHEN 0 THEN p_size::VARCHAR ELSE '' END AS value2
 FROM part, range(2) t(r) WHERE p_partkey % 5 <> 0""")
 def term_table_explode(spark, sf_dir):
