@@ -54,15 +54,25 @@ def drift_footer(qa_with_chaff: Column, trimmed_without_chaff: Column) -> Column
     return F.format_string("\n---\n\n_Routing drift (LLM bucket vs pattern): %d qa→trimmed override(s) on strong chaff signal; %d llm-trimmed chunk(s) with no pattern signal._\n", qa_with_chaff, trimmed_without_chaff)
 
 
-def rendered_overflow(numbered: DataFrame, lane: str, title: str, slug: str, date: str, drift: DataFrame | None = None) -> DataFrame:
-    """One row (body): the overflow file of a lane; the trimmed one ends with the drift counts."""
+def _beside(rows: DataFrame, other: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Left join on `by`, null-safe."""
+    side = other.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return rows.join(side, same, "left").drop(*[f"_{c}" for c in by])
+
+
+def rendered_overflow(numbered: DataFrame, lane: str, title: str, slug: str, date: str, drift: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., body): the overflow file of a lane, one of each ingestion; the trimmed one ends with the drift counts."""
     header = f"# {title} — {slug} ({date})\n\n"
     sections = numbered.filter(F.col("decision.bucket") == lane).withColumn("section", overflow_section())
-    body = _joined(sections, [], "item_no", "section", "\n")
+    body = _joined(sections, [*by], "item_no", "section", "\n")
+    if by:  # ingestions without an item in the lane have a file, too
+        body = _beside(numbered.select(*by).distinct(), body, by).fillna("", "body")
     body = body.withColumn("body", F.when(F.col("body") == "", F.lit(header + NO_OVERFLOW)).otherwise(F.concat(F.lit(header + "\n"), F.col("body"))))
     if drift is None:
         return body
-    return body.join(drift, how="cross").select(F.concat("body", drift_footer(F.col("qa_with_chaff"), F.col("trimmed_without_chaff"))).alias("body"))
+    both = _beside(body, drift, by) if by else body.join(drift, how="cross")
+    return both.select(*by, F.concat("body", drift_footer(F.col("qa_with_chaff"), F.col("trimmed_without_chaff"))).alias("body"))
 
 
 def parsed_blocks(files: DataFrame) -> DataFrame:

@@ -304,6 +304,15 @@ def overflow_render(spark, sf_dir):
     return review.rendered_overflow(routing.numbered(routed), "trimmed", "Trimmed", "s", "2026-01-02", routing.drift(routed))
 
 
+@query(f"""WITH {_ROUTED}, items AS (SELECT *, row_number() OVER (PARTITION BY source, bucket ORDER BY doc_id) AS n FROM routed),
+body AS (SELECT source, string_agg('## ' || n || '. From ' || source || chr(10) || chr(10) || '_Stage: ' || {_STAGE} || '_  ' || chr(10) || '_Reason: ' || reason || '_' || chr(10) || chr(10) || regexp_replace(text, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') || chr(10), chr(10) ORDER BY n) FILTER (bucket = 'trimmed') AS b,
+  count(*) FILTER (disagreement = 'qa_with_chaff') AS q, count(*) FILTER (disagreement = 'trimmed_without_chaff') AS t FROM items GROUP BY source)
+SELECT source, '# Trimmed — s (2026-01-02)' || chr(10) || chr(10) || coalesce(chr(10) || b, 'This ingestion has no overflow here.' || chr(10)) || chr(10) || '---' || chr(10) || chr(10) || '_Routing drift (LLM bucket vs pattern): ' || q || ' qa→trimmed override(s) on strong chaff signal; ' || t || ' llm-trimmed chunk(s) with no pattern signal._' || chr(10) AS body FROM body""")
+def overflow_render_whole(spark, sf_dir):
+    routed = _routed(spark, sf_dir)
+    return review.rendered_overflow(routing.numbered(routed, "source"), "trimmed", "Trimmed", "s", "2026-01-02", routing.drift(routed, "source"), ("source",))
+
+
 @query("SELECT doc_id % 4 <> 1 AS flagged, count(*) AS n, count(DISTINCT CASE WHEN doc_id % 4 <> 1 THEN doc_id % 4 END) AS reasons FROM documents GROUP BY ALL")
 def prefilter_partition(spark, sf_dir):
     kind = _pick(("references", None, "heading", "link-list"), F.col("doc_id") % 4)
@@ -338,9 +347,7 @@ def back_budget(spark, sf_dir):
     return classify.classified(_replied(_docs(spark, sf_dir), raw)).select("doc_id", "reason")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN n > 7 THEN 'exceeds_budget: Back has ' || n || ' items, limit 7' END ELSE CASE WHEN doc_id % 9 + 1 > 5 THEN 'exceeds_budget: Back has ' || (doc_id % 9 + 1) || ' steps, limit 5' END END AS reason FROM (SELECT doc_id, len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> '']) AS n FROM documents WHERE length(text) - length(replace(text, chr(10), '')) >= 2)")
-def list_budget(spark, sf_dir):
-    rows = _docs(spark, sf_dir).filter(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) >= 2)
+def _list_budget(rows: DataFrame) -> DataFrame:
     steps = F.array_join(F.transform(F.sequence(F.lit(1), F.col("doc_id") % 9 + 1), lambda i: F.concat(i.cast("string"), F.lit(". go"))), "  ")
     even = F.col("doc_id") % 2 == 0
     back = F.when(even, F.col("text")).otherwise(steps)
@@ -348,6 +355,21 @@ def list_budget(spark, sf_dir):
     return classify.classified(_replied(rows, raw)).select("doc_id", "reason")
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN n > 7 THEN 'exceeds_budget: Back has ' || n || ' items, limit 7' END ELSE CASE WHEN doc_id % 9 + 1 > 5 THEN 'exceeds_budget: Back has ' || (doc_id % 9 + 1) || ' steps, limit 5' END END AS reason FROM (SELECT doc_id, len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> '']) AS n FROM documents WHERE length(text) - length(replace(text, chr(10), '')) >= 2)")
+def list_budget(spark, sf_dir):
+    rows = _docs(spark, sf_dir).filter(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) >= 2)
+    return _list_budget(rows)
+
+
+_MARKED = f"""greatest(1, len(regexp_extract_all(text, '(?:^|[{_BLANK}])\\p{{Nd}}+\\.[{_BLANK}]')), len(regexp_extract_all(text, '(?:^|[{_BLANK}])[•\\-*][{_BLANK}]')))"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN m > 7 THEN 'exceeds_budget: Back has ' || m || ' items, limit 7' END ELSE CASE WHEN doc_id % 9 + 1 > 5 THEN 'exceeds_budget: Back has ' || (doc_id % 9 + 1) || ' steps, limit 5' END END AS reason
+FROM (SELECT doc_id, CASE WHEN n > 1 THEN n ELSE {_MARKED} END AS m FROM (SELECT doc_id, text, len([x FOR x IN string_split_regex(text, '\\r\\n|[\\n\\x{{0b}}\\x{{0c}}\\r\\x{{1c}}-\\x{{1e}}\\x{{85}}\\x{{2028}}\\x{{2029}}]') IF regexp_replace(x, '[{_BLANK}]+', '', 'g') <> '']) AS n FROM documents))""")
+def list_budget_whole(spark, sf_dir):
+    return _list_budget(_docs(spark, sf_dir))
+
+
 _CLOZE = "CASE doc_id % 4 WHEN 0 THEN '{c1::' || w || '}}' WHEN 1 THEN '{{c1::' || w || '} x' WHEN 2 THEN 'y {c1::' || w || '}' ELSE '{{c1::' || w || '}}' END || ' and {{c2::z}}'"
 _CLOZE_IN = "(SELECT doc_id, array_to_string(string_split(regexp_replace(substr(text, 1, 400), '[^A-Za-z ]+', '', 'g'), ' ')[1:1 + doc_id % 8], ' ') AS w FROM documents)"
 
@@ -418,12 +440,21 @@ def term_table_explode(spark, sf_dir):
     return made.select("p_partkey", "row_ord", *[F.col("fields")[k].alias(a) for k, a in (("Key", "key"), ("Attr1Name", "name1"), ("Attr1Value", "value1"), ("Attr2Name", "name2"), ("Attr2Value", "value2"))])
 
 
-@query("SELECT p_partkey, 'invalid_response: row 2 missing ''key''' AS reason FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'exceeds_budget: row 1 attr 1 value is 81 chars, limit 80' FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 2 = 1")
-def term_table_faults(spark, sf_dir):
+def _table_faults(parts: DataFrame) -> DataFrame:
     value = F.when(F.col("p_partkey") % 2 == 1, F.repeat(F.lit("x"), 81)).otherwise("ok")
     row = F.struct(F.lit("k").alias("key"), F.array(F.struct(F.lit("n").alias("name"), value.alias("value"))).alias("attrs"))
     raw = F.to_json(F.struct(F.lit("Table").alias("choice"), F.array(row, F.struct(F.lit("").alias("key"), F.array(F.struct(F.lit("n").alias("name"), F.lit("v").alias("value"))).alias("attrs"))).alias("rows")))
-    return classify.classified(_replied(_table(spark, sf_dir, "part").filter("p_partkey % 5 = 0"), raw, "p_partkey")).select("p_partkey", "reason")
+    return classify.classified(_replied(parts, raw, "p_partkey")).select("p_partkey", "reason")
+
+
+@query("SELECT p_partkey, 'invalid_response: row 2 missing ''key''' AS reason FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'exceeds_budget: row 1 attr 1 value is 81 chars, limit 80' FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 2 = 1")
+def term_table_faults(spark, sf_dir):
+    return _table_faults(_table(spark, sf_dir, "part").filter("p_partkey % 5 = 0"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'invalid_response: row 2 missing ''key''' ELSE 'exceeds_budget: row 1 attr 1 value is 81 chars, limit 80' END AS reason FROM part")
+def term_table_faults_whole(spark, sf_dir):
+    return _table_faults(_table(spark, sf_dir, "part"))
 
 
 def _reply(prompt: str) -> str:
@@ -501,8 +532,8 @@ def _sourced(spark, sf_dir) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", "source", "text")
 
 
-def _ledger(spark, sf_dir) -> DataFrame:
-    rows = _sourced(spark, sf_dir).filter("doc_id % 3 = 0").withColumns({"stable_guid": F.concat(F.lit("g"), "doc_id"), "deck": F.lit("D")})
+def _ledger(spark, sf_dir, held: str = "doc_id % 3 = 0") -> DataFrame:
+    rows = _sourced(spark, sf_dir).filter(held).withColumns({"stable_guid": F.concat(F.lit("g"), "doc_id"), "deck": F.lit("D")})
     return ledger.entries(rows.withColumn("line_no", F.col("doc_id")), "2026-01-01T00:00:00+00:00").join(ledger.keyed(rows).select("key", "stable_guid", F.col("doc_id").alias("line_no")), ["key", "stable_guid"])
 
 
@@ -526,6 +557,11 @@ def ledger_latest(spark, sf_dir):
     return ledger.latest(_ledger(spark, sf_dir)).select("key", "stable_guid")
 
 
+@query(f"SELECT {_KEY} AS key, 'g' || max(doc_id) AS stable_guid FROM documents GROUP BY ALL")
+def ledger_latest_whole(spark, sf_dir):
+    return ledger.latest(_ledger(spark, sf_dir, "true")).select("key", "stable_guid")
+
+
 @query(f"SELECT d.doc_id, l.guid AS stable_guid FROM (SELECT doc_id, {_KEY} AS key FROM documents) d LEFT JOIN (SELECT {_KEY} AS key, 'g' || max(doc_id) AS guid FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) l USING (key)")
 def ledger_lookup(spark, sf_dir):
     return ledger.lookup(_sourced(spark, sf_dir), _ledger(spark, sf_dir)).select("doc_id", "stable_guid")
@@ -536,6 +572,11 @@ def ledger_size(spark, sf_dir):
     return ledger.size(_ledger(spark, sf_dir))
 
 
+@query(f"SELECT count(DISTINCT {_KEY}) AS entries FROM documents")
+def ledger_size_whole(spark, sf_dir):
+    return ledger.size(_ledger(spark, sf_dir, "true"))
+
+
 @query(f"WITH {_LINES} SELECT DISTINCT doc_id FROM lines WHERE sha256(line) IN (SELECT sha256(unnest(string_split(text, chr(10)))) FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE doc_id % 100 = 7)) AND line <> ''")
 def benchmark_lines_seen(spark, sf_dir):
     line = lambda df: df.select("*", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''").withColumn("h", F.sha2("line", 256))
@@ -567,6 +608,13 @@ def scalar_keys(spark, sf_dir):
     return _docs(spark, sf_dir).filter(c.rlike(r"\A[\x00-\x7f]*\z")).select("doc_id", X.repeat_key(c).alias("key"), X.reply_key(c).alias("reply"), X.inline(c).alias("line"))
 
 
+@query(f"""SELECT doc_id, substr(lower(trim(regexp_replace(regexp_replace(text, '\\p{{Nd}}+', '', 'g'), '[{_BLANK}]+', ' ', 'g'))), 1, 80) AS key, sha1(text) AS reply,
+regexp_replace(regexp_replace(text, '\\r?\\n', ' ', 'g'), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS line FROM documents""")
+def scalar_keys_whole(spark, sf_dir):
+    c = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", X.repeat_key(c).alias("key"), X.reply_key(c).alias("reply"), X.inline(c).alias("line"))
+
+
 @query("SELECT conv_id, turn, 'conv:' || conv_id AS source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE regexp_replace(text, '\\s+', '', 'g') <> '' AND NOT regexp_matches(text, '\\n\\s*\\n')")
 def transcript_chunks(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"\n\s*\n"))

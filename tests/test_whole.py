@@ -41,3 +41,14 @@ def test_cloze_replies_hold_whole_texts(spark, odd):
     assert len(rows) == 62 and len(rows[20]) > len(LONG) and rows[20].count("{{c") == rows[20].count("}}") > 400
     reasons = {r.doc_id: r.reason for r in both(spark, odd, "cloze_budget_whole")}
     assert "::\\\\ slash — naïve 漢字 wide}}' has 6 words" in reasons[20] and reasons[21] is None
+
+
+@pytest.mark.parametrize("name, rows", [("scalar_keys", 62), ("list_budget", 62), ("term_table_faults", 20), ("overflow_render", 5), ("ledger_latest", None), ("ledger_size", 1)])
+def test_whole_tables(spark, odd, name, rows):
+    got = both(spark, odd, f"{name}_whole")
+    assert rows is None or len(got) == rows
+    if name == "overflow_render":
+        bodies = {r.source: r.body for r in got}
+        assert "no overflow here" in bodies["src4"] and "## 1. From src0" in bodies["src0"]
+    if name == "ledger_latest":
+        assert "g62" in {r.stable_guid for r in got}
