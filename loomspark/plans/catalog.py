@@ -623,6 +623,14 @@ def transcript_chunks(spark, sf_dir):
     return build.from_text(texts).select(F.get(key, F.lit(0)).cast("bigint").alias("conv_id"), F.get(key, F.lit(1)).cast("bigint").alias("turn"), "source", "text")
 
 
+@query(f"""SELECT conv_id, turn, unnest(range(len(ps)))::INT AS chunk_ord, 'conv:' || conv_id AS source, unnest(ps) AS text FROM (
+SELECT conv_id, turn, [y FOR y IN [regexp_replace(x, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') FOR x IN string_split_regex(text, '\\n[{_BLANK}]*\\n')] IF y <> ''] AS ps FROM conversations)""")
+def transcript_chunks_whole(spark, sf_dir):
+    texts = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("source_id"), F.concat(F.lit("conv:"), "conv_id").alias("label"), "text")
+    key = F.split("source_id", "/")
+    return build.from_text(texts).select(F.get(key, F.lit(0)).cast("bigint").alias("conv_id"), F.get(key, F.lit(1)).cast("bigint").alias("turn"), "chunk_ord", "source", "text")
+
+
 # Review files and commits.
 
 

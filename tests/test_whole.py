@@ -52,3 +52,8 @@ def test_whole_tables(spark, odd, name, rows):
         assert "no overflow here" in bodies["src4"] and "## 1. From src0" in bodies["src0"]
     if name == "ledger_latest":
         assert "g62" in {r.stable_guid for r in got}
+
+
+def test_turns_are_split_into_chunks(spark, odd):
+    got = sorted((r.conv_id, r.turn, r.chunk_ord, r.text) for r in both(spark, odd, "transcript_chunks_whole"))
+    assert got == [(1, 1, 0, "a"), (1, 1, 1, "b"), (1, 1, 2, "c"), (1, 2, 0, "one"), (2, 1, 0, "x")]
