@@ -14,7 +14,8 @@ The sum is divided by the square root of the number of words, as its noise grows
 with that, and a logistic curve fitted on rows kept apart maps it to 0..1.
 
 The fit takes a bounded sample: `sample` labelled rows a class for counts and half
-as many for the curve, those of least hash. Scores see nothing but the text.
+as many for the curve, those of least hash. All words of the sample count and all
+its pairs are kept, as arrays of hashes. Scores see nothing but the text.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, chunks, lean, pick, words
+from .common import WORD_PATTERN, chunks, lean, mix, pick, words
 
 DISCOUNT = 0.75
 START, END = "\x02", "\x03"
@@ -39,54 +40,96 @@ def _grams(word: str, order: int):
     return [(s[max(0, i - order) : i], s[i]) for i in range(1, len(s))]
 
 
+def _windows(ws: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all characters of some words and their ends: hash of the context, hash of context and character, and each word's first place."""
+    pad = "\0" * order + START
+    codes = np.frombuffer("".join([pad + w + END for w in ws]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    counts = np.fromiter(map(len, ws), np.int64, len(ws)) + 1
+    first = np.cumsum(counts) - counts
+    at = np.arange(int(counts.sum())) + np.repeat((order + 1) * np.arange(1, len(ws) + 1), counts)
+    return *_hashed([codes[at - k] for k in range(order, -1, -1)]), first
+
+
+def _hashed(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all columns but the last, and of all."""
+    h = np.full(len(columns[0]), 0x9E3779B97F4A7C15, np.uint64)
+    for c in columns[:-1]:
+        h = mix(h ^ c)
+    return h, mix(h ^ columns[-1] ^ np.uint64(1 << 40))
+
+
+@dataclass
+class Table:
+    """Values by 64-bit keys, 16 bytes an entry."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, values) -> Table:
+        order = np.argsort(keys, kind="stable")
+        return cls(keys[order], np.asarray(values, float)[order])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Value of each key, 0 where there is none, and whether there is one."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        held = self.keys[at] == keys
+        return np.where(held, self.values[at], 0.0), held
+
+
 @dataclass
 class Model:
     """log(toxic / ordinary) of a character after a context, `seen` for known pairs, else `unseen` by context."""
 
     order: int
-    seen: dict[str, float]
-    unseen: dict[str, float]
+    seen: Table
+    unseen: Table
     admixture: float
     slope: float = 0.0
     offset: float = -50.0
 
+    def log_ratios(self, ws: list[str]) -> np.ndarray:
+        context, pair, first = _windows(ws, self.order)
+        value, held = self.seen.find(pair)
+        rest = np.nonzero(~held)[0]
+        value[rest] = self.unseen.find(context[rest])[0]
+        return np.add.reduceat(value, first)
+
     def log_ratio(self, word: str) -> float:
-        s, k, total = START + word + END, self.order, 0.0
-        seen, unseen = self.seen, self.unseen
-        for i in range(1, len(s)):
-            a = i - k if i > k else 0
-            r = seen.get(s[a : i + 1])
-            total += unseen.get(s[a:i], 0.0) if r is None else r
-        return total
-
-    def evidence(self, word: str) -> float:
-        x = self.log_ratio(word)
-        e = self.admixture
-        return x + math.log(e + (1 - e) * math.exp(-x)) if x > 0 else math.log(1 - e + e * math.exp(x))
+        return float(self.log_ratios([word])[0])
+
+    def evidence(self, ws: list[str]) -> np.ndarray:
+        x, e = self.log_ratios(ws), self.admixture
+        return np.maximum(x, 0) + np.log(np.where(x > 0, e, 1 - e) + np.where(x > 0, 1 - e, e) * np.exp(-np.abs(x)))
 
     def score(self, evidence: float) -> float:
         x = self.slope * evidence + self.offset
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-class _Evidence(dict):
-    def __init__(self, model: Model, bound: int = 150_000):
-        super().__init__()
-        self.model, self.bound = model, bound
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= self.bound:
-            self.clear()
-        v = self[word] = self.model.evidence(word)
-        return v
+class _Evidence:
+    def __init__(self, model: Model, bound: int = 150_000, step: int = 10_000):
+        self.model, self.bound, self.step = model, bound, step
+        self.known: dict[str, float] = {}
 
     def of(self, text: str) -> float:
         ws = words(text.lower())
-        return sum(map(self.__getitem__, ws)) / math.sqrt(len(ws)) if ws else 0.0
-
-
-def fit_counts(ordinary: dict[str, int], toxic: dict[str, int], *, order: int = 5, admixture: float = 1e-3, most_grams: int = 250_000) -> Model:
-    """The model of two word-count tables. At most `most_grams` pairs are kept, the most frequent."""
+        if not ws:
+            return 0.0
+        different = set(ws)
+        new = sorted(different.difference(self.known))
+        if len(self.known) + len(new) > self.bound:
+            self.known, new = {}, sorted(different)
+        for a in range(0, len(new), self.step):
+            part = new[a : a + self.step]
+            self.known.update(zip(part, self.model.evidence(part).tolist(), strict=True))
+        return sum(map(self.known.__getitem__, ws)) / math.sqrt(len(ws))
+
+
+def fit_counts(ordinary: dict[str, int], toxic: dict[str, int], *, order: int = 5, admixture: float = 1e-3) -> Model:
+    """The model of two word-count tables, with all their pairs."""
     own: list[dict[str, Counter]] = []
     for counts in (ordinary, toxic):
         top: dict[str, Counter] = defaultdict(Counter)
@@ -131,15 +174,16 @@ def fit_counts(ordinary: dict[str, int], toxic: dict[str, int], *, order: int =
         n, kinds = totals[k][context]
         return math.log(DISCOUNT * kinds / n)
 
-    pairs = Counter()
-    for top in own:
-        for context, xs in top.items():
-            for x, n in xs.items():
-                pairs[context, x] += n
-    kept = sorted(pairs.items(), key=lambda y: (-y[1], y[0]))[:most_grams]
-    contexts = {c for (c, _), _ in kept}
-    seen = {c + x: math.log(p(1, c, x)) - math.log(p(0, c, x)) for (c, x), _ in kept}
-    return Model(order, seen, {c: left(1, c) - left(0, c) for c in contexts}, admixture)
+    pairs = sorted({(c, x) for top in own for c, xs in top.items() for x in xs})
+    contexts = sorted({c for c, _ in pairs})
+
+    def columns(strings: list[str]) -> list[np.ndarray]:
+        codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, order + 1)
+        return [codes[:, i].astype(np.uint64) for i in range(order + 1)]
+
+    seen = Table.of(_hashed(columns([c.rjust(order, "\0") + x for c, x in pairs]))[1], [math.log(p(1, c, x)) - math.log(p(0, c, x)) for c, x in pairs])
+    unseen = Table.of(_hashed(columns([c.rjust(order, "\0") + END for c in contexts]))[0], [left(1, c) - left(0, c) for c in contexts])
+    return Model(order, seen, unseen, admixture)
 
 
 def fit_curve(evidence: np.ndarray, label: np.ndarray, steps: int = 60) -> tuple[float, float]:
@@ -162,7 +206,7 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, most_words: int = 400_000, order: int = 5, admixture: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, order: int = 5, admixture: float = 1e-3) -> Model:
     """Fit on rows whose crc32(doc_id) mod 5 is not 0. A document labelled both ways counts as toxic.
 
     Without labelled rows of both classes the model gives every text the same score.
@@ -181,15 +225,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, most_words: i
     counts: list[dict[str, int]] = []
     found = rows.filter(~F.col("curve")).select("toxic", w).groupBy("toxic", "w").agg(F.count("*").alias("n"))
     for k in (0, 1):
-        best = found.filter(F.col("toxic") == k).orderBy(F.desc("n"), "w").limit(most_words)
-        counts.append({r["w"]: r["n"] for r in best.select("w", "n").toLocalIterator()})
+        counts.append({r["w"]: r["n"] for r in found.filter(F.col("toxic") == k).select("w", "n").toLocalIterator()})
     if not counts[0] or not counts[1]:
-        return Model(order, {}, {}, admixture)
+        return fit_counts({}, {}, order=order, admixture=admixture)
     model = fit_counts(*counts, order=order, admixture=admixture)
     kept = rows.filter("curve").select("doc_id", "toxic", "text")
 
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by most_grams
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches):
         known = _Evidence(shared.value)
@@ -208,7 +251,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A null or empty text has no evidence and scores what the curve gives to none.
     Very long texts are scored whole. Repeated rows each yield a row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by most_grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches):
         known = _Evidence(shared.value)

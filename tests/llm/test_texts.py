@@ -251,6 +251,16 @@ def test_kneser_ney_sums_to_one():
     assert m.log_ratio("ad") > 1 > 0 > m.log_ratio("ac")
 
 
+def test_rare_toxic_pairs_are_kept():
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    ordinary, toxic = {word(9): 9 for _ in range(45_000)}, {word(9): 1 for _ in range(300)}
+    m = toxicity.fit_counts(ordinary, toxic)
+    x = m.log_ratios([*toxic])
+    assert x.min() > 5 and m.log_ratios([*ordinary][:500]).max() < -1
+    assert np.allclose(x[:20], [m.log_ratio(w) for w in [*toxic][:20]], rtol=0, atol=1e-9)
+
+
 def brute_targets(sizes):
     """Targets by sharing and resharing the excess."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
