@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,20 +41,32 @@ def prepare(spark: SparkSession) -> SparkSession:
     return ship(spark)
 
 
-def lean(run):
-    """A function over batches that hands free memory back to the system when it ends; workers live on."""
+def lean(run, least: int = 8 << 20):
+    """A function over batches that hands free memory back to the system when it ends; workers live on.
+
+    Tasks that read less than `least` bytes leave too little behind to be worth it.
+    """
 
     def lean_run(batches):
+        read = 0
+
+        def counted():
+            nonlocal read
+            for b in batches:
+                read += b.nbytes
+                yield b
+
         try:
-            yield from run(batches)
+            yield from run(counted())
         finally:
-            import ctypes
-            import gc
+            if read >= least:
+                import ctypes
+                import gc
 
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+                if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                    libc.malloc_trim(0)
 
     return lean_run
 
@@ -182,7 +194,3 @@ class Workspace:
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}"), True)
-
-
-def as_binary(values: Iterable, dtype: str) -> bytes:
-    return np.ascontiguousarray(values, dtype=dtype).tobytes()

@@ -1,48 +1,25 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
-Documents with equal shingle sets form a class; classes are the nodes. Each class
-posts itself under coordinate-value pairs of its signature. Two classes are
-candidates if at least `matches` of their `size` coordinates agree; links are
-candidates whose full sets reach the threshold. `matches` is the largest number that
-loses a link at the threshold with a probability below `miss`.
-
-Prefix and skip merging: in the order from rare to frequent pairs, two signatures
-with `matches` pairs in common share one within their first size - matches + 1
-pairs. So each class skips its most frequent lists, drops pairs that it alone
-holds, and posts the rest of that prefix; a class with fewer shared pairs than
-`matches` posts nothing.
-
-An exact bound prunes what posts. An exchange of the posting classes' shingles
-tells how many of its own each class shares with any other of them. Two classes
-have no more in common than the smaller of these numbers, so a class that cannot
-reach the threshold with a set as small as the smallest of a list leaves that list.
-
-Lists are not expanded into pairs. Rounds of stars test each member against one
-pivot of its list, the member that shares most; what is linked is contracted, and
-members of the pivot's component are not tested again. At last every list that
-still spans several components is settled exactly. Its members post their rarest
-shingles; a list's members outside its largest component meet members of other
-components where the rest of both sets, from the shared shingle on, is enough for
-a link. Pairs with enough matches are confirmed. So every link between different
-components is found, and links inside a component change nothing.
+Documents with equal shingle sets form a class. Each class posts itself under the
+coordinate-value pairs of its MinHash signature. Two classes are candidates if at
+least `matches` of their `size` coordinates agree; links are candidates whose full
+sets reach the threshold. `matches` is the largest number that loses a link at the
+threshold with a probability below `miss`. How lists are counted, skipped and merged
+stands in `linking`.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import exchange
-from .common import WordHashes, Workspace, chunks, lean, many_shingles, mix, pick, words
-
-#: Classes whose sets are fetched by a broadcast of their keys (16 bytes each); beyond, by a shuffle.
-BROADCAST_KEYS = 500_000
+from .common import WordHashes, Workspace, chunks, lean, mix, pick
+from .linking import Shingling, class_components, class_of, text_hash
 
 
 def least_matches(size: int, threshold: float, miss: float) -> int:
@@ -56,22 +33,6 @@ def least_matches(size: int, threshold: float, miss: float) -> int:
     return max(m, 1)
 
 
-def lowered(text: str) -> str:
-    """A-Z in lower case, all else unchanged: bytes.lower() knows ASCII only."""
-    return text.lower() if text.isascii() else text.encode("utf-8").lower().decode("utf-8")
-
-
-def shingle_sets(texts: list[str], width: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Shingle hashes of all texts in a row, their counts, and the sorted distinct ones of each."""
-    x, count = many_shingles([hashes.of(words(lowered(t))) for t in texts], width)
-    ends = np.cumsum(count)
-    return x, count, [np.unique(x[e - n : e]) for e, n in zip(ends, count, strict=True)]
-
-
-def _class(s: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-
-
 def signatures(x: np.ndarray, count: np.ndarray, seeds: np.ndarray, step: int = 1 << 15) -> np.ndarray:
     """Least hash of each text under each seed; rows of texts without shingles are 0."""
     out = np.zeros((len(count), len(seeds)), np.uint64)
@@ -93,148 +54,25 @@ def signatures(x: np.ndarray, count: np.ndarray, seeds: np.ndarray, step: int =
     return out
 
 
-def _signed(rows: DataFrame, width: int, size: int) -> DataFrame:
-    """doc_id, n_shingles, cls (null without shingles), keys: one hash for each coordinate and value."""
+def _signed(rows: DataFrame, shingling: Shingling, size: int) -> DataFrame:
+    """doc_id, th, n_shingles, cls (null without shingles), keys: one hash for each coordinate and value."""
     seeds = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            for ids, texts in chunks(b.column(1), b.column(0)):
-                x, count, sets = shingle_sets(texts, width, hashes)
-                keys = (mix(signatures(x, count, seeds) ^ seeds) >> np.uint64(1)).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * size), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.binary()), lists], ["doc_id", "n_shingles", "cls", "keys"])
-
-    return rows.mapInArrow(lean(run), "doc_id bigint, n_shingles bigint, cls binary, keys array<bigint>")
-
-
-def _sets(rows: DataFrame, width: int) -> DataFrame:
-    def run(batches):
-        hashes = WordHashes()
-        for b in batches:
-            for ids, texts in chunks(b.column(1), b.column(0)):
-                sets = shingle_sets(texts, width, hashes)[2]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_class(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "cls", "shingles"])
-
-    return rows.mapInArrow(lean(run), "doc_id bigint, cls binary, shingles binary")
-
-
-def _shared_counts(sets: DataFrame, ws: Workspace, name: str, batch_sets: int = 1000, bucket_keys: int = 2_000_000, least_buckets: int = 256) -> DataFrame:
-    """cls, n, shared: how many of a class's shingles stand in another class too.
-
-    Sets travel as packed batches; each batch sends its distinct shingles to buckets
-    by hash and gets a bit back for each: whether two classes hold it.
-    """
-
-    def packed(batches):
-        from pyspark import TaskContext
-
-        part, seq = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for a in range(0, b.num_rows, batch_sets):
-                s = b.slice(a, batch_sets)
-                blobs = s.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([b"".join(s.column(0).to_pylist())], pa.binary()), pa.array([np.array([len(x) // 8 for x in blobs], "<i8").tobytes()], pa.binary()), pa.array([b"".join(blobs)], pa.binary())], ["batch", "classes", "sizes", "shingles"])
-                seq += 1
-
-    packs = ws.write(sets.select("cls", "shingles").mapInArrow(lean(packed), "batch bigint, classes binary, sizes binary, shingles binary"), f"{name}_packs")
-    total = packs.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
-    buckets = max(least_buckets, total // 8 // bucket_keys)
-
-    def opened(r):
-        sizes, x = np.frombuffer(r["sizes"], "<i8"), np.frombuffer(r["shingles"], np.uint64)
-        keys, place, count = np.unique(x, return_inverse=True, return_counts=True)
-        return sizes, keys, place, count > 1
-
-    def send(batches):
-        def made():
-            for b in batches:
-                for r in b.to_pylist():
-                    _, keys, _, two = opened(r)
-                    yield from exchange.packets(r["batch"], keys, two, buckets)
+            for at, texts in chunks(b.column(1), pa.array(range(b.num_rows))):
+                x, count, sets = shingling.of(texts, hashes)
+                keys = mix(signatures(x, count, seeds) ^ seeds).view(np.int64)
+                ids, th = (b.column(i).take(pa.array(at)) for i in (0, 2))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * size), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([ids, th, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.binary()), lists], ["doc_id", "th", "n_shingles", "cls", "keys"])
 
-        yield from exchange.emit(made())
+    hashed = rows.select("doc_id", "text", text_hash(F.col("text")))
+    return hashed.mapInArrow(lean(run), "doc_id bigint, th bigint, n_shingles bigint, cls binary, keys array<bigint>")
 
-    answers = exchange.ask(packs.mapInArrow(lean(send), exchange.PACKET), exchange.in_two)
-
-    def counted(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                sizes, keys, place, _ = opened(r)
-                hit = exchange.bits(r["answers"], keys, buckets)[place]
-                upto = np.concatenate([[0], np.cumsum(hit)])
-                ends = np.cumsum(sizes)
-                classes = [r["classes"][i : i + 16] for i in range(0, len(r["classes"]), 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(upto[ends] - upto[ends - sizes], pa.int64())], ["cls", "n", "shared"])
-
-    made = packs.join(answers, "batch", "left").mapInArrow(lean(counted), "cls binary, n bigint, shared bigint")
-    out = ws.write(made, name)
-    ws.drop(f"{name}_packs")
-    return out
 
-
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """cls, n, v, pos: the rarest shingles of each set with their places, as many as leave too few for a link.
-
-    Rare means in few of these sets, ties by hash: one order for all. Two linked sets
-    share a shingle of both prefixes, and where they first do, what follows in the
-    shorter rest must still be enough.
-    """
-
-    def flat(batches):
-        for b in batches:
-            for a in range(0, b.num_rows, 500):
-                part = b.slice(a, 500)
-                blobs = part.column(1).to_pylist()
-                sizes = np.array([len(x) // 8 for x in blobs])
-                values = np.frombuffer(b"".join(blobs), np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(blobs)), sizes))), pa.array(values)], ["cls", "v"])
-
-    rows = sets.select("cls", "shingles").mapInArrow(lean(flat), "cls binary, v bigint")
-    often = rows.groupBy("v").agg(F.count("*").alias("often"))
-    whole = rows.join(often, "v").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("s")).withColumn("n", F.size("s").cast("bigint"))
-    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    return whole.select("cls", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("pos", "x")).select("cls", "n", "pos", F.col("x.v").alias("v"))
-
-
-def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach 100 * intersection >= percent * union."""
-
-    def run(batches):
-        for b in batches:
-            xs, ys = (b.column(i).to_pylist() for i in (2, 3))
-            ok = []
-            for x, y in zip(xs, ys, strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
-
-    return pairs.mapInArrow(lean(run), "a binary, b binary")
-
-
-def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """node, root for every node of the edges (a, b): least labels, with pointer jumping, to a fixed point."""
-    both = ws.write(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}_both")
-    now = ws.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root")), f"{name}_0")
-    step = 0
-    while True:
-        heard = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        least = now.join(heard, "node", "left").select("node", F.least("root", "heard").alias("root"))
-        jump = now.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        after = least.join(jump, "root", "left").select("node", F.least("root", "further").alias("root"))
-        step += 1
-        after = ws.write(after, f"{name}_{step}")
-        changed = after.withColumnRenamed("root", "was").join(now, "node").filter("was != root").limit(1).count()
-        ws.drop(f"{name}_{step - 1}")
-        now = after
-        if not changed:
-            return now
-
-
-def near_duplicates(df: DataFrame, ws: Workspace, *, width: int = 5, percent: int = 80, size: int = 24, miss: float = 1e-6, stars: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, ws: Workspace, *, width: int = 5, percent: int = 80, size: int = 24, miss: float = 1e-6) -> DataFrame:
     """Per row: doc_id, n_shingles, class_id (hex, null without shingles), component_id, kept.
 
     `percent`: least Jaccard similarity of a link, in hundredths. component_id is the
@@ -244,97 +82,10 @@ def near_duplicates(df: DataFrame, ws: Workspace, *, width: int = 5, percent: in
     rows share a class, so each of them bears the component's id. An empty table
     yields no row.
     """
-    matches = least_matches(size, percent / 100, miss)
+    shingling = Shingling(width)
     rows = pick(df, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    signed = ws.write(_signed(rows, width, size), "signed")
-    classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.max("keys").alias("keys"))
-    classes = ws.write(classes, "classes")
-
-    # The posted prefix: shared pairs from rare to frequent, without the matches - 1 most frequent ones.
-    held = classes.select("cls", F.explode("keys").alias("key"))
-    lists = held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    mine = held.join(lists, "key").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("mine"))
-    mine = mine.filter(F.size("mine") >= matches)
-    posted = mine.select("cls", F.explode(F.slice("mine", F.lit(1), F.size("mine") - (matches - 1))).alias("x")).select("cls", F.col("x.key").alias("key"))
-    posted = ws.write(posted, "posted")
-    in_play = ws.write(classes.join(posted.select("cls").distinct(), "cls", "left_semi"), "in_play")
-
-    # Full sets of the posting classes, each from the row that stands for its class.
-    need = in_play.select(F.col("cls").alias("c"), "id")
-    few = need.count() <= BROADCAST_KEYS
-    sets = _sets(rows, width).join(F.broadcast(need) if few else need, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    sets = ws.write(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
-    known = _shared_counts(sets, ws, "shared").filter(100 * F.col("shared") >= percent * F.col("n"))
-    posted = ws.write(posted.join(known, "cls"), "known")
-
-    def reachable(shared: Column, n: Column, other: Column) -> Column:
-        """Whether `shared` in common can be enough for sets of n and `other` shingles."""
-        return (100 + percent) * shared >= percent * (n + other)
-
-    def agree(x: Column, y: Column) -> Column:
-        return F.size(F.array_intersect(x, y)) >= matches
-
-    keys_of = lambda side: in_play.select(F.col("cls").alias(side), F.col("keys").alias(f"keys_{side}"))
-    links: list[DataFrame] = []
-    roots: DataFrame | None = None
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        x, y = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
-        met = pairs.join(x, "a").join(y, "b").select("a", "b", "s_a", "s_b")
-        return ws.write(_confirmed(met, percent), name)
-
-    def placed(name: str) -> DataFrame:
-        """Postings with their roots, in lists that span components, without members that no list-mate can reach."""
-        at = posted.withColumn("root", F.col("cls"))
-        if roots is not None:
-            at = posted.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        least = at.groupBy("key").agg(F.min("n").alias("least"))
-        at = at.join(least, "key").filter(reachable(F.col("shared"), F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)))).drop("least")
-        at = ws.write(at, name)
-        open_ = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-        return at.join(open_, "key", "left_semi")
-
-    for r in range(stars):
-        at = placed(f"placed_{r}")
-        order = F.struct(F.col("n") - F.col("shared"), F.xxhash64("cls")) if r == 0 else F.struct(F.xxhash64("cls", F.lit(r)))
-        pivots = at.groupBy("key").agg(F.min_by(F.struct("cls", "root", "n", "shared"), order).alias("pivot"))
-        pairs = at.join(pivots, "key").filter(F.col("root") != F.col("pivot.root"))
-        pairs = pairs.filter(reachable(F.least("shared", "pivot.shared"), F.col("n"), F.col("pivot.n")))
-        pairs = pairs.select(F.col("cls").alias("a"), F.col("pivot.cls").alias("b")).distinct()
-        pairs = pairs.join(keys_of("a"), "a").join(keys_of("b"), "b").filter(agree(F.col("keys_a"), F.col("keys_b"))).select("a", "b")
-        pairs = ws.write(pairs, f"pairs_{r}")
-        if not pairs.limit(1).count():
-            break
-        links.append(verified(pairs, f"links_{r}"))
-        roots = components(_all(links), ws, f"roots_{r}")
-
-    # What stars left open: members of lists over several components, settled exactly.
-    open_ = ws.write(placed("placed").select("cls", "root").distinct(), "open")
-    prefix = _prefixes(sets.join(open_, "cls", "left_semi"), percent)
-    at = ws.write(prefix.join(open_, "cls"), "prefixes")
-    parts = at.groupBy("v", "root").agg(F.count("*").alias("members"))
-    main = parts.groupBy("v").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("v", "main")
-    members = at.join(main, "v")
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("root", "n", "pos")]
-    x = members.filter("root != main").select("v", F.col("cls").alias("a"), *side("a"))
-    y = members.select(F.col("v").alias("v_b"), F.col("cls").alias("b"), "main", *side("b"))
-    once = (F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    fits = reachable(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")), F.col("n_a"), F.col("n_b"))
-    rest = x.join(y, (F.col("v") == F.col("v_b")) & (F.col("root_a") != F.col("root_b")) & once & fits).select("a", "b").distinct()
-    rest = rest.join(keys_of("a"), "a").join(keys_of("b"), "b").filter(agree(F.col("keys_a"), F.col("keys_b"))).select("a", "b")
-    rest = ws.write(rest, "rest")
-    if rest.limit(1).count():
-        links.append(verified(rest, "links_rest"))
-        roots = components(_all(links), ws, "roots_rest")
-
-    ids = classes.select("cls", "id")
-    if roots is not None:
-        ids = ids.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
-        ids = ids.join(least, "root").select("cls", "component_id")
-    else:
-        ids = ids.select("cls", F.col("id").alias("component_id"))
-    ids = ws.write(ids, "ids")
+    signed = ws.write(_signed(rows, shingling, size), "signed")
+    ids = class_components(rows, signed, ws, shingling, size=size, matches=least_matches(size, percent / 100, miss), percent=percent)
     out = signed.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", F.hex("cls").alias("class_id"), component.alias("component_id"))
@@ -342,13 +93,6 @@ def near_duplicates(df: DataFrame, ws: Workspace, *, width: int = 5, percent: in
     return out.withColumn("kept", kept)
 
 
-def _all(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for x in links[1:]:
-        out = out.unionAll(x)
-    return out
-
-
 def deduplicated(df: DataFrame, ws: Workspace, *, width: int = 5, percent: int = 80, **options) -> DataFrame:
     """The rows of a table that stay, with all their columns: one of each component, and every row without words.
 
@@ -365,10 +109,12 @@ def deduplicated(df: DataFrame, ws: Workspace, *, width: int = 5, percent: int =
     plain = df.toDF(*[f"_{i}" for i in range(len(names))])
     schema = T.StructType([*plain.schema.fields, T.StructField("_class", T.StringType())])
 
+    shingling = Shingling(width)
+
     def classed(batches):
         hashes = WordHashes()
         for b in batches:
-            sets = (_class(s) for _, ts in chunks(b.column(place)) for s in shingle_sets(ts, width, hashes)[2])
+            sets = (class_of(s) for _, ts in chunks(b.column(place)) for s in shingling.of(ts, hashes)[2])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if c is None else c.hex().upper() for c in sets], pa.string())], schema.names)
 
     rows = plain.mapInArrow(lean(classed), schema)

@@ -8,7 +8,7 @@ import pytest
 from helpers import clashing, docs, odd_texts, words
 from pyspark.sql import functions as F
 
-from loomspark.llm import fingerprints, neardup, substring, topk
+from loomspark.llm import fingerprints, linking, neardup, substring, topk
 from loomspark.llm.common import Workspace, many_shingles, shingle_hashes
 
 
@@ -116,6 +116,52 @@ def test_near_duplicates(spark, width, percent):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=key) == sorted(brute_near(pairs, width, percent), key=key)
 
 
+@pytest.mark.parametrize("broadcast, one_task", [(0, 2_000_000), (200_000, 0)])
+def test_near_duplicates_beyond_the_bounds(spark, monkeypatch, broadcast, one_task):
+    monkeypatch.setattr(linking, "BROADCAST_KEYS", broadcast)
+    monkeypatch.setattr(linking, "ONE_TASK_LINKS", one_task)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(4):
+        texts += family(rng, " ".join(f"t{rng.randrange(3000)}" for _ in range(60)), 12, 6)
+    pairs = [*enumerate(texts, 100), *odd_texts()]
+    got = neardup.near_duplicates(docs(spark, pairs).repartition(3), Workspace(spark), width=3, percent=85)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=key) == sorted(brute_near(pairs, 3, 85), key=key)
+
+
+def test_hot_groups(spark, monkeypatch):
+    """Many copies near one text, a shingle that all texts hold, and texts of one template that are not near."""
+    monkeypatch.setattr(linking, "SALT_MEMBERS", 16)
+    rng = random.Random(12)
+    base = [f"t{i}" for i in range(120)]
+    copies = []
+    for k in range(3000):  # one word replaced, all within two words of each other
+        ws = [*base]
+        ws[rng.randrange(len(ws))] = f"c{k}"
+        copies.append("all texts begin alike " + " ".join(ws))
+    form = [f"f{i}" for i in range(60)]
+    forms = ["all texts begin alike " + " ".join([*form, *(f"u{k}-{i}" for i in range(14))]) for k in range(150)]
+    pairs = [*enumerate(copies, 1000), *enumerate(forms, 9000)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, pairs).repartition(5), Workspace(spark), width=3, percent=85).collect()}
+    assert {got[i] for i, _ in enumerate(copies, 1000)} == {1000}
+    assert [got[i] for i, _ in enumerate(forms, 9000)] == [i for i, _ in enumerate(forms, 9000)]
+
+
+def test_contraction():
+    rng = np.random.default_rng(4)
+    e = rng.integers(0, 400, (300, 2))
+    links = np.concatenate([e, 7000 - e], 1)
+    nodes, roots, ids = linking._contract(links)
+    up = {int(x): int(x) for x in e.ravel()}
+    for _ in range(400):
+        for a, b in e.tolist():
+            up[a] = up[b] = min(up[a], up[b])
+    assert dict(zip(nodes.tolist(), roots.tolist())) == up
+    most = {r: max(n for n, x in up.items() if x == r) for r in up.values()}
+    assert dict(zip(nodes.tolist(), ids.tolist())) == {n: 7000 - most[r] for n, r in up.items()}
+
+
 def test_near_duplicates_of_none(spark):
     assert neardup.near_duplicates(docs(spark, {1: "a"}).filter("false"), Workspace(spark)).count() == 0
 
