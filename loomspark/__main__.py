@@ -1,6 +1,7 @@
 """Command line: bootstrap, ingest, card, commit. Each prints one JSON object.
 
-Notes are kept in a folder of JSON lines (`--store`). Model replies come from a command
+Notes, decks and note types are kept in a folder of JSON lines (`--store`); `--ledger` names a folder of the
+chunks that were ingested: those are left out, and new ones recorded. Model replies come from a command
 (`--model`) or from recorded replies (`--replies`: JSON lines of text_sha1 and raw).
 """
 
@@ -17,13 +18,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.operators import classify, models
+from loomspark.operators import classify, ledger, models
 from loomspark.plans import ingest as runs
 from loomspark.schema import DEFAULT_SHAPES, CitationError, ConfigError, ExtractionError, QueueParseError
 from loomspark.session import ship
 from loomspark.sources import chunks as build
 from loomspark.sources import readers
 from loomspark.sources.models import command_model
+from loomspark.sources.store import Store
 
 
 def state_root() -> Path:
@@ -33,10 +35,6 @@ def state_root() -> Path:
     return Path(os.environ.get("XDG_STATE_HOME") or Path.home() / ".local" / "state") / "loomspark"
 
 
-def _json(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path) if path and Path(path).exists() else spark.createDataFrame([], schema)
-
-
 def _reply(spark: SparkSession, a):
     if a.replies:
         recorded = spark.read.schema("text_sha1 string, raw string").json(a.replies)
@@ -62,11 +60,12 @@ def _found(spark: SparkSession, a) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, a) -> dict:
-    present = _json(spark, a.store and f"{a.store}/models", "model_name string")
+    store = Store(spark, a.store) if a.store else None
+    present = store.models() if store else spark.createDataFrame([], "model_name string")
     all_ = models.starter_models(spark, _shapes(a))
     out = models.bootstrap(all_, present).first().asDict()
-    if a.store and not a.dry_run and out["created"]:
-        models.missing(all_, present).write.mode("append").json(f"{a.store}/models")
+    if store and not a.dry_run and out["created"]:
+        store.add_models(models.missing(all_, present))
     return out
 
 
@@ -79,6 +78,8 @@ def ingest(spark: SparkSession, a) -> dict:
     run = runs.ingest(found, _reply(spark, a), shapes=_shapes(a), batch=batch, known=known)
     first = found.select("source", "source_type").first()
     paths = runs.write(run, deck=a.deck, slug=runs.slug_of(spark, first["source"], first["source_type"]), root=a.root)
+    if a.ledger:
+        ledger.record(run.chunks.withColumns({"stable_guid": F.sha1(F.col("text").cast("binary")), "deck": F.lit(a.deck)}), a.ledger)
     return run.summary().first().asDict() | dict(zip(("queue", "qa_file", "trimmed_file"), map(str, paths), strict=True)) | {"batch": batch}
 
 
@@ -91,12 +92,10 @@ def card(spark: SparkSession, a) -> dict:
 
 
 def commit(spark: SparkSession, a, path: str | None = None) -> dict:
-    store = _json(spark, a.store and f"{a.store}/notes", "stable_guid string")
+    store = Store(spark, a.store) if a.store else spark.createDataFrame([], "stable_guid string")
     done, archived = runs.commit(spark, path or a.file, store, dry_run=a.dry_run)
     rows = done.collect()
     by = lambda what: [r["stable_guid"] for r in rows if r["outcome"] == what]
-    if a.store and not a.dry_run and by("created"):
-        done.filter(F.col("outcome") == "created").select("stable_guid", "deck", "model").write.mode("append").json(f"{a.store}/notes")
     return {"created": by("created"), "updated": by("updated"), "failed": [[r["block"], r["error"]] for r in rows if r["outcome"] == "failed"], "archived": archived}
 
 

@@ -1,8 +1,14 @@
-"""The ledger of ingested chunks: an append-only table, the last entry of a key counts."""
+"""The ledger of ingested chunks: an append-only folder of JSON lines, the last entry of a key counts.
+
+Entries carry the time of their batch (nanoseconds) and their place in it, as Spark
+neither writes nor reads files in the order in which they were appended.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import content_key
@@ -15,7 +21,7 @@ def keyed(chunks: DataFrame) -> DataFrame:
 
 
 def latest(ledger: DataFrame, order: str = "line_no") -> DataFrame:
-    """One entry a key, by aggregation (partial on the map side) rather than a window."""
+    """One entry a key, the one with the greatest `order`, by aggregation (partial on the map side) rather than a window."""
     names = [c for c in ledger.columns if c != "key"]
     last = ledger.groupBy("key").agg(F.max_by(F.struct(*names), F.col(order)).alias("_e"))
     return last.select("key", *[F.col(f"_e.{c}").alias(c) for c in names])
@@ -41,16 +47,11 @@ def entries(committed: DataFrame, at: str | None = None) -> DataFrame:
 
 
 def record(committed: DataFrame, path: str, at: str | None = None) -> DataFrame:
-    """Append to the ledger's folder of JSON lines."""
+    """Append to the ledger's folder of JSON lines; a later call's entries count as later ones."""
     rows = entries(committed, at)
-    rows.write.mode("append").json(path)
+    rows.withColumns({"batch": F.lit(time.time_ns()), "place": F.monotonically_increasing_id()}).write.mode("append").json(path)
     return rows
 
 
 def size(ledger: DataFrame) -> DataFrame:
     return ledger.agg(F.countDistinct("key").alias("entries"))
-
-
-def ordered(ledger: DataFrame) -> DataFrame:
-    """Entries with a rank of recency a key, for audits."""
-    return ledger.withColumn("recency", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("line_no"))))

@@ -111,7 +111,7 @@ def guid(deck: Column, model: Column, first: Column) -> Column:
 
 
 def merged(blocks: DataFrame, store: DataFrame, deck_errors: DataFrame | None = None) -> DataFrame:
-    """Commit of parsed blocks as a merge into `store` (stable_guid): block, stable_guid, outcome, error.
+    """Commit of parsed blocks as a merge into `store` (stable_guid): file, block, stable_guid, deck, model, fields, tags, outcome, error.
 
     Blocks that did not parse or whose deck failed (deck, deck_error) are `failed`;
     a note that the store or an earlier block has is `updated`, else `created`.
@@ -124,7 +124,8 @@ def merged(blocks: DataFrame, store: DataFrame, deck_errors: DataFrame | None =
     rows = rows.join(there, "stable_guid", "left")
     earlier = F.row_number().over(Window.partitionBy("stable_guid", F.col("error").isNull()).orderBy("file", "block")) > 1
     outcome = F.when(F.col("error").isNotNull(), "failed").when(F.col("_there") | earlier, "updated").otherwise("created")
-    return rows.select("file", "block", F.when(F.col("error").isNull(), F.col("stable_guid")).alias("stable_guid"), "deck", "model", outcome.alias("outcome"), "error")
+    tags = F.col("tags") if "tags" in blocks.columns else F.array().cast("array<string>")
+    return rows.select("file", "block", F.when(F.col("error").isNull(), F.col("stable_guid")).alias("stable_guid"), "deck", "model", "fields", tags.alias("tags"), outcome.alias("outcome"), "error")
 
 
 def decks(blocks: DataFrame) -> DataFrame:

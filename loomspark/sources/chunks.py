@@ -97,7 +97,7 @@ def from_book_items(items: DataFrame) -> DataFrame:
     source = F.coalesce("title", "filename")
     anchor = F.when(F.coalesce(F.col("p.anchor"), F.lit("")) != "", F.concat(F.lit("#"), F.col("p.anchor"))).otherwise("")
     return rows.select(
-        "source_id", (F.col("ord") * 100_000 + F.col("i")).cast("int").alias("chunk_ord"), F.col("p.text").alias("text"), source.alias("source"),
+        "source_id", (F.shiftleft(F.col("ord").cast("bigint"), 32) + F.col("i")).alias("chunk_ord"), F.col("p.text").alias("text"), source.alias("source"),
         F.concat("href", anchor).alias("position"), F.lit("epub").alias("source_type"),
         _meta(title=source, filename=F.col("filename"), spine_item=F.col("href"), anchor=anchor).alias("metadata"), "prefilter_kind",
     )

@@ -100,11 +100,24 @@ def read_whole(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a folder of JSON lines with their order; blank lines are skipped, a corrupt line is an error."""
-    rows = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
-    rows = rows.filter(strip(F.col("value")) != "").withColumn("e", F.from_json("value", LEDGER))
-    bad = F.raise_error(F.concat(F.lit("corrupt ledger line: "), F.col("value")))
-    return rows.withColumn("key", F.when(F.col("e.key").isNull(), bad).otherwise(F.col("e.key"))).select("key", "e.source", "e.stable_guid", "e.deck", "e.ingested_at", "line_no")
+    """Entries of a file or folder of JSON lines; `line_no` orders them as they were appended.
+
+    Batches follow each other by their time, files without one by that of their last
+    change, lines by their place. Blank lines are skipped; a corrupt line is an error
+    that names its file and line.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    rows = lines.withColumn("e", F.from_json("value", f"{LEDGER}, batch bigint, place bigint"))
+    corrupt = F.lit(False)
+    for c in LEDGER.split(", "):
+        corrupt = corrupt | F.col("e")[c.split()[0]].isNull()
+    rows = rows.filter(strip(F.col("value")) != "")
+    if bad := rows.filter(corrupt).orderBy("file", "block", "i").first():
+        before = (F.col("block") < bad["block"]) | ((F.col("block") == bad["block"]) & (F.col("i") <= bad["i"]))
+        n = lines.filter((F.col("file") == bad["file"]) & before).count()
+        raise ValueError(f"corrupt ledger line {n} of {bad['file']}: {bad['value']}")
+    order = F.struct(F.coalesce("e.batch", F.unix_micros("changed") * 1000).alias("batch"), F.when(F.col("e.batch").isNull(), F.col("file")).alias("file"), F.coalesce("e.place", "block").alias("block"), F.when(F.col("e.batch").isNull(), F.col("i")).alias("i"))
+    return rows.select("e.key", "e.source", "e.stable_guid", "e.deck", "e.ingested_at", order.alias("line_no"))
 
 
 def read_review(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import review, routing
 
+#: Items that a review file may hold.
+REVIEW_ROWS = 100_000
+
 
 def write_lanes(routed: DataFrame, tagged: DataFrame, path: str, ingestion_date: str, mode: str = "append") -> None:
     """Overflow under lane=qa and lane=trimmed, cards under lane=queue, partitioned by date and lane."""
@@ -18,8 +21,14 @@ def write_lanes(routed: DataFrame, tagged: DataFrame, path: str, ingestion_date:
 
 
 def write_review(tagged: DataFrame, overflow: DataFrame, *, deck: str, slug: str, date: str, queue_dir: str, qa_dir: str, trimmed_dir: str) -> tuple[Path, Path, Path]:
-    """The three review files of one ingestion, always all of them. A review file is for one reader, so its text is one row."""
+    """The three review files of one ingestion, always all of them.
+
+    A review file is for one reader: its text is one row, its items are numbered in
+    one task. Beyond REVIEW_ROWS items that is an error; bulk runs take `write_lanes`.
+    """
     routed = routing.route(overflow)
+    if (n := max(tagged.count(), overflow.count())) > REVIEW_ROWS:
+        raise ValueError(f"{n} items are too many for a review file: use write_lanes")
     numbered = routing.numbered(routed)
     bodies = (
         review.rendered_queue(tagged, deck),

@@ -49,6 +49,18 @@ def test_command_model():
     assert ask("hello") == "hello" and reply_text("plain") == "plain"
 
 
+def test_child_has_no_private_settings(monkeypatch):
+    monkeypatch.setenv("PYTHONPATH", "/x")
+    ask = command_model([sys.executable, "-c", "import os; print(os.environ.get('PYTHONPATH'), 'PATH' in os.environ)"])
+    assert ask("p") == "None True"
+
+
+def test_ledger_of_ingested_chunks(spark, capsys, tmp_path, replies):
+    argv = ("ingest", "--text", "ATP is made in mitochondria.\n\nNothing.", "--label", "L", "--replies", replies, "--root", tmp_path / "r", "--ledger", tmp_path / "ledger")
+    first, second = (said(spark, capsys, *argv)[1] for _ in range(2))
+    assert (first["candidates"], first["trimmed"]) == (1, 1) and (second["candidates"], second["qa"], second["trimmed"]) == (0, 0, 0)
+
+
 def test_state_root(monkeypatch):
     monkeypatch.setenv("LOOMSPARK_STATE", "/x/y")
     assert str(state_root()) == "/x/y"
