@@ -1,13 +1,13 @@
 """PDF text blocks to chunks: running headers, reference and thanks runs, affiliations.
 
 `blocks`: source_id, page, block_ord (reading order in the document), text,
-block_type. The reference run and the thanks run are islands between markers; all
-windows share the partitioning by source_id, so the plan shuffles once for them.
+block_type. Running keys, the reference run and the thanks run are windows inside a
+document, so all of them share one dealing by source_id: the plan shuffles once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import repeat_key, strip
@@ -17,11 +17,14 @@ LEAST_CHARS = 30
 RUNNING_CHARS = 150
 
 
+def _is_short(text: Column) -> Column:
+    return (F.length(text) > 0) & (F.length(text) <= RUNNING_CHARS)
+
+
 def running_keys(blocks: DataFrame) -> DataFrame:
     """(source_id, key) of short blocks that stand on two pages or more."""
-    short = blocks.filter((F.length("text") > 0) & (F.length("text") <= RUNNING_CHARS))
-    keyed = short.withColumn("key", repeat_key(F.col("text"))).filter("key <> ''")
-    return keyed.groupBy("source_id", "key").agg(F.countDistinct("page").alias("pages")).filter("pages >= 2").select("source_id", "key")
+    keyed = blocks.filter(_is_short(F.col("text"))).withColumn("key", repeat_key(F.col("text"))).filter("key <> ''")
+    return keyed.groupBy("source_id", "key").agg(F.min("page").alias("first"), F.max("page").alias("last")).filter("first <> last").select("source_id", "key")
 
 
 def flagged(blocks: DataFrame) -> DataFrame:
@@ -33,9 +36,10 @@ def flagged(blocks: DataFrame) -> DataFrame:
     heading of any length flags what follows on its page and ends the references.
     """
     text = blocks.filter("block_type = 0").select("source_id", "page", "block_ord", strip(F.col("text")).alias("text"))
-    keys = running_keys(text).withColumn("running", F.lit(True))
-    rows = text.withColumn("key", repeat_key(F.col("text"))).join(keys, ["source_id", "key"], "left")
-    rows = rows.withColumn("running", F.coalesce("running", F.lit(False)))
+    rows = text.repartition("source_id").withColumn("key", repeat_key(F.col("text")))
+    short = F.when(_is_short(F.col("text")) & (F.col("key") != ""), F.col("page"))
+    alike = Window.partitionBy("source_id", "key")
+    rows = rows.withColumn("running", F.coalesce(F.min(short).over(alike) != F.max(short).over(alike), F.lit(False)))
     c, live = F.col("text"), ~F.col("running")
     long_ = F.length(c) >= LEAST_CHARS
     refs, thanks = live & structure.is_references_heading(c), live & ~structure.is_references_heading(c) & structure.is_thanks_heading(c)

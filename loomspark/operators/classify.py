@@ -18,36 +18,48 @@ from loomspark.functions.text import BLANK, lines, reply_key, strip, unfenced
 from loomspark.operators.prefilter import split
 from loomspark.schema import DEFAULT_SHAPES, Shape
 
-PROMPT = """You turn one passage into one study note.
+PROMPT = """Make one study note out of the passage below, or say that it has none.
 
-Note types:
+Note types and what each may hold at most:
 {shapes}
 
-Answer with one JSON object. Choose the note type that fits and fill its fields:
+How to choose:
+- Take one note type, by the name in quotes. Its budget is a hard limit: what does not fit is overflow.
+- Say only what the passage says, in few words, and put one fact on the note.
+- A cloze hides the terms worth learning, each as {{c1::term}}, {{c2::next term}}, with two braces on both sides.
+- A table that is looked up by its first column goes into a table note type if there is one, even with prose around it:
+  one row for each line of the table, however many. The limit on attributes counts those of one row.
+- With several facts and no such table, note the central one; if none is central, it is overflow.
+- Leave Source and Position out; they are filled in later.
+
+Answer with one JSON object and nothing else, no list, no code fence:
 {"choice": "<note type>", "fields": {"<field>": "<text>"}}
-For a table, give a row for each line of it:
-{"choice": "<note type>", "rows": [{"key": "<text>", "attrs": [{"name": "<text>", "value": "<text>"}]}]}
-Cloze deletions are written {{c1::text}}. If nothing fits within the budgets:
-{"choice": "overflow", "reason": "<why>", "bucket": "qa" or "trimmed"}
-Use "qa" for facts worth keeping and "trimmed" for matter without any.
+{"choice": "<table note type>", "rows": [{"key": "<first column>", "attrs": [{"name": "<column>", "value": "<cell>"}]}]}
+{"choice": "overflow", "reason": "<a few words>", "bucket": "qa" or "trimmed"}
+
+Buckets of overflow:
+- "qa" keeps matter worth reading: facts, definitions, explanations that are too long, too involved or too many for a note.
+- "trimmed" is for text with nothing to learn: references, indexes, contents, headings, names and addresses, thanks, links, filler.
+Say, "Smith J (1999) On cells. J Biol 4:1-9." is trimmed (a reference), "Aal, 3. Abbot, 7-9. Acid, 12." is trimmed (an index),
+a list of chapter titles is trimmed (contents), and a paragraph that defines three terms is qa (several facts).
 
 Passage:
 {passage}
 """
 
 
+def _offer(s: Shape) -> str:
+    """What a note type takes, in words."""
+    if s.shape == "term-table":
+        pairs = [r for r in s.fields if r.startswith("attr") and r.endswith("_value")]
+        return f"rows of a key with at most {len(pairs)} named values each"
+    return "the fields " + ", ".join(f for r, f in s.fields.items() if r not in ("source", "position"))
+
+
 def shapes_block(shapes: dict[str, Shape]) -> str:
-    """One line a note type, as the prompt shows it. Table slots appear as attribute pairs."""
-    out = []
-    for name, s in shapes.items():
-        budget = ", ".join(f"{k}={v}" for k, v in s.cutoffs.items()) or "(no budget)"
-        if s.shape == "term-table":
-            slots = sum(r.startswith("attr") and r.endswith("_value") for r in s.fields)
-            what = f"one key and up to {slots} attribute pairs a row, any number of rows"
-        else:
-            what = "fields " + ", ".join(f for r, f in s.fields.items() if r not in ("source", "position"))
-        out.append(f'- "{name}" (shape={s.shape}): {what}; budget: {budget}')
-    return "\n".join(out)
+    """The note types as the prompt shows them."""
+    limits = lambda s: "; ".join(f"{k} {v}" for k, v in s.cutoffs.items()) or "none"
+    return "\n".join(f'- "{name}", a {s.shape}: {_offer(s)}. Limits: {limits(s)}.' for name, s in shapes.items())
 
 
 def prompt(text: Column, shapes: dict[str, Shape] = DEFAULT_SHAPES) -> Column:
@@ -148,9 +160,11 @@ def _shown(view: Column, as_repr: bool = False) -> Column:
 def item_count(text: Column) -> Column:
     """Non-blank lines if there are several; else the larger number of numbers or bullets, 1 at least."""
     edge = rf"(?:^|[{BLANK}])"
+    # What marks an item in running text.
+    marked = (r"\p{Nd}+\.", r"[•\-*]")
 
     def counted(t: Column) -> Column:
-        marks = [F.size(F.regexp_extract_all(t, F.lit(rf"{edge}{mark}[{BLANK}]"), F.lit(0))) for mark in (r"\p{Nd}+\.", r"[•\-*]")]
+        marks = [F.size(F.regexp_extract_all(t, F.lit(rf"{edge}{mark}[{BLANK}]"), F.lit(0))) for mark in marked]
         return let(F.size(lines(t)), lambda n: F.when(n > 1, n).otherwise(F.greatest(F.lit(1), *marks)))
 
     return let(text, counted)
@@ -158,6 +172,7 @@ def item_count(text: Column) -> Column:
 
 def cloze_repaired(text: Column) -> Column:
     """Deletions with a brace too few on either side or both get their two."""
+    # A deletion, and the three ways in which braces are missing.
     body = r"(c\p{Nd}+::[^{}]*?)"
     for pattern in (rf"(?<!\{{)\{{{body}\}}\}}", rf"\{{\{{{body}\}}(?!\}})", rf"(?<!\{{)\{{{body}\}}(?!\}})"):
         text = F.regexp_replace(text, pattern, "{{$1}}")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspark.schema import DEFAULT_SHAPES, Shape
 
 SCHEMA = "ord int, model_name string, in_order_fields array<string>, is_cloze boolean, card_templates array<struct<name:string,front:string,back:string>>"
+# The markup of card templates; their fields come from the shapes.
 _CITATION = "<small>{{Source}} {{Position}}</small>"
 
 

@@ -27,6 +27,20 @@ BOOK_HEADING_KINDS = (
     (("preface",), "preface"),
     (("colophon",), "colophon"),
 )
+# File names of whole book items, by how they are matched, and their kinds.
+FILE_NAMES = (
+    ("table-of-contents", "name", ("toc", "nav")),
+    ("title-page", "end", ("titlepage",)),
+    ("copyright", "whole", ("imprint", "copyright", "uncopyright", "copyrightpage")),
+    ("dedication", "end", ("dedication",)),
+    ("colophon", "end", ("colophon",)),
+    ("endnotes", "start", ("endnotes", "footnotes")),
+    ("bibliography", "whole", ("bibliography", "references")),
+    ("preface", "end", ("preface",)),
+    ("author-info", "whole", ("abouttheauthor", "abouttheauthors")),
+)
+#: `name`: the lower-case stem; the others: its letters and digits.
+_NAME_SHAPES = {"name": r"\A(%s)\z", "whole": r"\A(%s)\z", "start": r"\A(%s)", "end": r"(%s)\z"}
 # Section types of e-books and roles of sections.
 SECTION_TYPES = {
     "titlepage": "title-page", "halftitlepage": "title-page", "imprint": "copyright", "copyright-page": "copyright",
@@ -39,6 +53,7 @@ SECTION_ROLES = {
     "doc-colophon": "colophon", "doc-preface": "preface", "doc-toc": "table-of-contents", "doc-index": "index",
     "doc-abstract": "abstract", "doc-acknowledgments": "acknowledgments",
 }
+# Marks of affiliations, and the shapes of headings and citations in PDF text.
 AFFILIATIONS = ("department of", "university of", "institute of", "school of", "faculty of", "laboratory of", "college of", "division of", "affiliation", "@")
 REFERENCES_HEADING = rf"(?i)^[{BLANK}]*(references|bibliography|works cited|literature cited|notes and references)\b"
 THANKS_HEADING = rf"(?i)^[{BLANK}]*acknowledge?ments\b"
@@ -66,21 +81,10 @@ def book_heading_kind(title: Column) -> Column:
 
 
 def file_stem_kind(href: Column) -> Column:
-    """Kind of a whole book item by its file name. A bare `index` is never one."""
-    name = F.regexp_replace(href, "(?s)^.*/", "")
-    stem = F.lower(F.regexp_replace(name, r"(?s)\.[^.]*$", ""))
+    """Kind of a whole book item by its file name; of several rules the first one counts."""
+    stem = F.lower(F.regexp_replace(F.regexp_replace(href, "(?s)^.*/", ""), r"(?s)\.[^.]*$", ""))
     plain = F.regexp_replace(stem, "[^a-z0-9]", "")
-    return F.when(plain != "", _first([
-        (stem.isin("toc", "nav"), "table-of-contents"),
-        (plain.endswith("titlepage"), "title-page"),
-        (plain.isin("imprint", "copyright", "uncopyright", "copyrightpage"), "copyright"),
-        (plain.endswith("dedication"), "dedication"),
-        (plain.endswith("colophon"), "colophon"),
-        (plain.startswith("endnotes") | plain.startswith("footnotes"), "endnotes"),
-        (plain.isin("bibliography", "references"), "bibliography"),
-        (plain.endswith("preface"), "preface"),
-        (plain.isin("abouttheauthor", "abouttheauthors"), "author-info"),
-    ]))
+    return F.coalesce(*[F.when((stem if how == "name" else plain).rlike(_NAME_SHAPES[how] % "|".join(names)), kind) for kind, how, names in FILE_NAMES])
 
 
 def book_item_kind(href: Column, properties: Column) -> Column:

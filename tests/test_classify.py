@@ -80,10 +80,11 @@ def test_flagged_chunks_never_reach_the_model(spark, tmp_path):
 
 
 def test_filter_stands_below_the_model_in_the_plan(spark):
-    df = spark.range(3).selectExpr("cast(id as string) source_id", "0 chunk_ord", "'t' text", "'s' source", "'' position", "'manual' source_type", "'x' prefilter_kind")
+    df = spark.range(3).selectExpr("cast(id as string) source_id", "0 chunk_ord", "'t' text", "'s' source", "'' position", "'manual' source_type")
     ask, _ = prefilter.split(df.withColumn("prefilter_kind", F.when(F.col("source_id") == "1", F.lit("k"))))
-    plan = classify.call_model(ask, str, once=False)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("ArrowEvalPython") < plan.index("Filter") or "Filter" in plan.split("ArrowEvalPython")[1]
+    lines = classify.call_model(ask, str, once=False)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    model, kept = (next(i for i, x in enumerate(lines) if what in x) for what in ("ArrowEvalPython", "Filter"))
+    assert model < kept  # a plan is printed from the top
 
 
 def test_replay_misses_are_errors(spark):
@@ -94,7 +95,7 @@ def test_replay_misses_are_errors(spark):
 
 def test_prompt_and_shapes():
     block = classify.shapes_block(DEFAULT_SHAPES | {"Free": Shape("term-def", {"front": "F", "source": "S"})})
-    assert "back_max_chars=200" in block and "up to 4 attribute pairs" in block and '"Free" (shape=term-def): fields F; budget: (no budget)' in block
+    assert "back_max_chars 200" in block and "at most 4 named values" in block and '"Free", a term-def: the fields F. Limits: none.' in block
 
 
 def test_width():
@@ -146,8 +147,10 @@ def test_citations(spark):
     df = spark.createDataFrame(rows, "source_type string, metadata map<string,string>")
     got = [(r.cite_source, r.cite_position, r.cite_error) for r in citation.cited(df).collect()]
     assert got == [("T, 2", "", None), (None, None, "missing metadata: edition"), ("f", "page 3", None), (None, None, "unknown source type zip"), (None, None, "missing metadata: url")]
-    with pytest.raises(Exception, match="unknown source type"):
-        citation.cited(df, fail=True).collect()
+    for row, message in ((1, "missing metadata: edition"), (3, "unknown source type zip"), (4, "missing metadata: url")):
+        with pytest.raises(Exception, match=message):
+            citation.cited(spark.createDataFrame([rows[row]], df.schema), fail=True).collect()
+    assert citation.cited(spark.createDataFrame([rows[0], rows[2]], df.schema), fail=True).count() == 2
 
 
 def test_configs(tmp_path):
