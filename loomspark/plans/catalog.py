@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as X
 from loomspark.operators import blocks as B
 from loomspark.operators import citation, classify, ledger, models, prefilter, review, routing, structure, tagging
-from loomspark.schema import DEFAULT_CONVENTIONS, TagRules
-from loomspark.session import ship
+from loomspark.plans import ingest as runs
+from loomspark.schema import DEFAULT_CONVENTIONS, SOURCE_TYPES, ConfigError, TagRules
+from loomspark.session import scratch, ship
 from loomspark.sources import chunks as build
+from loomspark.sources import epub, readers, sinks
+from loomspark.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -295,20 +298,11 @@ def overflow_numbering(spark, sf_dir):
     return routing.numbered(_routed(spark, sf_dir), "source").select("doc_id", "decision.bucket", "item_no")
 
 
-@query(f"""WITH {_ROUTED}, items AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) AS n FROM routed WHERE source = 'src1'),
-body AS (SELECT string_agg('## ' || n || '. From ' || source || chr(10) || chr(10) || '_Stage: ' || {_STAGE} || '_  ' || chr(10) || '_Reason: ' || reason || '_' || chr(10) || chr(10) || {_TRIM.format("text")} || chr(10), chr(10) ORDER BY n) AS b,
-  (SELECT count(*) FILTER (disagreement = 'qa_with_chaff') FROM items) AS q, (SELECT count(*) FILTER (disagreement = 'trimmed_without_chaff') FROM items) AS t FROM items WHERE bucket = 'trimmed')
-SELECT '# Trimmed — s (2026-01-02)' || chr(10) || chr(10) || chr(10) || b || chr(10) || '---' || chr(10) || chr(10) || '_Routing drift (LLM bucket vs pattern): ' || q || ' qa→trimmed override(s) on strong chaff signal; ' || t || ' llm-trimmed chunk(s) with no pattern signal._' || chr(10) AS body FROM body""")
-def overflow_render(spark, sf_dir):
-    routed = _routed(spark, sf_dir).filter("source = 'src1'")
-    return review.rendered_overflow(routing.numbered(routed), "trimmed", "Trimmed", "s", "2026-01-02", routing.drift(routed))
-
-
 @query(f"""WITH {_ROUTED}, items AS (SELECT *, row_number() OVER (PARTITION BY source, bucket ORDER BY doc_id) AS n FROM routed),
 body AS (SELECT source, string_agg('## ' || n || '. From ' || source || chr(10) || chr(10) || '_Stage: ' || {_STAGE} || '_  ' || chr(10) || '_Reason: ' || reason || '_' || chr(10) || chr(10) || regexp_replace(text, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') || chr(10), chr(10) ORDER BY n) FILTER (bucket = 'trimmed') AS b,
   count(*) FILTER (disagreement = 'qa_with_chaff') AS q, count(*) FILTER (disagreement = 'trimmed_without_chaff') AS t FROM items GROUP BY source)
 SELECT source, '# Trimmed — s (2026-01-02)' || chr(10) || chr(10) || coalesce(chr(10) || b, 'This ingestion has no overflow here.' || chr(10)) || chr(10) || '---' || chr(10) || chr(10) || '_Routing drift (LLM bucket vs pattern): ' || q || ' qa→trimmed override(s) on strong chaff signal; ' || t || ' llm-trimmed chunk(s) with no pattern signal._' || chr(10) AS body FROM body""")
-def overflow_render_whole(spark, sf_dir):
+def overflow_render(spark, sf_dir):
     routed = _routed(spark, sf_dir)
     return review.rendered_overflow(routing.numbered(routed, "source"), "trimmed", "Trimmed", "s", "2026-01-02", routing.drift(routed, "source"), ("source",))
 
@@ -355,45 +349,16 @@ def _list_budget(rows: DataFrame) -> DataFrame:
     return classify.classified(_replied(rows, raw)).select("doc_id", "reason")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN n > 7 THEN 'exceeds_budget: Back has ' || n || ' items, limit 7' END ELSE CASE WHEN doc_id % 9 + 1 > 5 THEN 'exceeds_budget: Back has ' || (doc_id % 9 + 1) || ' steps, limit 5' END END AS reason FROM (SELECT doc_id, len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> '']) AS n FROM documents WHERE length(text) - length(replace(text, chr(10), '')) >= 2)")
-def list_budget(spark, sf_dir):
-    rows = _docs(spark, sf_dir).filter(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) >= 2)
-    return _list_budget(rows)
-
-
 _MARKED = f"""greatest(1, len(regexp_extract_all(text, '(?:^|[{_BLANK}])\\p{{Nd}}+\\.[{_BLANK}]')), len(regexp_extract_all(text, '(?:^|[{_BLANK}])[•\\-*][{_BLANK}]')))"""
 
 
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN m > 7 THEN 'exceeds_budget: Back has ' || m || ' items, limit 7' END ELSE CASE WHEN doc_id % 9 + 1 > 5 THEN 'exceeds_budget: Back has ' || (doc_id % 9 + 1) || ' steps, limit 5' END END AS reason
 FROM (SELECT doc_id, CASE WHEN n > 1 THEN n ELSE {_MARKED} END AS m FROM (SELECT doc_id, text, len([x FOR x IN string_split_regex(text, '\\r\\n|[\\n\\x{{0b}}\\x{{0c}}\\r\\x{{1c}}-\\x{{1e}}\\x{{85}}\\x{{2028}}\\x{{2029}}]') IF regexp_replace(x, '[{_BLANK}]+', '', 'g') <> '']) AS n FROM documents))""")
-def list_budget_whole(spark, sf_dir):
+def list_budget(spark, sf_dir):
     return _list_budget(_docs(spark, sf_dir))
 
 
-_CLOZE = "CASE doc_id % 4 WHEN 0 THEN '{c1::' || w || '}}' WHEN 1 THEN '{{c1::' || w || '} x' WHEN 2 THEN 'y {c1::' || w || '}' ELSE '{{c1::' || w || '}}' END || ' and {{c2::z}}'"
-_CLOZE_IN = "(SELECT doc_id, array_to_string(string_split(regexp_replace(substr(text, 1, 400), '[^A-Za-z ]+', '', 'g'), ' ')[1:1 + doc_id % 8], ' ') AS w FROM documents)"
-
-
-def _cloze(spark, sf_dir) -> DataFrame:
-    words = F.array_join(F.slice(F.split(F.regexp_replace(F.substring("text", 1, 400), "[^A-Za-z ]+", ""), " "), F.lit(1), (F.col("doc_id") % 8 + 1).cast("int")), " ")
-    k, w = F.col("doc_id") % 4, F.col("w")
-    made = F.when(k == 0, F.concat(F.lit("{c1::"), w, F.lit("}}"))).when(k == 1, F.concat(F.lit("{{c1::"), w, F.lit("} x"))).when(k == 2, F.concat(F.lit("y {c1::"), w, F.lit("}"))).otherwise(F.concat(F.lit("{{c1::"), w, F.lit("}}")))
-    return _docs(spark, sf_dir).withColumn("w", words).withColumn("cloze", F.concat(made, F.lit(" and {{c2::z}}")))
-
-
-@query(f"SELECT doc_id, regexp_replace(replace(replace({_CLOZE}, '{{{{', '{{'), '}}}}', '}}'), '\\{{(c\\d+::[^{{}}]*)\\}}', '{{{{\\1}}}}', 'g') AS cloze FROM {_CLOZE_IN}")
-def cloze_repair(spark, sf_dir):
-    return _cloze(spark, sf_dir).select("doc_id", classify.cloze_repaired(F.col("cloze")).alias("cloze"))
-
-
-@query(f"SELECT doc_id, CASE WHEN n > 5 THEN 'exceeds_budget: cloze deletion ''{{{{c1::' || w || '}}}}'' has ' || n || ' words, limit 5' END AS reason FROM (SELECT *, len([x FOR x IN string_split(w, ' ') IF x <> '']) AS n FROM {_CLOZE_IN} WHERE w <> '')")
-def cloze_budget(spark, sf_dir):
-    rows = _cloze(spark, sf_dir).filter("w <> ''")
-    raw = F.to_json(F.struct(F.lit("Cloze").alias("choice"), F.struct(F.col("cloze").alias("text")).alias("fields")))
-    return classify.classified(_replied(rows, raw)).select("doc_id", "reason")
-
-
-# The same over whole texts: a deletion for each run of words, and the last six words of every other text as one more.
+# Cloze replies out of whole texts: a deletion for each run of words, and the last six words of every other text as one more.
 
 _RUNS_IN = f"""(SELECT *, [array_to_string(w[i * step + 1:(i + 1) * step], ' ') FOR i IN range((n + step - 1) // step)] || CASE WHEN doc_id % 2 = 0 AND n > 5 THEN [array_to_string(w[n - 5:n], ' ')] ELSE [] END AS runs
   FROM (SELECT *, len(w) AS n FROM (SELECT doc_id, doc_id % 5 + 1 AS step, [x FOR x IN string_split(regexp_replace(coalesce(text, ''), '[{{}}{_BLANK}]+', ' ', 'g'), ' ') IF x <> ''] AS w FROM documents)))"""
@@ -418,13 +383,13 @@ def _whole_cloze(spark, sf_dir) -> DataFrame:
 
 
 @query(f"SELECT doc_id, array_to_string(['{{{{c' || i || '::' || runs[i] || '}}}}' FOR i IN range(1, len(runs) + 1)] || ['{{{{c0::z}}}}'], ' and ') AS cloze FROM {_RUNS_IN}")
-def cloze_repair_whole(spark, sf_dir):
+def cloze_repair(spark, sf_dir):
     return _whole_cloze(spark, sf_dir).select("doc_id", classify.cloze_repaired(F.col("cloze")).alias("cloze"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND n > 5 THEN 'exceeds_budget: cloze deletion ' || CASE WHEN contains(d, '''') AND NOT contains(d, '"') THEN '"' || replace(d, '\\', '\\\\') || '"' ELSE '''' || replace(replace(d, '\\', '\\\\'), '''', '\\''') || '''' END || ' has 6 words, limit 5' END AS reason
 FROM (SELECT *, '{{{{c' || len(runs) || '::' || runs[len(runs)] || '}}}}' AS d FROM {_RUNS_IN})""")
-def cloze_budget_whole(spark, sf_dir):
+def cloze_budget(spark, sf_dir):
     raw = F.to_json(F.struct(F.lit("Cloze").alias("choice"), F.struct(F.col("cloze").alias("text")).alias("fields")))
     return classify.classified(_replied(_whole_cloze(spark, sf_dir), raw)).select("doc_id", "reason")
 
@@ -447,13 +412,8 @@ def _table_faults(parts: DataFrame) -> DataFrame:
     return classify.classified(_replied(parts, raw, "p_partkey")).select("p_partkey", "reason")
 
 
-@query("SELECT p_partkey, 'invalid_response: row 2 missing ''key''' AS reason FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'exceeds_budget: row 1 attr 1 value is 81 chars, limit 80' FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 2 = 1")
-def term_table_faults(spark, sf_dir):
-    return _table_faults(_table(spark, sf_dir, "part").filter("p_partkey % 5 = 0"))
-
-
 @query("SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'invalid_response: row 2 missing ''key''' ELSE 'exceeds_budget: row 1 attr 1 value is 81 chars, limit 80' END AS reason FROM part")
-def term_table_faults_whole(spark, sf_dir):
+def term_table_faults(spark, sf_dir):
     return _table_faults(_table(spark, sf_dir, "part"))
 
 
@@ -552,13 +512,8 @@ def ledger_new(spark, sf_dir):
     return ledger.unseen(_sourced(spark, sf_dir), _ledger(spark, sf_dir)).select("doc_id")
 
 
-@query(f"SELECT {_KEY} AS key, 'g' || max(doc_id) AS stable_guid FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL")
-def ledger_latest(spark, sf_dir):
-    return ledger.latest(_ledger(spark, sf_dir)).select("key", "stable_guid")
-
-
 @query(f"SELECT {_KEY} AS key, 'g' || max(doc_id) AS stable_guid FROM documents GROUP BY ALL")
-def ledger_latest_whole(spark, sf_dir):
+def ledger_latest(spark, sf_dir):
     return ledger.latest(_ledger(spark, sf_dir, "true")).select("key", "stable_guid")
 
 
@@ -567,21 +522,26 @@ def ledger_lookup(spark, sf_dir):
     return ledger.lookup(_sourced(spark, sf_dir), _ledger(spark, sf_dir)).select("doc_id", "stable_guid")
 
 
-@query("SELECT count(DISTINCT key) AS entries FROM (SELECT substr(sha256(source || chr(0) || text), 1, 16) AS key FROM documents WHERE doc_id % 3 = 0)")
+@query(f"SELECT count(DISTINCT {_KEY}) AS entries FROM documents")
 def ledger_size(spark, sf_dir):
-    return ledger.size(_ledger(spark, sf_dir))
+    return ledger.size(_ledger(spark, sf_dir, "true"))
 
 
-@query(f"SELECT count(DISTINCT {_KEY}) AS entries FROM documents")
-def ledger_size_whole(spark, sf_dir):
-    return ledger.size(_ledger(spark, sf_dir, "true"))
+@query(f"WITH {_LINES}, held AS (SELECT line, min(doc_id) AS first FROM lines GROUP BY line) SELECT DISTINCT doc_id FROM lines JOIN held USING (line) WHERE line <> '' AND first < doc_id")
+def repeated_lines_seen(spark, sf_dir):
+    lines = _docs(spark, sf_dir).select("doc_id", F.lit("line").alias("source"), F.explode(F.split("text", "\n")).alias("text")).filter("text <> ''")
+    entries = ledger.keyed(lines).select("key", F.col("doc_id").alias("stable_guid"), F.lit("D").alias("deck"), F.lit("").alias("ingested_at"), (-F.col("doc_id")).alias("line_no"))
+    return ledger.lookup(lines, entries).filter("stable_guid < doc_id").select("doc_id").distinct()
 
 
-@query(f"WITH {_LINES} SELECT DISTINCT doc_id FROM lines WHERE sha256(line) IN (SELECT sha256(unnest(string_split(text, chr(10)))) FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE doc_id % 100 = 7)) AND line <> ''")
-def benchmark_lines_seen(spark, sf_dir):
-    line = lambda df: df.select("*", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''").withColumn("h", F.sha2("line", 256))
-    held = _table(spark, sf_dir, "benchmark").select("text").unionAll(_docs(spark, sf_dir).filter("doc_id % 100 = 7").select("text"))
-    return line(_docs(spark, sf_dir)).join(line(held).select("h").distinct(), "h", "left_semi").select("doc_id").distinct()
+@query(f"SELECT {_KEY} AS key, CASE WHEN bool_or(doc_id % 3 = 0) THEN 'new' ELSE 'old' END AS stable_guid FROM documents GROUP BY ALL")
+def ledger_roundtrip(spark, sf_dir):
+    """A large batch of entries, then a smaller one with some of the same keys, read back from the files."""
+    folder = f"{scratch(spark)}/ledger"
+    rows = lambda guid: _sourced(spark, sf_dir).withColumns({"stable_guid": F.lit(guid), "deck": F.lit("D")})
+    ledger.record(rows("old"), folder)
+    ledger.record(rows("new").filter("doc_id % 3 = 0"), folder)
+    return ledger.latest(readers.read_ledger(spark, folder)).select("key", "stable_guid")
 
 
 # Citation, scalars.
@@ -602,30 +562,16 @@ def cite_templates(spark, sf_dir):
     return citation.cited(rows, DEFAULT_CONVENTIONS).select("doc_id", "cite_source", "cite_position", "cite_error")
 
 
-@query(f"SELECT doc_id, substr(lower(trim(regexp_replace(regexp_replace(text, '[0-9]+', '', 'g'), '\\s+', ' ', 'g'))), 1, 80) AS key, sha1(text) AS reply, {_TRIM.format("replace(text, chr(10), ' ')")} AS line FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7f]*$')")
-def scalar_keys(spark, sf_dir):
-    c = F.col("text")
-    return _docs(spark, sf_dir).filter(c.rlike(r"\A[\x00-\x7f]*\z")).select("doc_id", X.repeat_key(c).alias("key"), X.reply_key(c).alias("reply"), X.inline(c).alias("line"))
-
-
 @query(f"""SELECT doc_id, substr(lower(trim(regexp_replace(regexp_replace(text, '\\p{{Nd}}+', '', 'g'), '[{_BLANK}]+', ' ', 'g'))), 1, 80) AS key, sha1(text) AS reply,
 regexp_replace(regexp_replace(text, '\\r?\\n', ' ', 'g'), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS line FROM documents""")
-def scalar_keys_whole(spark, sf_dir):
+def scalar_keys(spark, sf_dir):
     c = F.col("text")
     return _docs(spark, sf_dir).select("doc_id", X.repeat_key(c).alias("key"), X.reply_key(c).alias("reply"), X.inline(c).alias("line"))
 
 
-@query("SELECT conv_id, turn, 'conv:' || conv_id AS source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE regexp_replace(text, '\\s+', '', 'g') <> '' AND NOT regexp_matches(text, '\\n\\s*\\n')")
-def transcript_chunks(spark, sf_dir):
-    rows = _table(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"\n\s*\n"))
-    texts = rows.select(F.concat_ws("/", "conv_id", "turn").alias("source_id"), F.concat(F.lit("conv:"), "conv_id").alias("label"), "text")
-    key = F.split("source_id", "/")
-    return build.from_text(texts).select(F.get(key, F.lit(0)).cast("bigint").alias("conv_id"), F.get(key, F.lit(1)).cast("bigint").alias("turn"), "source", "text")
-
-
 @query(f"""SELECT conv_id, turn, unnest(range(len(ps)))::INT AS chunk_ord, 'conv:' || conv_id AS source, unnest(ps) AS text FROM (
 SELECT conv_id, turn, [y FOR y IN [regexp_replace(x, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') FOR x IN string_split_regex(text, '\\n[{_BLANK}]*\\n')] IF y <> ''] AS ps FROM conversations)""")
-def transcript_chunks_whole(spark, sf_dir):
+def transcript_chunks(spark, sf_dir):
     texts = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("source_id"), F.concat(F.lit("conv:"), "conv_id").alias("label"), "text")
     key = F.split("source_id", "/")
     return build.from_text(texts).select(F.get(key, F.lit(0)).cast("bigint").alias("conv_id"), F.get(key, F.lit(1)).cast("bigint").alias("turn"), "chunk_ord", "source", "text")
@@ -692,14 +638,177 @@ def bootstrap_missing(spark, sf_dir):
 
 @query("SELECT p_brand, coalesce(min(p_partkey) FILTER (p_size % 3 = 1), min(p_partkey)) AS p_partkey FROM part GROUP BY p_brand")
 def shape_hint_first(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = _table(spark, sf_dir, "part").withColumn("shape", F.when(F.col("p_size") % 3 == 1, "term-list").otherwise("term-def"))
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy((F.col("shape") != "term-list").cast("int"), "p_partkey"))
-    return rows.withColumn("n", n).filter("n = 1").select("p_brand", "p_partkey")
+    cards = _cards(spark, sf_dir).join(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    cards = cards.withColumn("shape", F.when(F.col("p_size") % 3 == 1, "term-list").otherwise("term-def"))
+    return runs.chosen(cards, "term-list", "p_brand").select("p_brand", "p_partkey")
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_replace(text, '\\s+', '', 'g') = '' OR doc_id % 10 = 0")
 def extraction_failures(spark, sf_dir):
     texts = _texts(spark, sf_dir, F.when(F.col("doc_id") % 10 == 0, "\n \n").otherwise(F.col("text")))
     return _by_doc(build.extraction_errors(texts, build.from_text(texts)))
+
+
+# Constructed books and pages out of documents.
+
+def _markup(*parts) -> Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+_HREFS = ("text/chapter-1.xhtml", "text/preface.xhtml", "toc.xhtml", "text/endnotes.xhtml", "text/Colophon.xhtml", "text/ch 2.xhtml")
+_HREF_KINDS = (None, "preface", "table-of-contents", "endnotes", "colophon", None)
+_SECTIONS, _SECTION_KINDS = ("chapter", "x bibliography", "toc", "halftitlepage dedication", "footnotes"), (None, "bibliography", "table-of-contents", "title-page", "endnotes")
+_HEADS, _HEAD_KINDS = ("Methods", "About the Author", "References", "Notes "), (None, "author-info", "references", "references")
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g')"
+
+
+def _rows(*rows: tuple) -> str:
+    return "[" + ", ".join(f"{{'i': {i}, 'text': {text}, 'anchor': {anchor}, 'kind': {kind}}}" for i, (text, anchor, kind) in enumerate(rows)) + "]"
+
+
+_BOOK_ROWS = _rows(
+    ("'Opening words of document ' || doc_id || ' are here.'", "''", "item"),
+    (_stripped("'Body ' || doc_id || ' ' || coalesce(text, '')"), "'#h' || doc_id", "coalesce(item, section, head)"),
+    ("'Short ' || doc_id", "'#h' || doc_id", "coalesce(item, section, head)"),
+    ("'Caption ' || doc_id", "'#h' || doc_id", "coalesce(item, section, 'figure-caption')"),
+    ("'Closing words of document ' || doc_id || ' are here.'", "'#h' || doc_id", "item"),
+)
+
+
+@query(f"""WITH d AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'table-of-contents' ELSE {_sql_list(_HREF_KINDS)}[1 + doc_id % 6] END AS item, {_sql_list(_SECTION_KINDS)}[1 + doc_id % 5] AS section, {_sql_list(_HEAD_KINDS)}[1 + doc_id % 4] AS head, {_sql_list(_HREFS)}[1 + doc_id % 6] AS href FROM documents),
+r AS (SELECT doc_id, href, unnest({_BOOK_ROWS}) AS x FROM d)
+SELECT doc_id, (doc_id % 3) * 4294967296 + x.i AS chunk_ord, x.text AS text, href || x.anchor AS position, x.kind AS kind FROM r WHERE x.kind IS NOT NULL OR length(x.text) >= 30""")
+def book_chunks(spark, sf_dir):
+    n = F.col("doc_id")
+    xhtml = _markup(
+        "<html><body><p>Opening words of document ", n, " are here.</p><nav><p>skipped</p></nav><section epub:type='", _pick(_SECTIONS, n % 5), "' id='s", n, "'><h2 id='h", n, "'>", _pick(_HEADS, n % 4),
+        "</h2><p>Body ", n, " ", _escaped(F.col("text")), "</p><div role='paragraph'>Sh<div>or</div>t ", n, "</div><figcaption>Caption <b>", n, "</b></figcaption></section><p>Closing words of document ", n, " are here.</p></body></html>",
+    )
+    items = _docs(spark, sf_dir).select(
+        n.cast("string").alias("source_id"), F.lit("T").alias("title"), F.lit("f.epub").alias("filename"), (n % 3).cast("int").alias("ord"), _pick(_HREFS, n % 6).alias("href"),
+        F.when(n % 7 == 0, F.array(F.lit("x"), F.lit("nav"))).otherwise(F.array().cast("array<string>")).alias("properties"), xhtml.alias("xhtml"),
+    )
+    return _by_doc(build.from_book_items(items), "chunk_ord", "text", "position", F.col("prefilter_kind").alias("kind"))
+
+
+_PAGE_ROWS = _rows(("'A' || doc_id", "''", "NULL"), (_stripped("'B' || doc_id || ' ' || coalesce(text, '')"), "'#x' || doc_id", "head"), ("'C' || doc_id", "'#x' || doc_id", "'cited-by'"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, unnest({_PAGE_ROWS}) AS x FROM (SELECT *, {_sql_list((None, None, "references", "references"))}[1 + doc_id % 4] AS head FROM documents))
+SELECT doc_id, x.i::INT AS chunk_ord, x.text AS text, x.anchor AS position, x.kind AS kind FROM r""")
+def page_anchors(spark, sf_dir):
+    n = F.col("doc_id")
+    html = _markup("<h1>Top</h1><p>A", n, "</p><h2 id=x", n, ">", _pick(_HEADS, n % 4), "</h2><p>B", n, " ", _escaped(F.col("text")), "</p><nav><h2 id=no>No</h2><p>no</p></nav><h3>Cited <i>by</i></h3><p>C", n, "</p>")
+    pages = _docs(spark, sf_dir).select(n.cast("string").alias("source_id"), F.lit("u").alias("url"), html.alias("html"))
+    return _by_doc(build.from_pages(pages), "chunk_ord", "text", "position", F.col("prefilter_kind").alias("kind"))
+
+
+def _archive(n: int) -> bytes:
+    """A small e-book; of each six one is sound, one is in UTF-16, and four are bad in one way each."""
+    import io
+    import zipfile
+
+    if n % 6 == 4:
+        return b"no archive"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("META-INF/container.xml", '<c:container xmlns:c="x"><c:rootfiles><c:rootfile full-path="OEBPS/p.opf"/></c:rootfiles></c:container>')
+        items = '<item id="b" href="b%202.xhtml" media-type="application/xhtml+xml" properties="x nav"/><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="i" href="i.png" media-type="image/png"/>'
+        last = "z" if n % 6 == 2 else "b"
+        z.writestr("OEBPS/p.opf", f'<package xmlns:dc="y"><metadata><dc:title> Book {n} </dc:title></metadata><manifest>{items}</manifest><spine><itemref idref="a"/><itemref idref="i"/><itemref idref="{last}"/></spine></package>')
+        z.writestr("OEBPS/a.xhtml", f"é{n}".encode("utf-16" if n % 6 == 1 else "utf-8"))
+        if n % 6 != 3:
+            z.writestr("OEBPS/b 2.xhtml", "a" * 300_000 if n % 6 == 5 else "second")
+    return out.getvalue()
+
+
+@query("""SELECT doc_id, 'Book ' || doc_id AS title, i::INT AS ord, ['OEBPS/a.xhtml', 'OEBPS/b 2.xhtml'][i + 1] AS href, ['', 'x nav'][i + 1] AS properties, ['é' || doc_id, 'second'][i + 1] AS xhtml, NULL AS error FROM documents, range(2) t(i) WHERE doc_id % 6 < 2
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, ['spine names unknown item z', 'spine names absent member OEBPS/b 2.xhtml', 'File is not a zip file', 'member OEBPS/b 2.xhtml expands too much'][doc_id % 6 - 1] FROM documents WHERE doc_id % 6 >= 2""")
+def book_archives(spark, sf_dir):
+    made = F.pandas_udf(lambda n: n.map(_archive), "binary")
+    files = _docs(spark, sf_dir).select(F.concat(F.lit("/x/"), "doc_id").alias("path"), made("doc_id").alias("content"))
+    items = epub.read_items(files)
+    return items.select(F.substring("source_id", 4, 20).cast("bigint").alias("doc_id"), "title", "ord", "href", F.array_join("properties", " ").alias("properties"), "xhtml", F.substring_index("error", ":", 1).alias("error"))
+
+
+# Prompts, replies, configs, sinks.
+
+_TAG_PROMPT = "replace(replace(replace('{}', '{{tags}}', b), '{{note_type}}', 'Basic'), '{{fields}}', 'Back: ' || p_type || chr(10) || 'Front: ' || p_name)".format(tagging.PROMPT.replace("'", "''"))
+
+
+@query(f"SELECT p_partkey, {_TAG_PROMPT} AS prompt FROM part, (SELECT coalesce(string_agg('- ' || tag, chr(10) ORDER BY tag), '(no tags yet)') AS b FROM (SELECT DISTINCT tag FROM ({_SEEDED}) ORDER BY tag LIMIT 200))")
+def tag_prompt(spark, sf_dir):
+    block = tagging.tags_block(tagging.seed(_vocabulary(spark, sf_dir))).first()["block"]  # 200 tags at most
+    fields = F.create_map(F.lit("Back"), F.col("p_type"), F.lit("Source"), F.lit("s"), F.lit("Front"), F.col("p_name"), F.lit("Position"), F.lit("p"))
+    return _table(spark, sf_dir, "part").select("p_partkey", tagging.prompt(F.lit(block), F.lit("Basic"), fields).alias("prompt"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN regexp_replace(t, '[{_BLANK}]+$', '') ELSE t || '```' END AS reply FROM (SELECT doc_id, 'x' || coalesce(text, '') AS t FROM documents)")
+def reply_fences(spark, sf_dir):
+    t, k = F.concat(F.lit("x"), F.coalesce("text", F.lit(""))), F.col("doc_id") % 3
+    raw = F.when(k == 0, F.concat(F.lit("```json\n"), t, F.lit("\n``` \n"))).when(k == 1, F.concat(F.lit("```\n"), t)).otherwise(F.concat(t, F.lit("```")))
+    return _docs(spark, sf_dir).select("doc_id", X.unfenced(raw).alias("reply"))
+
+
+@query("SELECT sha1(text) AS text_sha1, CASE WHEN bool_or(doc_id % 2 = 0) THEN 'new' ELSE 'old' END AS raw FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def merged_replies(spark, sf_dir):
+    said = lambda raw: _docs(spark, sf_dir).filter("text is not null").select("doc_id", X.reply_key(F.col("text")).alias("text_sha1"), F.lit(raw).alias("raw"))
+    return classify.merged_replies(said("old").drop("doc_id"), said("new").filter("doc_id % 2 = 0").drop("doc_id"))
+
+
+@query("SELECT DISTINCT text, sha1(text) AS text_sha1 FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
+def unanswered_texts(spark, sf_dir):
+    docs = _docs(spark, sf_dir).filter("text is not null")
+    known = docs.filter("doc_id % 3 = 0").select(X.reply_key(F.col("text")).alias("text_sha1"))
+    return classify.unanswered(docs.withColumn("prefilter_kind", F.lit("")), known)
+
+
+@query("""SELECT r_name, ['unknown source types [''fax'']', 'missing source types [''doi'']', NULL, 'url: unknown keys [''more'']', 'url: missing key source_template'][1 + r_regionkey % 5] AS error FROM region""")
+def config_faults(spark, sf_dir):
+    good = {t: {"source_template": "{x}"} for t in SOURCE_TYPES}
+    given = (good | {"fax": {}}, {t: c for t, c in good.items() if t != "doi"}, good, good | {"url": {"source_template": "x", "more": 1}}, good | {"url": {}})
+
+    def fault(config: dict) -> str | None:
+        try:
+            readers.conventions_from(config)
+        except ConfigError as e:
+            return str(e)
+
+    return _table(spark, sf_dir, "region").select("r_name", _pick([fault(g) for g in given], F.col("r_regionkey") % 5).cast("string").alias("error"))
+
+
+@query(f"WITH {_ROUTED} SELECT bucket AS lane, '2026-01-02' AS ingestion_date, count(*) AS n, count(DISTINCT reason) AS reasons FROM routed GROUP BY ALL UNION ALL SELECT 'queue', '2026-01-02', count(*), 0 FROM part")
+def lanes_roundtrip(spark, sf_dir):
+    """Lanes written as Parquet, and read back by date and lane."""
+    folder = scratch(spark)
+    sinks.write_lanes(_routed(spark, sf_dir), _cards(spark, sf_dir), folder, "2026-01-02")
+    count = lambda name, reasons: spark.read.parquet(f"{folder}/{name}").groupBy("lane", F.col("ingestion_date").cast("string").alias("ingestion_date")).agg(F.count("*").alias("n"), reasons.alias("reasons"))
+    return count("overflow", F.countDistinct("reason")).unionAll(count("cards", F.lit(0).cast("bigint")))
+
+
+@query("""SELECT substr(sha256('Basic' || chr(0) || 'd' || (k % 7) || chr(0) || 'q' || (k % 50)), 1, 16) AS stable_guid, 'd' || (k % 7) AS deck, CASE WHEN k % 2 = 0 THEN 'c' ELSE 'b' END || k AS back, 't' || k AS tags
+FROM (SELECT max(p_partkey) AS k FROM part GROUP BY p_partkey % 350)""")
+def commit_store(spark, sf_dir):
+    """Notes of two commits, the second with other fields for some, read back from the store."""
+    store = Store(spark, scratch(spark))
+    n = F.col("block")
+    blocks = lambda back: _blocks_to_commit(spark, sf_dir).withColumns({"fields": F.map_concat("fields", F.create_map(F.lit("Back"), F.concat(F.lit(back), n))), "tags": F.array(F.concat(F.lit("t"), n))})
+    for rows in (blocks("b"), blocks("c").filter(n % 2 == 0)):
+        store.add_decks(rows)
+        store.upsert(review.merged(rows, store.notes()))
+    notes = store.notes().join(store.decks(), "deck")
+    return notes.select("stable_guid", "deck", F.col("fields")["Back"].alias("back"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT 'Cloze,List,Steps' AS created, 'Basic,Table' AS already_present")
+def bootstrap_summary(spark, sf_dir):
+    present = _table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") % 2 == 0, "Basic").otherwise("Table").alias("model_name"))
+    return models.bootstrap(models.starter_models(spark), present).select(F.array_join("created", ",").alias("created"), F.array_join("already_present", ",").alias("already_present"))
+

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -26,3 +27,18 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(shutil.make_archive(f"{place}/loomspark_package", "zip", here.parent, here.name))
         _shipped.add(app)
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, removed when the driver ends: under spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="loomspark-")  # one machine only
+    folder = f"{base.rstrip('/')}/loomspark-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder

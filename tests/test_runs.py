@@ -9,6 +9,7 @@ from loomspark.operators import classify, ledger, models, review
 from loomspark.plans import ingest
 from loomspark.schema import ExtractionError, QueueParseError
 from loomspark.sources import readers
+from loomspark.sources.store import Store
 
 
 def replies(spark, pairs):
@@ -135,8 +136,73 @@ def test_unreachable_url_is_a_row(spark):
     assert row.error and row.content is None
 
 
-def test_partitioning_does_not_matter(spark, sf_dir):
+def test_partitioning_does_not_matter(spark, sf_dir, tmp_path):
     from loomspark.plans import catalog
 
+    spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(7).write.parquet(f"{tmp_path}/pages.parquet")
     run = catalog.QUERIES["flagship_lane_counts"]
-    assert sorted(map(tuple, run(spark, sf_dir).collect())) == sorted(map(tuple, run(spark, sf_dir).repartition(7).collect()))
+    assert sorted(map(tuple, run(spark, sf_dir).collect())) == sorted(map(tuple, run(spark, str(tmp_path)).collect()))
+
+
+def test_a_later_entry_counts_whatever_its_size(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    entry = lambda n, guid: spark.createDataFrame([("s", f"t{i}", guid, "D") for i in range(n)], "source string, text string, stable_guid string, deck string").coalesce(1)
+    ledger.record(entry(1, "old"), path)
+    ledger.record(entry(50, "new"), path)
+    assert {r.stable_guid for r in ledger.latest(readers.read_ledger(spark, path)).collect()} == {"new"}
+    ledger.record(entry(1, "last"), path)
+    assert sorted(r.stable_guid for r in ledger.latest(readers.read_ledger(spark, path)).collect()) == ["last"] + ["new"] * 49
+
+
+def test_lines_of_one_ledger_file_count_in_order(spark, tmp_path):
+    line = '{"key": "%s", "source": "s", "stable_guid": "%s", "deck": "D", "ingested_at": "2026-01-01T00:00:00+00:00"}\n'
+    (tmp_path / "l.jsonl").write_text(line % ("k", "a") + "\n" + line % ("j", "b") + line % ("k", "c"))
+    assert {r.key: r.stable_guid for r in ledger.latest(readers.read_ledger(spark, str(tmp_path / "l.jsonl"))).collect()} == {"k": "c", "j": "b"}
+    with (tmp_path / "l.jsonl").open("a") as f:
+        f.write("{}\n")
+    with pytest.raises(ValueError, match="corrupt ledger line 5 of .*l.jsonl"):
+        readers.read_ledger(spark, str(tmp_path / "l.jsonl"))
+
+
+def test_commit_writes_decks_fields_and_tags(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    block = "## Card 1 — term-def\n**Front:** f\n**Back:** {}\n**Deck:** {}\n**Model:** Basic\n**Tags:** {}\n---\n"
+    for k, (back, tags) in enumerate((("one", "a"), ("two", "b, c"))):
+        p = tmp_path / f"q{k}.md"
+        p.write_text(block.format(back, "d1", tags) + block.format("x", "d2", "").replace("f\n", "g\n"))
+        bad = spark.createDataFrame([("d2", "denied")], "deck string, deck_error string")
+        assert not ingest.commit(spark, str(p), store, dry_run=True)[1] and store.notes().count() == k
+        done, archived = ingest.commit(spark, str(p), store, deck_errors=bad)
+        assert [r.outcome for r in done.orderBy("block").collect()] == [("created", "updated")[k], "failed"] and not archived
+    note = store.notes().first()
+    assert store.notes().count() == 1 and (note.fields, note.tags, note.deck) == ({"Front": "f", "Back": "two"}, ["b", "c"], "d1")
+    assert [r.deck for r in store.decks().collect()] == ["d1"]
+
+
+def test_bad_files_are_errors(spark, tmp_path):
+    from loomspark.plans import catalog
+
+    (tmp_path / "a.epub").write_bytes(b"no archive")
+    with pytest.raises(ExtractionError, match="a.epub: File is not a zip file"):
+        ingest.read(spark, str(tmp_path / "a.epub"))
+    good = catalog._archive(0)
+    (tmp_path / "b.epub").write_bytes(good.replace(b"second", b"second"))
+    with pytest.raises(ExtractionError, match="cannot read"):
+        ingest.read(spark, str(tmp_path / "*.epub"))
+    assert [r.error for r in ingest.bad_sources(spark, str(tmp_path / "*.epub")).collect()] == ["File is not a zip file"]
+    with pytest.raises(ExtractionError, match="no content"):
+        ingest.read(spark, str(tmp_path / "*.epub"), skip_bad=True)
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-broken")
+    with pytest.raises(ExtractionError, match="cannot read"):
+        ingest.read(spark, str(tmp_path / "c.pdf"))
+
+
+def test_a_review_file_has_a_bound(spark, tmp_path, monkeypatch):
+    from loomspark.sources import sinks
+
+    monkeypatch.setattr(sinks, "REVIEW_ROWS", 0)
+    p = tmp_path / "x.md"
+    p.write_text("## A\n\n- [a](b)\n")
+    run = ingest.ingest(ingest.read(spark, str(p)), replies(spark, {"x": "y"}))
+    with pytest.raises(ValueError, match="write_lanes"):
+        ingest.write(run, deck="D", slug="s", root=str(tmp_path))

@@ -37,15 +37,15 @@ def both(spark, odd, name):
 
 
 def test_cloze_replies_hold_whole_texts(spark, odd):
-    rows = {r.doc_id: r.cloze for r in both(spark, odd, "cloze_repair_whole")}
+    rows = {r.doc_id: r.cloze for r in both(spark, odd, "cloze_repair")}
     assert len(rows) == 62 and len(rows[20]) > len(LONG) and rows[20].count("{{c") == rows[20].count("}}") > 400
-    reasons = {r.doc_id: r.reason for r in both(spark, odd, "cloze_budget_whole")}
+    reasons = {r.doc_id: r.reason for r in both(spark, odd, "cloze_budget")}
     assert "::\\\\ slash — naïve 漢字 wide}}' has 6 words" in reasons[20] and reasons[21] is None
 
 
 @pytest.mark.parametrize("name, rows", [("scalar_keys", 62), ("list_budget", 62), ("term_table_faults", 20), ("overflow_render", 5), ("ledger_latest", None), ("ledger_size", 1)])
 def test_whole_tables(spark, odd, name, rows):
-    got = both(spark, odd, f"{name}_whole")
+    got = both(spark, odd, name)
     assert rows is None or len(got) == rows
     if name == "overflow_render":
         bodies = {r.source: r.body for r in got}
@@ -55,5 +55,5 @@ def test_whole_tables(spark, odd, name, rows):
 
 
 def test_turns_are_split_into_chunks(spark, odd):
-    got = sorted((r.conv_id, r.turn, r.chunk_ord, r.text) for r in both(spark, odd, "transcript_chunks_whole"))
+    got = sorted((r.conv_id, r.turn, r.chunk_ord, r.text) for r in both(spark, odd, "transcript_chunks"))
     assert got == [(1, 1, 0, "a"), (1, 1, 1, "b"), (1, 1, 2, "c"), (1, 2, 0, "one"), (2, 1, 0, "x")]
