@@ -3,8 +3,10 @@
 Base spans come from three patterns. Weak candidates (user names, short or
 opaque values, endpoints) are interval-joined with the parts around them, inside
 one document: one is reported only where complementary parts of a credential
-stand within `scope` characters of it. Every span of a document lies in that
-document's own row, so the scan is one narrow stage without any shuffle.
+stand within `scope` characters of it. The patterns run once over each text; spans
+alone are written, and joined on (row, bucket of places): a span stands in every
+bucket that it, or a candidate's scope, reaches. So the join is linear in the spans,
+and a text with very many of them is dealt over many tasks.
 
 Defined results: a null text counts as empty; a text without match yields counts
 of 0, the digest of the empty string and an empty span list; repeated rows each
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import Workspace, pick
 
 # The patterns of the scan.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,10 +35,31 @@ _SPAN = "array<struct<s:int,k:int,e:int>>"
 _BLOCK = 64
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+
+def _blocks(xs: Column) -> Column:
+    """Sums of runs of 64 values."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int")), lambda b: _sum(F.slice(xs, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+
 def _running(lens: Column) -> Column:
-    """Running sums of an int array. Blocks keep the cost near n * 64 for long arrays."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lens, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda a, x: a + x))
-    return F.transform(lens, lambda x, i: F.aggregate(F.slice(blocks, F.lit(1), F.floor(i / _BLOCK).cast("int")), F.lit(0), lambda a, y: a + y) + F.aggregate(F.slice(lens, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK + 1), F.lit(0), lambda a, y: a + y))
+    """Running sums of an int array, by sums of blocks and of blocks of blocks: about 200 additions a value up to a million values."""
+
+    def part(i: Column, size: int) -> Column:
+        return F.floor(i / size).cast("int")
+
+    def sums(xs: Column, small: Column, large: Column) -> Column:
+        big = _BLOCK * _BLOCK
+        return F.transform(xs, lambda x, i: _sum(F.slice(large, F.lit(1), part(i, big))) + _sum(F.slice(small, part(i, big) * _BLOCK + 1, part(i, _BLOCK) - part(i, big) * _BLOCK)) + _sum(F.slice(xs, part(i, _BLOCK) * _BLOCK + 1, i % _BLOCK + 1)))
+
+    return _let(lens, lambda xs: _let(_blocks(xs), lambda small: _let(_blocks(small), lambda large: sums(xs, small, large))))
 
 
 def _found(df: DataFrame, name: str, pattern: str, value_group: int | None = None, when: Column | None = None) -> DataFrame:
@@ -68,12 +91,28 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
 
 
-def scan(df: DataFrame, *, scope: int = 200) -> DataFrame:
+def _spans(found: DataFrame, name: str) -> DataFrame:
+    part = F.array(*[F.lit({"identifier": 1, "secret": 2, "endpoint": 4}[p]) for _, p, _ in KINDS.values()])
+    return found.select("row", F.explode(name).alias("x")).select("row", "x.s", "x.k", "x.e", F.get(part, F.col("x.k")).alias("part"))
+
+
+def _met(weak: DataFrame, other: DataFrame, scope: int) -> DataFrame:
+    """Each weak span beside the other spans of its row within its scope; a pair may stand in two buckets."""
+    width = 4 * scope + 1
+    bucket = lambda c: F.floor(c / width)
+    w = weak.withColumn("bucket", F.explode(F.sequence(bucket(F.col("s") - scope), bucket(F.col("e") + scope))))
+    x = other.select("row", *[F.col(c).alias(f"x_{c}") for c in ("s", "e", "part")])
+    x = x.withColumn("bucket", F.explode(F.sequence(bucket(F.col("x_s")), bucket(F.col("x_e")))))
+    near = (F.col("x_s") - F.col("e") <= scope) & (F.col("s") - F.col("x_e") <= scope)
+    return w.join(x, ["row", "bucket"]).filter(near)
+
+
+def scan(df: DataFrame, ws: Workspace, *, scope: int = 200) -> DataFrame:
     """Per row: doc_id, base and linked spans as arrays of (s, k, e), sorted by start, then kind.
 
     `scope`: most characters between a weak candidate and the parts that back it.
-    A weak candidate is reported if a strong span of another part lies in its
-    scope, or if both other parts lie there, weak or strong.
+    A weak candidate that touches no base span is reported if a strong span of
+    another part lies in its scope, or if both other parts lie there, weak or strong.
     """
     df = pick(df, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     df = _found(df, "_assign", ASSIGN, 2)
@@ -95,17 +134,23 @@ def scan(df: DataFrame, *, scope: int = 200) -> DataFrame:
         _kind("s", F.col("_opaque"), "opaque"),
         _kind("s", F.col("_endpoint"), "endpoint"),
     )
-    part = F.array(*[F.lit({"identifier": 0, "secret": 1, "endpoint": 2}[p]) for _, p, _ in KINDS.values()])
-    df = df.withColumn("_weak", F.filter(weak, lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"]))))
-    df = df.withColumn("_parts", F.concat("base", "_weak"))
-
-    def near(w: Column, x: Column) -> Column:
-        return (x["s"] - w["e"] <= scope) & (w["s"] - x["e"] <= scope) & (F.get(part, x["k"]) != F.get(part, w["k"]))
-
-    strong = [r for r, _, s in KINDS.values() if s]
-    backed = lambda w: F.exists("base", lambda x: near(w, x)) | (F.size(F.array_distinct(F.transform(F.filter("_parts", lambda x: near(w, x)), lambda x: F.get(part, x["k"])))) >= 2)
-    assert strong == [0, 1, 2]  # base holds the strong kinds and no other
-    return df.select("doc_id", "base", F.filter("_weak", backed).alias("linked"))
+    found = ws.write(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", weak.alias("weak")), "found")
+
+    asked = found.filter(F.size("weak") > 0)
+    keys = ["row", "s", "k", "e", "part"]
+    every, strong = _spans(asked, "weak"), _spans(asked, "base")
+    touches = (F.col("x_s") < F.col("e")) & (F.col("s") < F.col("x_e"))
+    other = F.when(F.col("x_part") != F.col("part"), F.col("x_part")).otherwise(0)
+    backing = _met(every, strong, scope).groupBy(*keys).agg(F.max(touches).alias("touches"), F.bit_or(other).alias("parts"))
+    # base spans are the strong ones: one of another part is enough
+    weak = every.join(backing, keys, "left").filter(~F.coalesce("touches", F.lit(False))).select(*keys, F.coalesce("parts", F.lit(0)).alias("parts"))
+    weak = ws.write(weak, "weak")
+    pairs = _met(weak.filter("parts = 0"), weak, scope).groupBy(*keys).agg(F.bit_or(other).alias("parts"))
+    linked = weak.filter("parts > 0").select(*keys).unionAll(pairs.filter(F.bit_count("parts") >= 2).select(*keys))
+    linked = linked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("linked"))
+    none = F.array().cast(_SPAN)
+    beside = asked.join(linked, "row", "left").select("doc_id", "base", F.coalesce("linked", none).alias("linked"))
+    return beside.unionAll(found.filter(F.size("weak") == 0).select("doc_id", "base", none.alias("linked")))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
