@@ -8,18 +8,20 @@ of the rest are read in the order of their upper bounds until the next bound
 falls below the k-th score. Ties at the k-th score are read too, so the smaller id
 wins as it should.
 
-Queries are packed into blocks of bounded size. Blocks meet by an equi-join on
-(query block, salt): query blocks are copied once a salt, candidates once a query
-block, so that the work spreads over all tasks whatever the number of queries.
+Cells and vectors of all candidates are written once, in blocks, and stay where they
+are: no candidate is ever shuffled. Queries go to them in waves of bounded size. Each
+task streams its blocks past one wave and holds that wave's best scores only; the
+tasks' answers, k a query and task, are merged by query.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, lean, pick
@@ -36,14 +38,22 @@ def scaled(vectors: list[list[float]]) -> np.ndarray:
     return np.floor(out * 256.0)
 
 
-def _pack(rows_a_block: int):
+_BLOCK = "ids binary, vectors binary, kind string, width int, code binary, low binary, step binary"
+
+
+def _stored(rows_a_block: int, bits: int):
+    """Blocks of candidates: exact integers, and their cells."""
+
     def run(batches):
         ids, vectors = [], []
 
         def block():
             x = scaled(vectors)
+            cells = Cells.of(x, bits)
             kind = "<i2" if not x.size or np.abs(x).max() < 32768 else "<f8"
-            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([x.astype(kind).tobytes()], pa.binary()), pa.array([kind]), pa.array([x.shape[1]], pa.int32())], ["ids", "vectors", "kind", "width"])
+            row = [np.array(ids, "<i8").tobytes(), x.astype(kind).tobytes(), kind, x.shape[1], cells.code.tobytes(), cells.low.tobytes(), cells.step.tobytes()]
+            kinds = [pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -58,9 +68,11 @@ def _pack(rows_a_block: int):
     return run
 
 
-def _unpack(ids: bytes, vectors: bytes, kind: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(vectors, kind).astype(np.float64).reshape(len(i), width)
+def _opened(r: dict) -> tuple[np.ndarray, np.ndarray, Cells]:
+    ids = np.frombuffer(r["ids"], "<i8")
+    shape = len(ids), r["width"]
+    x = np.frombuffer(r["vectors"], r["kind"]).astype(np.float64).reshape(shape)
+    return ids, x, Cells(np.frombuffer(r["code"], np.uint8).reshape(shape), np.frombuffer(r["low"]), np.frombuffer(r["step"]))
 
 
 def _dots(x: np.ndarray, q: np.ndarray) -> list[int]:
@@ -70,14 +82,19 @@ def _dots(x: np.ndarray, q: np.ndarray) -> list[int]:
     return [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x]
 
 
+@dataclass
 class Cells:
     """The approximation of one block."""
 
-    def __init__(self, x: np.ndarray, bits: int):
-        low, high = x.min(axis=0), x.max(axis=0)
-        self.step = np.maximum((high - low) / (1 << bits), 1e-9)
-        code = np.clip(((x - low) / self.step).astype(np.int64), 0, (1 << bits) - 1).astype(np.uint8)
-        self.code, self.low = code, low
+    code: np.ndarray
+    low: np.ndarray
+    step: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, bits: int) -> Cells:
+        low, high = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(x.shape[1]),) * 2
+        step = np.maximum((high - low) / (1 << bits), 1e-9)
+        return cls(np.clip(((x - low) / step).astype(np.int64), 0, (1 << bits) - 1).astype(np.uint8), low, step)
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of q's inner products with all rows."""
@@ -107,7 +124,7 @@ def search_block(cells: Cells, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_
     return best, read
 
 
-def top_k(df: DataFrame, is_query: Column, ws: Workspace, *, k: int = 5, bits: int = 6, query_rows: int = 1024, block_rows: int = 4096, salts: int | None = None) -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, ws: Workspace, *, k: int = 5, bits: int = 6, wave_rows: int = 8192, block_rows: int = 4096) -> DataFrame:
     """Per query and rank: query_id, rank (from 1), vec_id, score.
 
     `is_query` is a condition on vec_id. Vectors that are null, or hold a null or
@@ -115,43 +132,47 @@ def top_k(df: DataFrame, is_query: Column, ws: Workspace, *, k: int = 5, bits: i
     unlike length compare as if filled up with zeros. A candidate with the query's
     own vec_id is the query's own row; repeated rows are candidates of their own,
     and repeated queries get an answer each. Fewer candidates than k: all of them.
+    An empty table, or one without queries, yields no row.
+
+    A wave holds about `wave_rows` queries, dealt by a hash of their rows; it is the
+    only thing that is broadcast.
     """
+    spark = df.sparkSession
     rows = pick(df, vec_id="bigint", embedding="array<double>")
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    schema = "ids binary, vectors binary, kind string, width int"
-    queries = rows.filter(is_query)
-    n = math.ceil(queries.count() / query_rows)
-    if not n:
-        return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.repartition(n).mapInArrow(lean(_pack(2 * query_rows)), schema)
-    q = ws.write(q.withColumn("q", F.monotonically_increasing_id()), "queries")
-    numbers = [r[0] for r in q.select("q").collect()]  # one a block of queries
-    q = q.select("q", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "kind", "width")])
-    c = rows.mapInArrow(lean(_pack(block_rows)), schema)
-    c = c.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("q", F.explode(F.array(*[F.lit(x) for x in numbers]).cast("array<bigint>")))
-
-    def run(batches):
-        state: dict[int, tuple] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["q"] not in state:
-                    ids, x = _unpack(r["q_ids"], r["q_vectors"], r["q_kind"], r["q_width"])
-                    state[r["q"]] = ids, x, [[] for _ in ids]
-                q_ids, q_x, best = state[r["q"]]
-                ids, x = _unpack(r["ids"], r["vectors"], r["kind"], r["width"])
-                width = max(x.shape[1], q_x.shape[1])
-                x, y = (np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in (x, q_x))
-                cells = Cells(x, bits)
-                for j in range(len(q_ids)):
-                    best[j] = search_block(cells, x, ids, y[j], q_ids[j], k, best[j])[0]
-        out = [(q, j, int(ids[j]), i, -s) for q, (ids, _, best) in state.items() for j, b in enumerate(best) for s, i in b]
-        for a in range(0, len(out), 10_000):
-            cols = list(zip(*out[a : a + 10_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in cols], ["q", "j", "query_id", "vec_id", "score"])
-
-    from pyspark.sql import Window
-
-    met = c.join(q, ["q", "salt"]).mapInArrow(lean(run), "q bigint, j bigint, query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("q", "j").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    answer = "query_id bigint, rank int, vec_id bigint, score bigint"
+    queries = ws.write(rows.filter(is_query).withColumn("q", F.monotonically_increasing_id()), "queries")
+    waves = math.ceil(queries.count() / wave_rows)
+    if not waves:
+        return spark.createDataFrame([], answer)
+    file = ws.write(rows.mapInArrow(lean(_stored(block_rows, bits)), _BLOCK), "cells")
+
+    def searched(wave: int) -> DataFrame:
+        asked = queries.filter(F.pmod(F.xxhash64("q"), F.lit(waves)) == wave).select("q", "vec_id", "embedding").collect()
+        shared = spark.sparkContext.broadcast(([r["q"] for r in asked], np.array([r["vec_id"] for r in asked], np.int64), scaled([r["embedding"] for r in asked])))
+
+        def run(batches):
+            q, q_ids, q_x = shared.value
+            best: list[list] = [[] for _ in q]
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    ids, x, cells = _opened(batch.slice(at, 1).to_pylist()[0])
+                    width = max(x.shape[1], q_x.shape[1])
+                    y = np.pad(q_x, ((0, 0), (0, width - q_x.shape[1])))
+                    if width > x.shape[1]:
+                        x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+                        cells = Cells.of(x, bits)
+                    for j in range(len(q)):
+                        best[j] = search_block(cells, x, ids, y[j], q_ids[j], k, best[j])[0]
+            out = [(q[j], int(q_ids[j]), i, -s) for j, b in enumerate(best) for s, i in b]
+            for a in range(0, len(out), 10_000):
+                cols = list(zip(*out[a : a + 10_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in cols], ["q", "query_id", "vec_id", "score"])
+
+        met = file.mapInArrow(lean(run), "q bigint, query_id bigint, vec_id bigint, score bigint")
+        order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = [ws.write(searched(w), f"wave_{w}") for w in range(waves)]
+    ws.drop("cells", "queries")
+    return spark.read.schema(answer).parquet(*[f"{ws.base}/wave_{w}" for w in range(waves)]) if waves > 1 else found[0]
