@@ -2,9 +2,10 @@
 
 A fingerprint holds, for each universal hash h(x) = a * x + b mod 2**64, the 16
 bits below the top of the least hash of a document's shingles. The share of equal
-positions estimates the Jaccard similarity. Near pairs come from signature bands,
-joined in Spark with all of a group meeting all of it, and are verified on the full
-shingle sets.
+positions estimates the Jaccard similarity. Texts post themselves under the bands of
+their signatures; those that share one are verified on their full shingle sets, and
+verified links make groups. How bands are joined without meeting all of a group with
+all of it stands in `linking`.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, Workspace, chunks, lean, many_shingles, pick, shingle_hashes, words
+from .common import WordHashes, Workspace, chunks, lean, many_shingles, mix, pick, shingle_hashes, words
+from .linking import Shingling, class_components, class_of, text_hash
 
 
 class MinHash:
@@ -61,170 +63,133 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SIGNED = "th bigint, n_shingles bigint, cls binary"
+_NAMES = [c.split()[0] for c in f"{_OUT}, {_SIGNED}".split(", ")]
 
 
-def _rows(ids: list, texts: list[str], following: list[str], mh: MinHash) -> list[pa.Array]:
+def _rows(ids: list, hashes: list, texts: list[str], following: list[str], mh: MinHash) -> list[pa.Array]:
     edited = [edited_text(t, f) for t, f in zip(texts, following, strict=True)]
     own, other, after = mh.signatures(texts), mh.signatures(edited), mh.signatures(following)
+    sets = [np.unique(mh.shingles(t)) for t in texts]
     return [
         pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
         pa.array([r.astype(">u2").tobytes().hex() for r in own]), pa.array([r.astype(">u2").tobytes().hex() for r in other]),
         pa.array(likeness(own, other), pa.float64()), pa.array(likeness(own, after), pa.float64()),
+        pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.binary()),
     ]
 
 
-def with_neighbours(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5) -> DataFrame:
-    """Per row: fingerprints of the text and of its edited text, and likenesses.
+def _packing(sample: list[str]):
+    """Compressor and decompressor of texts; the sample is their dictionary, as single texts are short."""
+    import zstandard
+
+    held = zstandard.ZstdCompressionDict("".join(sample).encode()[:100_000] or b"-", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=1, dict_data=held), zstandard.ZstdDecompressor(dict_data=held)
+
+
+def neighboured(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5) -> DataFrame:
+    """Per row: fingerprints of the text and of its edited text, likenesses, and the text's hash, number of shingles and class.
 
     The following document is the next by descending doc_id (null last, equal ids by
-    a digest of the text); the last one's is the first. Texts are compressed, dealt
-    out by ranges of doc_id once, and stream through each sorted partition beside
-    their neighbours; one row a partition edge is stitched after. A null text counts
-    as empty, an empty text's fingerprint is all ones; a table of one row has itself
-    as the following document; an empty table yields no row.
+    a hash of the text); the last one's is the first. Texts are compressed, dealt out
+    by ranges of doc_id once, and stream through each sorted partition beside their
+    neighbours; one row a partition edge is stitched after, by the partitions' order.
     """
-    rows = pick(df, doc_id="bigint", text="string")
+    rows = pick(df, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", text_hash(F.col("text")))
+    sample = [r["text"] for r in rows.select(F.substring("text", 1, 4000).alias("text")).limit(32).collect()]  # helps compression, nothing else
 
     def squeeze(batches):
-        import zstandard
-
-        c = zstandard.ZstdCompressor(level=1)
+        c, _ = _packing(sample)
         for b in (x.slice(a, 256) for x in batches for a in range(0, x.num_rows, 256)):
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int.from_bytes(hashlib.blake2b(t, digest_size=7).digest()) for t in texts], pa.int64()), pa.array([c.compress(t) for t in texts], pa.binary())], ["doc_id", "tie", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([c.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "th", "z"])
 
-    z = rows.mapInArrow(lean(squeeze), "doc_id bigint, tie bigint, z binary")
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    z = rows.mapInArrow(lean(squeeze), "doc_id bigint, th bigint, z binary")
+    order = [F.col("doc_id").desc_nulls_last(), F.col("th")]
     dealt = z.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def run(batches):
-        import zstandard
-
-        d = zstandard.ZstdDecompressor()
+        _, d = _packing(sample)
         mh = MinHash(size, width)
-        none = pa.nulls
-        names = [c.split()[0] for c in _OUT.split(", ")] + ["part", "edge", "text"]
+        names, kinds = [*_NAMES, "part", "edge", "z"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.binary()]
 
-        def edge(kind: str, doc_id, text: str, part: int):
-            cols = [pa.array([doc_id], pa.int64()), none(1, pa.int64()), none(1, pa.string()), none(1, pa.string()), none(1, pa.string()), none(1, pa.float64()), none(1, pa.float64()), pa.array([part], pa.int32()), pa.array([kind]), pa.array([text])]
-            return pa.RecordBatch.from_arrays(cols, names)
+        def edge(kind: str, row: tuple, part: int):
+            held = {"doc_id": row[0], "th": row[1], "part": part, "edge": kind, "z": row[2].encode()}
+            return pa.RecordBatch.from_arrays([pa.array([held.get(c)], k) for c, k in zip(names, kinds, strict=True)], names)
 
         last = None
         for b in batches:
             part = b.column(3)[0].as_py() if b.num_rows else 0
             for a in range(0, b.num_rows, 256):  # a few texts are unpacked at a time
-                texts = pa.array([d.decompress(x).decode() for x in b.column(2).slice(a, 256).to_pylist()], pa.string())
-                for own_ids, own in chunks(texts, b.column(0).slice(a, 256)):
-                    if last is None:
-                        yield edge("head", own_ids[0], own[0], part)
-                    else:
-                        own_ids, own = [last[0], *own_ids], [last[1], *own]
-                    if len(own) > 1:
-                        cols = _rows(own_ids[:-1], own[:-1], own[1:], mh)
-                        n = len(own) - 1
-                        yield pa.RecordBatch.from_arrays([*cols, pa.array([part] * n, pa.int32()), none(n, pa.string()), none(n, pa.string())], names)
-                    last = own_ids[-1], own[-1]
+                own = [(i, h, d.decompress(x).decode()) for i, h, x in zip(*(b.column(k).slice(a, 256).to_pylist() for k in range(3)), strict=True)]
+                if last is None:
+                    yield edge("head", own[0], part)
+                else:
+                    own = [last, *own]
+                if len(own) > 1:
+                    ids, hashes, texts = map(list, zip(*own, strict=True))
+                    n = len(own) - 1
+                    cols = _rows(ids[:-1], hashes[:-1], texts[:-1], texts[1:], mh)
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([part] * n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], names)
+                last = own[-1]
         if last is not None:
-            yield edge("tail", *last, part)
+            yield edge("tail", last, part)
 
-    made = ws.write(dealt.mapInArrow(lean(run), _OUT + ", part int, edge string, text string"), "fingerprints")
-    heads = made.filter("edge = 'head'").select("part", F.col("text").alias("first"))
-    by_part = Window.orderBy("part")  # one row a partition
-    following = F.coalesce(F.lead("first").over(by_part), F.first("first").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.select("part", following.alias("following"))
-    tails = made.filter("edge = 'tail'").select("doc_id", "text", "part").join(heads, "part").select("doc_id", "text", "following")
+    made = ws.write(dealt.mapInArrow(lean(run), f"{_OUT}, {_SIGNED}, part int, edge string, z binary"), "fingerprints")
+    heads = made.filter("edge = 'head'").select("part", F.col("z").alias("following"))
+    order_of = [r[0] for r in heads.select("part").orderBy("part").collect()]  # one number a partition
+    after = _next_part(order_of)
+    tails = made.filter("edge = 'tail'").select("doc_id", "th", "z", after[F.col("part")].alias("part")).join(heads, "part").select("doc_id", "th", "z", "following")
 
     def stitch(batches):
         mh = MinHash(size, width)
         for b in batches:
-            cols = _rows(*[b.column(i).to_pylist() for i in range(3)], mh)
-            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _OUT.split(", ")])
+            ids, hashes, own, following = (b.column(i).to_pylist() for i in range(4))
+            yield pa.RecordBatch.from_arrays(_rows(ids, hashes, [t.decode() for t in own], [t.decode() for t in following], mh), _NAMES)
 
-    return made.filter("edge is null").drop("part", "edge", "text").unionByName(tails.mapInArrow(lean(stitch), _OUT))
+    return made.filter("edge is null").select(*_NAMES).unionByName(tails.mapInArrow(lean(stitch), f"{_OUT}, {_SIGNED}"))
 
 
-def _class(text: str) -> bytes:
-    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+def _next_part(order: list[int]):
+    """part -> the next part with rows, the first after the last."""
+    pairs = zip(order, [*order[1:], *order[:1]], strict=True)
+    return F.create_map(*[F.lit(x) for p in pairs for x in p]) if order else F.create_map().cast("map<int,int>")
 
 
-def members(df: DataFrame) -> DataFrame:
-    """first_id, doc_id: the class of each row that has doc_id and words, named by the least doc_id of equal texts."""
-    docs = pick(df, doc_id="bigint", text="string").filter("doc_id is not null")
+def bands(signed: DataFrame, size: int, rows: int) -> DataFrame:
+    """The rows of a table with `fingerprint`, with a hash for each band of `rows` positions as `keys`."""
+    n = size // rows
 
     def run(batches):
         for b in batches:
-            for ids, texts in chunks(b.column(1), b.column(0)):
-                kept = [(i, _class(t)) for i, t in zip(ids, texts, strict=True) if words(t)]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array([c for _, c in kept], pa.binary())], ["doc_id", "cls"])
-
-    rows = docs.mapInArrow(lean(run), "doc_id bigint, cls binary")
-    return rows.join(rows.groupBy("cls").agg(F.min("doc_id").alias("first_id")), "cls").select("first_id", "doc_id")
-
+            s = np.frombuffer(bytes.fromhex("".join(b.column(3).to_pylist())), ">u2").astype(np.uint64).reshape(-1, size)
+            key = np.broadcast_to(np.arange(1, n + 1, dtype=np.uint64) << np.uint64(48), (len(s), n)).copy()
+            for k in range(rows):
+                key = mix(key ^ s[:, k : n * rows : rows])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * n), pa.array(key.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 2, 4)), lists], ["doc_id", "th", "n_shingles", "cls", "keys"])
 
-def near_pairs(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5, rows: int = 3, percent: int = 80, block: int = 256) -> DataFrame:
-    """first_id, doc_id, jaccard: all pairs of different texts whose shingle sets are near, each pair once.
+    taken = signed.select("doc_id", "th", "n_shingles", "fingerprint", "cls")
+    return taken.mapInArrow(lean(run), "doc_id bigint, th bigint, n_shingles bigint, cls binary, keys array<bigint>")
 
-    Equal texts form a class, named by its least doc_id, the one that pairs show;
-    `members` has the rows of each (rows without doc_id or words take no part). The
-    lesser name is first_id; texts that share a doc_id are classes of their own.
-    Classes with an equal signature band form a group, in which all meet all: members
-    are dealt into blocks of about `block`, and each two blocks are one key of the
-    join, so no task holds a large group. Pairs that the sizes of their sets do not
-    rule out are verified on the full sets. With 21 bands of 3 positions a pair at 0.8
-    shares none with probability 3e-7.
-    """
-    docs = pick(df, doc_id="bigint", text="string").filter("doc_id is not null")
 
-    def sign(batches):
-        mh = MinHash(size, width)
-        for b in batches:
-            for ids, texts in chunks(b.column(1), b.column(0)):
-                s = mh.signatures(texts).astype(np.int64)
-                n = size // rows
-                band = np.zeros((len(ids), n), np.int64)
-                for k in range(rows):
-                    band = band << 16 | s[:, k : n * rows : rows]
-                keep = [i for i, t in enumerate(texts) if words(t)]
-                lists = [band[i].tolist() for i in keep]
-                held = [len(np.unique(mh.shingles(texts[i]))) for i in keep]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([_class(texts[i]) for i in keep], pa.binary()), pa.array(held, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "cls", "held", "bands"])
-
-    signed = docs.mapInArrow(lean(sign), "doc_id bigint, cls binary, held bigint, bands array<bigint>")
-    classes = ws.write(signed.groupBy("cls").agg(F.min("doc_id").alias("id"), F.max("held").alias("held"), F.max("bands").alias("bands")), "classes")
-    posted = classes.select("cls", "held", F.posexplode("bands").alias("band", "value"))
-    groups = posted.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / block)
-    dealt = posted.join(groups, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("cls"), blocks))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    dealt = dealt.select("band", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "held")
-    dealt = ws.write(dealt, "dealt")
-    left, right = (dealt.withColumnsRenamed({c: f"{c}_{k}" for c in ("own", "cls", "held")}) for k in "ab")
-    met = left.join(right, ["band", "value", "p", "q"]).filter((F.col("p") == F.col("q")) | (F.col("own_a") != F.col("own_b"))).filter("cls_a < cls_b")
-    met = met.filter(F.least("held_a", "held_b") * 100 >= F.greatest("held_a", "held_b") * percent)
-    pairs = ws.write(met.select("cls_a", "cls_b").distinct(), "pairs")
-    need = pairs.select(F.col("cls_a").alias("cls")).unionAll(pairs.select("cls_b")).distinct()
-    need = ws.write(classes.select("cls", "id").join(need, "cls"), "need")
-
-    def sets(batches):
-        mh = MinHash(size, width)
-        for b in batches:
-            for _, texts in chunks(b.column(0)):
-                found = [np.unique(mh.shingles(t)).tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array([_class(t) for t in texts], pa.binary()), pa.array(found, pa.binary())], ["cls", "held"])
+def with_neighbours(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5, rows: int = 3, percent: int = 80) -> DataFrame:
+    """Per row: fingerprints of the text and of its edited text, likenesses, and the group of near texts.
 
-    asked = docs.join(need.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select("text")
-    found = ws.write(asked.mapInArrow(lean(sets), "cls binary, held binary").join(need, "cls").dropDuplicates(["cls"]), "sets")
-    x, y = (found.select(*[F.col(c).alias(f"{c}_{k}") for c in ("cls", "id", "held")]) for k in "ab")
+    near_group is the least doc_id that verified links reach: two texts are linked if
+    they share a signature band of `rows` positions and their shingle sets' Jaccard
+    similarity is `percent` hundredths or more. With 21 bands of 3 a link at 0.8 shares
+    none with probability 3e-7. A text without words is in a group of its own, and so
+    is one without doc_id that reaches none: then near_group is null.
 
-    def verify(batches):
-        for b in batches:
-            out = []
-            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both / max(1, len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["first_id", "doc_id", "jaccard"])
-
-    met = pairs.join(x, "cls_a").join(y, "cls_b").select(F.least("id_a", "id_b"), F.greatest("id_a", "id_b"), "held_a", "held_b")
-    return met.mapInArrow(lean(verify), "first_id bigint, doc_id bigint, jaccard double").filter(F.col("jaccard") * 100 >= percent)
+    A null text counts as empty, an empty text's fingerprint is all ones; a table of
+    one row has itself as the following document; repeated rows each yield a row; an
+    empty table yields none.
+    """
+    made = ws.write(neighboured(df, ws, size=size, width=width), "neighboured")
+    ws.drop("fingerprints")
+    texts = pick(df, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    signed = bands(made.filter("cls is not null"), size, rows)
+    groups = class_components(texts, signed, ws, Shingling(width, lower=False), size=size // rows, matches=1, percent=percent)
+    group = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return made.join(groups, "cls", "left").select(*[c.split()[0] for c in _OUT.split(", ")], group.alias("near_group"))

@@ -52,7 +52,7 @@ _SHIFT = 10
 NONE = (1 << 63) - 1
 #: Members of a shingle that one salt holds.
 SALT_MEMBERS = 1024
-LEAST_BUCKETS, BUCKET_KEYS = 128, 2_000_000
+LEAST_BUCKETS, BUCKET_KEYS = 128, 1_000_000
 
 
 def lowered(text: str) -> str:
@@ -117,7 +117,7 @@ def _buckets(packs: DataFrame) -> int:
 class _Packer:
     """Collects rows of classes into batches with numbers of their own, bounded in rows and shingles."""
 
-    def __init__(self, kinds: dict, most: int = 500_000):
+    def __init__(self, kinds: dict, most: int = 150_000):
         from pyspark import TaskContext
 
         self.kinds, self.most, self.next = kinds, most, TaskContext.get().partitionId() << 22
