@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and a character BiLSTM with a CRF, in numpy.
 
 Base spans are exact pattern matches. The model reads characters in overlapping
-windows, both ways, and a CRF decodes each window. Where windows overlap, a
-character takes the label of the window in which it stands further from the rim;
-labelled runs become spans, plausible ones of these that touch no base span are
-added, and the longer wins where two collide.
+windows, both ways. Where windows overlap their emissions fade into each other, and
+the CRF decodes each text as one sequence, so that a label never depends on where a
+window ends. Labelled runs become spans, plausible ones of these that touch no base
+span are added, and the longer wins where two collide.
 
 The model is trained here, from labelled spans: windows of a bounded sample of
 texts, whose base spans are labels, with generated personal data planted in them,
@@ -101,6 +101,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 CHARS = 132
 OUTSIDE, PAD = 0, 131
+WIDTH = 128  # characters of a window, in training and in use
 TAGS = 1 + len(KINDS)
 
 
@@ -182,20 +183,40 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return np.stack(tags[::-1])
 
 
-def decode(m: Tagger, x: np.ndarray) -> np.ndarray:
-    """Tags of each window. Windows in which only the outside path can win are not searched.
+def bounds(trans: np.ndarray) -> tuple[float, float]:
+    """Leads of outside over every tag, beyond which a place is outside on the best path.
 
-    A path leaves n characters to tags and at most 2n transitions to others than
-    outside-outside; if each tag loses more against outside at every character than
-    two transitions can gain, the outside path is best.
+    Above the second, wherever it stands: to make n such places outside changes n + 1
+    transitions, each for at most the spread of `trans`, and gains more than twice that
+    a place. A run of other tags needs a place below the first: to make all of it
+    outside costs at most what transitions can be better than outside to outside.
     """
-    e = emissions(m, x)
-    gain = max(0.0, float((m.trans - m.trans[0, 0]).max()))
+    return 2 * max(0.0, float((trans - trans[0, 0]).max())), 2 * float(trans.max() - trans.min())
+
+
+def best_tags(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Best tags (T) of a text's emissions (T, TAGS), outside before its first and after its last character.
+
+    Only stretches below the bounds are searched; between outside places that is the
+    search over the whole text.
+    """
+    some, every = bounds(trans)
     lead = e[:, 0] - e[:, 1:].max(1)
-    open_ = np.nonzero(lead.min(0) <= 2 * gain)[0]
-    tags = np.zeros(x.shape, np.int8)
-    if len(open_):
-        tags[:, open_] = viterbi(e[:, :, open_], m.trans)
+    tags = np.zeros(len(e), np.int8)
+    cut = np.nonzero(np.diff((lead <= every).astype(np.int8), prepend=0, append=0))[0].reshape(-1, 2)
+    low = np.concatenate([[0], np.cumsum(lead <= some)])
+    cut = cut[low[cut[:, 1]] > low[cut[:, 0]]]
+    cut = cut[np.argsort(cut[:, 1] - cut[:, 0], kind="stable")]
+    for g in range(0, len(cut), 64):
+        part = cut[g : g + 64]
+        size = int((part[-1, 1] - part[-1, 0])) + 2
+        x = np.full((size, e.shape[1], len(part)), -1e9, np.float32)  # all but outside cannot be
+        x[:, 0] = 0
+        for r, (a, b) in enumerate(part):
+            x[1 : 1 + b - a, :, r] = e[a:b]
+        found = viterbi(x, trans)
+        for r, (a, b) in enumerate(part):
+            tags[a:b] = found[1 : 1 + b - a, r]
     return tags
 
 
@@ -321,7 +342,7 @@ def _planted(rng: np.random.Generator) -> tuple[int, str]:
     return 0, pick_([num(rng.integers(1, 7)), f"{num(2)}.{num(2)}.{num(4)}", f"v{num(1)}.{num(1)}.{num(2)}", hexes, f"{num(4)}-{num(2)}-{num(2)}", f"{num(3)}.{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f'token = "{hexes}"', f"AKIA{num(8)}", f"{num(rng.integers(20, 30))}", "@" + word(3, 8), f"{num(2)}%", f"({num(1)})", f"+{num(2)}"])
 
 
-def training_windows(texts: list[str], *, n: int = 4000, width: int = 64, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(texts: list[str], *, n: int = 3000, width: int = WIDTH, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Windows of the texts with planted data; base spans and planted ones are the labels."""
     rng = np.random.default_rng(seed)
     texts = [t for t in texts if t] or ["-"]
@@ -373,30 +394,59 @@ _TRIM = re.compile(r"[A-Za-z0-9+(](?:.*[A-Za-z0-9)])?", re.S)
 
 
 class Finder:
-    def __init__(self, model: Tagger, *, width: int = 256, overlap: int = 32, group: int = 1024):
+    def __init__(self, model: Tagger, *, width: int = WIDTH, overlap: int = 32, group: int = 1024):
         self.model, self.width, self.overlap, self.group = model, width, overlap, group
+        self.fade = np.minimum(np.arange(width) + 1, overlap).astype(np.float32) / np.float32(overlap + 1)
 
-    def tags(self, texts: list[str]) -> list[np.ndarray]:
-        """Reconciled tags of every character."""
+    def joined(self, texts: list[str]) -> dict[int, np.ndarray]:
+        """Emissions of the texts that may hold more than outside; far from such places outside is sure to lead."""
         step = self.width - self.overlap
         all_codes = [codes(t) for t in texts]
         starts = [(i, a) for i, x in enumerate(all_codes) for a in range(0, max(1, len(x) - self.overlap), step) if len(x)]
-        out = [np.zeros(len(x), np.int8) for x in all_codes]
-        half = self.overlap // 2
+        kept: dict[int, np.ndarray] = {}
+        open_ = np.zeros(len(starts) + 2, bool)
         for g in range(0, len(starts), self.group):
             part = starts[g : g + self.group]
             x = np.full((len(part), self.width), PAD, np.uint8)
             for r, (i, a) in enumerate(part):
                 c = all_codes[i][a : a + self.width]
                 x[r, : len(c)] = c
-            found = decode(self.model, np.ascontiguousarray(x.T))
-            for r in np.nonzero(found.any(0))[0]:
-                i, a = part[r]
-                low = a + half if a else 0
-                high = min(len(out[i]), a + self.width - half) if a + self.width < len(out[i]) else len(out[i])
-                out[i][low:high] = found[low - a : high - a, r]
+            e = emissions(self.model, np.ascontiguousarray(x.T))
+            now = (e[:, 0] - e[:, 1:].max(1)).min(0) <= bounds(self.model.trans)[1]
+            open_[g + 1 : g + 1 + len(part)] = now
+            near = now.copy()
+            near[1:] |= now[:-1]
+            near[:-1] |= now[1:]
+            near[[0, -1]] = True  # windows beside those of another group
+            for r in np.nonzero(near)[0]:
+                kept[g + int(r)] = e[:, :, r].copy()
+        out: dict[int, np.ndarray] = {}
+        weight: dict[int, np.ndarray] = {}
+        for w, e in kept.items():
+            if not open_[w : w + 3].any():
+                continue
+            i, a = starts[w]
+            n = len(all_codes[i])
+            if i not in out:
+                out[i], weight[i] = np.zeros((n, TAGS), np.float32), np.zeros(n, np.float32)
+            b = min(n, a + self.width)
+            fade = np.ones(b - a, np.float32)
+            if a:
+                fade = np.minimum(fade, self.fade[: b - a])
+            if b < n:
+                fade = np.minimum(fade, self.fade[::-1][: b - a])
+            out[i][a:b] += e[: b - a] * fade[:, None]
+            weight[i][a:b] += fade
+        for i, e in out.items():
+            e /= np.maximum(weight[i], 1e-9)[:, None]
+            e[weight[i] == 0, 0] = 1e6
         return out
 
+    def tags(self, texts: list[str]) -> list[np.ndarray]:
+        """Tags of every character, each text decoded whole."""
+        found = self.joined(texts)
+        return [best_tags(found[i], self.model.trans) if i in found else np.zeros(len(t), np.int8) for i, t in enumerate(texts)]
+
     def spans(self, texts: list[str]) -> list[tuple[list, list]]:
         """Per text: base spans, and added spans, as (start, kind, end)."""
         out = []
