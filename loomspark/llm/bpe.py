@@ -29,7 +29,7 @@ _NONE = 1 << 60
 
 
 class TreeBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, *, leaf: int = 32, remembered: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, *, leaf: int = 4, remembered: int = 250_000):
         import regex
 
         self.ranks, self.leaf, self.remembered = ranks, leaf, remembered
@@ -126,7 +126,8 @@ def tokenize(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     `vocabulary` is the path of a rank file that every executor can open.
     Null texts count as empty; an empty text has no token; a text is encoded
-    whole whatever its length; repeated rows each yield a row.
+    whole whatever its length; repeated rows each yield a row; an empty table yields
+    none.
     """
     return _mapped(df, vocabulary, pattern, True)
 
@@ -155,4 +156,5 @@ def _mapped(df: DataFrame, vocabulary: str, pattern: str, keep_ids: bool) -> Dat
 
 
 def digest(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, as `tokenize` has them; an empty table yields no row."""
     return _mapped(df, vocabulary, pattern, False)
