@@ -178,7 +178,9 @@ class Workspace:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not base and own.isDefined():
             base = own.get()
-        if not base:  # unset only in tests and on one machine
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="loomspark-")
         self.base = f"{base.rstrip('/')}/loomspark-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.base)

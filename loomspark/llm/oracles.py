@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .secret_scan import ACCESS, ENDPOINT, HEX, LEAST_ACCESS, LEAST_SHORT, LEAST_VALUE, OPAQUE
+# The patterns of op10's contract and of its weak candidates, stated here anew.
+ACCESS, HEX, OPAQUE, ENDPOINT = "AKIA[A-Z0-9]+", "[0-9a-f]{16,}", "[A-Za-z0-9+/]{32,}", "[a-z]{2,8}://[A-Za-z0-9.:/_-]+"
+LEAST_VALUE, LEAST_ACCESS, LEAST_SHORT = 12, 18, 6
 
 _WORDS = "[w FOR w IN string_split_regex(coalesce({}, ''), '[\\x20\\x09-\\x0D]+') IF w <> '']"
 
@@ -74,4 +76,39 @@ SELECT doc_id, len([x FOR x IN base IF x.k = 0])::BIGINT AS n_assign, len([x FOR
   sha256({_LISTED.format("base")}) AS base_sha256, {_LISTED.format("list_concat(base, l)")} AS spans, len(l)::BIGINT AS n_linked FROM linked
 """
 
-ORACLE = {"op4_substring_dedup": OP4, "op7_exact_top_k": OP7, "op8_near_dedup": OP8, "op10_secret_scan": OP10}
+def _texts(pattern: str) -> str:
+    """List of {s, e, t}: places and texts of a pattern's matches."""
+    return f"[{{'s': x.s, 'e': x.e, 't': regexp_extract_all(text, '{pattern}')[i]}} FOR x, i IN {_spans(pattern)}]"
+
+
+# The patterns of op1's contract.
+EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD, PHONE = r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
+_DIGITS = "regexp_replace(x.t, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum([CASE WHEN j % 2 = 1 THEN d ELSE d * 2 // 10 + d * 2 % 10 END FOR d, j IN [c::INT FOR c IN string_split(reverse({_DIGITS}), '')]]) % 10 = 0"
+BASE_SPANS = f"""
+WITH found AS (SELECT doc_id, {_texts(EMAIL)} AS m, {_texts(IP)} AS i, {_texts(CARD)} AS c, {_texts(PHONE)} AS p FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+kept AS (SELECT doc_id, m, [x FOR x IN i IF len([y FOR y IN string_split(x.t, '.') IF y::HUGEINT > 255]) = 0] AS i,
+  [x FOR x IN c IF length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}] AS c, [x FOR x IN p IF length({_DIGITS}) BETWEEN 10 AND 15] AS p FROM found),
+listed AS (SELECT *, list_sort(list_concat(list_concat([{{'s': x.s, 'k': 0, 'e': x.e}} FOR x IN m], [{{'s': x.s, 'k': 1, 'e': x.e}} FOR x IN i]), list_concat([{{'s': x.s, 'k': 2, 'e': x.e}} FOR x IN c], [{{'s': x.s, 'k': 3, 'e': x.e}} FOR x IN p]))) AS a FROM kept)
+SELECT doc_id, len(m)::BIGINT AS n_email, len(i)::BIGINT AS n_ip, len(c)::BIGINT AS n_card, len(p)::BIGINT AS n_phone,
+  sha256(array_to_string([['email', 'ip', 'card', 'phone'][x.k + 1] || ':' || x.s || ':' || x.e FOR x IN a], ',')) AS base_sha256 FROM listed
+"""
+
+# Targets rise with one level for all sources, up to twice a source's size: the level is the first that the next cap does not stop.
+TARGETS = f"""
+WITH docs AS (SELECT doc_id, source, len({_WORDS.format("text")})::BIGINT AS size FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS n, [1, 5, 2][1 + row_number() OVER (ORDER BY source NULLS LAST) % 3] AS w FROM docs GROUP BY source),
+caps AS (SELECT *, 2 * n / w::DOUBLE AS cap, coalesce(sum(2 * n) OVER before, 0) AS full_, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open_, 1.5::DOUBLE * sum(n) OVER () AS total FROM sources
+  WINDOW before AS (ORDER BY 2 * n / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT max((total - full_) / open_) FILTER ((total - full_) / open_ <= cap) AS l FROM caps)
+SELECT doc_id, size, n AS source_size, round(least(2 * n::DOUBLE, l * w), 3) AS target FROM docs d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source, level
+"""
+
+EDITED = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+beside AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS f, length(text) AS n FROM docs)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(substr(text, 1, n - n // 3) || substr(f, 1, n // 3)) AS edited_sha256 FROM beside
+"""
+
+ORACLE = {"op4_substring_dedup": OP4, "op7_exact_top_k": OP7, "op8_near_dedup": OP8, "op10_secret_scan": OP10, "personal_data_patterns": BASE_SPANS, "source_mix_targets": TARGETS, "edited_texts": EDITED}

@@ -54,11 +54,29 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), Workspace(spark)))
+
+
+# Columns of op1, op3 and op6 that SQL can express, each through its operator.
+
+
+def personal_data_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def source_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), Workspace(spark))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighboured(table(spark, sf_dir, "documents"), Workspace(spark)).select("doc_id", "n_chars", "edited_sha256")
 
 
 def _shipped(f):
     return lambda spark, sf_dir: f(prepare(spark), sf_dir)
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_personal_data, op2_toxicity, op3_source_mix, op4_substring_dedup, op5_bpe_round_trip, op6_fingerprints, op7_exact_top_k, op8_near_dedup, op9_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_personal_data, op2_toxicity, op3_source_mix, op4_substring_dedup, op5_bpe_round_trip, op6_fingerprints, op7_exact_top_k, op8_near_dedup, op9_token_counts, op10_secret_scan, personal_data_patterns, source_mix_targets, edited_texts)}

@@ -17,12 +17,12 @@ def docs(spark, texts, sources=None):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def clashing(df):
+def clashing(df, first="doc_id"):
     """The same table between columns whose names clash with others, in any case."""
     from pyspark.sql import functions as F
 
-    extra = [F.lit(1).alias(n) for n in ("TEXT", "score", "size", "kept", "n_words", "key", "batch", "copies", "rate", "cls", "part", "n")]
-    return df.select(F.lit("x").alias("Doc_Id"), *[F.col(f"`{c}`") for c in df.columns], *extra)
+    extra = [F.lit(1).alias(n) for n in ("TEXT", "EMBEDDING", "score", "size", "kept", "n_words", "key", "batch", "copies", "rate", "cls", "part", "n", "q", "row", "ids", "rank")]
+    return df.select(F.lit("x").alias(first.title()), *[F.col(f"`{c}`") for c in df.columns], *extra)
 
 
 def odd_texts():

@@ -86,8 +86,9 @@ def test_counts_equal_the_tokenizer(unigram, text):
 
 
 def test_count_tokens(spark, unigram):
-    pairs = [(i, t) for i, t in odd_texts() if i != 6]
+    pairs = odd_texts()
     got = token_counts.count_tokens(clashing(docs(spark, pairs)), PIECES).collect()
+    assert token_counts.count_tokens(docs(spark, {1: "a"}).filter("false"), PIECES).count() == 0
     assert sorted(map(str, [(r.doc_id, r.n_chars, r.n_tokens) for r in got])) == sorted(map(str, [(i, len(t or ""), unigram(t or "")) for i, t in pairs]))
 
 
@@ -107,7 +108,7 @@ def test_secret_base_spans(spark):
     parts = ["é😀 ", "password: secret: abcdefghijklmnop ", 'TOKEN = "', "abcdef0123456789", "AKIA", "ABCD1234EFGH5678", "api_key='x", "apikey=", "passwd : short ", "\n", "=", "secret", " ", "deadbeefdeadbeef0 "]
     pairs = [(100 + i, "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))) for i in range(200)]
     pairs += odd_texts() + [(900, "password=abcdefabcdefabcdef ſecret=abcdefghijklmnop " * 300)]
-    got = secret_scan.digest(secret_scan.scan(clashing(docs(spark, pairs)))).collect()
+    got = secret_scan.digest(secret_scan.scan(clashing(docs(spark, pairs)), Workspace(spark))).collect()
     want = sorted((str(i), hashlib.sha256(brute_secrets(t).encode()).hexdigest()) for i, t in pairs)
     assert sorted((str(r.doc_id), r.base_sha256) for r in got) == want
     assert all(r.n_assign + r.n_access + r.n_hex + r.n_linked == (r.spans.count(",") + 1 if r.spans else 0) for r in got)
@@ -116,11 +117,53 @@ def test_secret_base_spans(spark):
 def test_weak_parts_are_reported_together_only(spark):
     key, value, place = "AKIA" + "Z9" * 8, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "https://db.example.com:5432/x"
     texts = {1: f"{key} {value} {place}", 2: f"{value} {place}", 3: key + " x" * 300 + " " + value, 4: f"user: bob {value} {place}", 5: f"user=bob {place}", 6: f"{key} token=abc123"}
-    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(docs(spark, texts))).collect()}
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(docs(spark, texts), Workspace(spark))).collect()}
     kinds = {i: [s.split(":")[0] for s in x.split(",")] if x else [] for i, x in got.items()}
     assert kinds == {1: ["access", "opaque", "endpoint"], 2: [], 3: ["access"], 4: ["user", "opaque", "endpoint"], 5: [], 6: ["access", "short"]}
 
 
+def brute_linked(t, scope=200):
+    """Linked spans of a text, every pair of spans compared."""
+    t = t or ""
+    names = ["assign", "access", "hex", "user", "short", "opaque", "endpoint"]
+    part = dict(zip(names, ["s", "i", "s", "i", "s", "s", "e"]))
+    base = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in brute_secrets(t).split(",") if x)]
+    weak = [(m.start(), "short", m.end()) for m in ASSIGN.finditer(t) if 6 <= len(m[2]) < 12]
+    if base or "://" in t:
+        weak += [(m.start(), "user", m.end()) for m in re.finditer(r"""(?i:user|username|login|client_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]+""", t, re.A)]
+        weak += [(m.start(), "opaque", m.end()) for m in re.finditer("[A-Za-z0-9+/]{32,}", t)]
+        weak += [(m.start(), "endpoint", m.end()) for m in re.finditer("[a-z]{2,8}://[A-Za-z0-9.:/_-]+", t)]
+    weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+    near = lambda w, xs: {part[x[1]] for x in xs if x[0] - w[2] <= scope and w[0] - x[2] <= scope} - {part[w[1]]}
+    linked = [w for w in weak if near(w, base) or len(near(w, base + weak)) == 2]
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(base + linked, key=lambda x: (x[0], names.index(x[1]))))
+
+
+def test_linked_spans_are_those_of_all_pairs(spark):
+    rng = random.Random(13)
+    parts = ["user: bob ", "client_id=x9 ", "password=abc1234 ", "AKIA" + "Z9" * 8 + " ", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY ", "https://db.example.com:5432/x ", "deadbeefdeadbeef ", "word " * 20, "é" * 90 + " ", "x " * 100, "secret=abcdefghijklmnop "]
+    pairs = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(2, 25)))) for i in range(300)]
+    pairs += [(7, pairs[7][1]), (None, pairs[8][1]), *odd_texts()]
+    pairs += [(900, "https://a.b/c " * 3000 + "login=me " + "z" * 5000 + " deadbeefdeadbeef " * 500)]
+    got = secret_scan.digest(secret_scan.scan(clashing(docs(spark, pairs)).repartition(5), Workspace(spark))).collect()
+    assert sorted((str(r.doc_id), r.spans) for r in got) == sorted((str(i), brute_linked(t)) for i, t in pairs)
+    assert sum(r.n_linked for r in got) > 300
+    assert secret_scan.scan(docs(spark, {1: "a"}).filter("false"), Workspace(spark)).count() == 0
+
+
+def test_a_text_of_very_many_secrets(spark):
+    """Linear in the spans of one text."""
+    import time
+
+    n = 16_000
+    df = docs(spark, {1: "https://h.example.com/p deadbeefdeadbeef0 " * n})
+    scan = lambda: secret_scan.digest(secret_scan.scan(df, Workspace(spark))).collect()[0]
+    scan()
+    t = time.time()
+    r = scan()
+    assert (r.n_hex, r.n_linked) == (n, n) and time.time() - t < 30
+
+
 def brute_pii(t):
     t, out = t or "", []
     out += [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", t)]
@@ -158,14 +201,59 @@ def tagger():
 
 def test_tagger_learns(tagger):
     x, y = pii.training_windows(plain_texts(1), n=600, seed=99)
-    tags = pii.decode(tagger, np.ascontiguousarray(x.T)).T
+    tags = pii.viterbi(pii.emissions(tagger, np.ascontiguousarray(x.T)), tagger.trans).T
     assert (tags == y).mean() > 0.97 and ((tags > 0) & (y > 0)).sum() / (y > 0).sum() > 0.85
 
 
-def test_skipped_windows_are_outside(tagger):
-    x, _ = pii.training_windows(["some words here " * 9], n=200, seed=5)
-    x = np.ascontiguousarray(x.T)
-    assert np.array_equal(pii.decode(tagger, x), pii.viterbi(pii.emissions(tagger, x), tagger.trans))
+def whole_emissions(finder, t):
+    """Emissions of a text from all its windows, each weighed by its distance from rims inside the text."""
+    step, n = finder.width - finder.overlap, len(t)
+    total, weight = np.zeros((n, pii.TAGS)), np.zeros(n)
+    for a in range(0, max(1, n - finder.overlap), step):
+        x = np.full((1, finder.width), pii.PAD, np.uint8)
+        c = pii.codes(t[a : a + finder.width])
+        x[0, : len(c)] = c
+        e = pii.emissions(finder.model, np.ascontiguousarray(x.T))[: len(c), :, 0]
+        for k in range(len(c)):
+            w = min([1.0] + [min(k + 1, finder.overlap) / (finder.overlap + 1)] * (a > 0) + [min(finder.width - k, finder.overlap) / (finder.overlap + 1)] * (a + len(c) < n))
+            total[a + k] += w * e[k]
+            weight[a + k] += w
+    return total / weight[:, None]
+
+
+def test_texts_are_decoded_whole(tagger):
+    """Skipping places that are surely outside gives the tags of one search over all of a text."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join([*plain_texts(7)[k].split()[: 9 * k], *(pii._planted(rng)[1] for _ in range(k % 4)), *plain_texts(8)[k].split()[:30]]) for k in range(20)]
+    finder = pii.Finder(tagger, group=3)
+    for t, tags in zip(texts, finder.tags(texts), strict=True):
+        e = whole_emissions(finder, t)
+        out = np.full((len(t) + 2, pii.TAGS, 1), -1e9)
+        out[:, 0] = 0
+        out[1:-1, :, 0] = e
+        assert np.array_equal(tags, pii.viterbi(out, tagger.trans)[1:-1, 0])
+
+
+def test_a_span_is_found_at_every_offset(tagger):
+    """Between the same words a span is found wherever it stands to the seams of windows, and whole."""
+    finder, words_ = pii.Finder(tagger), "the words of a text go on "
+    put = "(555) 555-0123"
+    texts = [f"{(words_ * 40)[:300 + k]} {put} {words_ * 30}" for k in range(4 * finder.width)]
+    found = [put in [t[a:b] for a, _, b in added] for t, (_, added) in zip(texts, finder.spans(texts), strict=True)]
+    assert np.mean(found) > 0.9
+    assert all(found[k] == found[k % len(words_)] for k in range(len(texts)))
+
+
+def test_find_in_none(spark, tagger):
+    assert pii.find(docs(spark, {1: "a"}).filter("false"), tagger).count() == 0
+    assert pii.redact(docs(spark, {1: "a"}).filter("false"), tagger).count() == 0
+
+
+def test_fit_on_odd_tables(spark):
+    """Nulls, ties and repeated rows in the sample, and no rows at all: a model comes out, the same on every run."""
+    a, b = (pii.fit(clashing(docs(spark, odd_texts())).repartition(n), sample=6, epochs=1) for n in (2, 5))
+    assert all(np.array_equal(x, y) for x, y in zip(a.parameters(), b.parameters(), strict=True))
+    assert pii.fit(docs(spark, {1: "a"}).filter("false"), epochs=1).tables[0].shape[1] == pii.CHARS
 
 
 def test_crf_gradient():
@@ -246,21 +334,79 @@ def test_toxicity_without_labels(spark):
 
 
 def test_kneser_ney_sums_to_one():
-    """Over all characters after a known context, the toxic model's shares add up to one."""
-    m = toxicity.fit_counts({"ab": 3, "ac": 2, "b": 1}, {"ab": 1, "ad": 4})
+    """After any context, known or not, each model's shares of all characters, and of one unknown, add up to one."""
+    ordinary, toxic = {"ab": 3, "ac": 2, "b": 1, "über": 2, "abacus": 1}, {"ab": 1, "ad": 4, "abad": 2}
+    m = toxicity.fit_counts(ordinary, toxic)
+    letters = sorted(set("".join([*ordinary, *toxic]))) + [toxicity.END, "?"]
+    for before in ("", "a", "ab", "aba", "abacu", "zzz", "xab", "abada", "ü"):
+        ws = [before + x for x in letters if x != toxicity.END] + [before]
+        w = toxicity.Windows(ws, m.order)
+        at = np.nonzero(np.arange(len(w.at)) - w.first[w.word] == len(before))[0]
+        assert np.allclose(np.exp(m.log_p(w, at, w.length[at])).sum(axis=0), 1), before
     assert m.log_ratio("ad") > 1 > 0 > m.log_ratio("ac")
 
 
-def test_rare_toxic_pairs_are_kept():
+def plain_word_log_p(ordinary, toxic, word, order=5, d=0.75):
+    """Both models' log-likelihoods of a word, from counters."""
+    grams = lambda w: [((toxicity.START + w)[max(0, i + 1 - order) : i + 1], (w + toxicity.END)[i]) for i in range(len(w) + 1)]
+    own = [{}, {}]
+    for k, counts in enumerate((ordinary, toxic)):
+        for w, n in counts.items():
+            for c, x in grams(w):
+                own[k].setdefault(c, {}).setdefault(x, 0)
+                own[k][c][x] += n
+    level, shared = {(c, x) for k in own for c, xs in k.items() for x in xs}, {}
+    for m in range(order, 0, -1):
+        here = {(c, x) for c, x in level if len(c) == m}
+        for c, x in here:
+            shared.setdefault(c[1:], {}).setdefault(x, 0)
+            shared[c[1:]][x] += 1
+        level |= {(c[1:], x) for c, x in here}
+
+    def back(c, x):
+        below = back(c[1:], x) if c else 1 / (len(shared[""]) + 1)
+        xs = shared.get(c)
+        return below if not xs else (max(xs.get(x, 0) - d, 0) + d * len(xs) * below) / sum(xs.values())
+
+    def p(k, c, x):
+        xs, below = own[k].get(c), back(c[1:], x)
+        return below if not xs else (max(xs.get(x, 0) - d, 0) + d * len(xs) * below) / sum(xs.values())
+
+    return [sum(np.log(p(k, c, x)) for c, x in grams(word)) for k in (0, 1)]
+
+
+def test_likelihoods_equal_plain_counting():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 9)))
+    ordinary, toxic = ({word(): rng.randint(1, 9) for _ in range(60)} for _ in range(2))
+    m = toxicity.fit_counts(ordinary, toxic)
+    ws = [*ordinary][:20] + [*toxic][:20] + [word() for _ in range(20)] + ["zq", "aaaaaaaaaaaa"]
+    assert np.allclose(m.word_log_p(ws), [plain_word_log_p(ordinary, toxic, w, m.order) for w in ws])
+
+
+def test_rare_toxic_words_are_kept():
     rng = random.Random(8)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     ordinary, toxic = {word(9): 9 for _ in range(45_000)}, {word(9): 1 for _ in range(300)}
     m = toxicity.fit_counts(ordinary, toxic)
-    x = m.log_ratios([*toxic])
-    assert x.min() > 5 and m.log_ratios([*ordinary][:500]).max() < -1
+    x = np.diff(m.word_log_p([*toxic]))[:, 0]
+    assert x.min() > 3 and np.diff(m.word_log_p([*ordinary][:500])).max() < -1
     assert np.allclose(x[:20], [m.log_ratio(w) for w in [*toxic][:20]], rtol=0, atol=1e-9)
 
 
+def test_accepted_keeps_odd_rows(spark):
+    pairs, labels = toxic_rows(600)
+    odd = [(i if i is None else i + 5000, t) for i, t in odd_texts()]
+    df = clashing(docs(spark, [*pairs, *odd]))
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    kept = toxicity.accepted(df, model)
+    assert kept.columns == df.columns and toxicity.accepted(df.filter("false"), model).count() == 0
+    scores = {t: model.score(toxicity._Evidence(model).of(t or "")) for _, t in [*pairs, *odd]}
+    show = lambda rows: sorted(map(repr, rows))
+    assert show((r[1], r[2]) for r in kept.collect()) == show((i, t) for i, t in [*pairs, *odd] if scores[t] < 0.5)
+    assert scores[None] == scores[""] and 0 < len([t for t in scores if scores[t] >= 0.5]) < 200
+
+
 def brute_targets(sizes):
     """Targets by sharing and resharing the excess."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
@@ -333,7 +479,7 @@ def test_mixing_of_few(spark):
 
 def test_mixing_stays_in_the_jvm(spark):
     plan = mixing.mix(docs(spark, {1: "a b", 2: "c"}), Workspace(spark))._jdf.queryExecution().executedPlan().toString()
-    plan += secret_scan.digest(secret_scan.scan(docs(spark, {1: "a"})))._jdf.queryExecution().executedPlan().toString()
+    plan += secret_scan.digest(secret_scan.scan(docs(spark, {1: "a"}), Workspace(spark)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
