@@ -101,7 +101,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 CHARS = 132
 OUTSIDE, PAD = 0, 131
-WIDTH = 128  # characters of a window, in training and in use
+WIDTH = 192  # characters of a window, in training and in use
 TAGS = 1 + len(KINDS)
 
 
@@ -342,7 +342,7 @@ def _planted(rng: np.random.Generator) -> tuple[int, str]:
     return 0, pick_([num(rng.integers(1, 7)), f"{num(2)}.{num(2)}.{num(4)}", f"v{num(1)}.{num(1)}.{num(2)}", hexes, f"{num(4)}-{num(2)}-{num(2)}", f"{num(3)}.{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f'token = "{hexes}"', f"AKIA{num(8)}", f"{num(rng.integers(20, 30))}", "@" + word(3, 8), f"{num(2)}%", f"({num(1)})", f"+{num(2)}"])
 
 
-def training_windows(texts: list[str], *, n: int = 3000, width: int = WIDTH, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(texts: list[str], *, n: int = 2000, width: int = WIDTH, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Windows of the texts with planted data; base spans and planted ones are the labels."""
     rng = np.random.default_rng(seed)
     texts = [t for t in texts if t] or ["-"]
@@ -358,13 +358,14 @@ def training_windows(texts: list[str], *, n: int = 3000, width: int = WIDTH, see
         tags = np.zeros(len(s), np.int64)
         for b, kind, e in base_spans(s):
             tags[b:e] = kind + 1
-        if rng.random() < 0.6:
-            tag, put = _planted(rng)
-            at = int(rng.integers(0, max(1, len(s))))
-            while at < len(s) and s[at] != " " and rng.random() < 0.9:
-                at += 1
-            s = f"{s[:at]} {put} {s[at:]}"
-            tags = np.concatenate([tags[:at], [0], np.full(len(put), tag), [0], tags[at:]])
+        for _ in range(2):
+            if rng.random() < 0.6:
+                tag, put = _planted(rng)
+                at = int(rng.integers(0, max(1, len(s))))
+                while at < len(s) and (tags[at] or s[at] != " " and rng.random() < 0.9):
+                    at += 1
+                s = f"{s[:at]} {put} {s[at:]}"
+                tags = np.concatenate([tags[:at], [0], np.full(len(put), tag), [0], tags[at:]])
         if len(s) > width:
             cut = int(rng.integers(0, len(s) - width + 1))
             s, tags = s[cut : cut + width], tags[cut : cut + width]
@@ -399,12 +400,17 @@ class Finder:
         self.fade = np.minimum(np.arange(width) + 1, overlap).astype(np.float32) / np.float32(overlap + 1)
 
     def joined(self, texts: list[str]) -> dict[int, np.ndarray]:
-        """Emissions of the texts that may hold more than outside; far from such places outside is sure to lead."""
+        """Emissions of the texts that may hold more than outside; where no run of other tags can reach, outside is sure to lead.
+
+        A run needs a place below the first bound and goes on below the second, so windows
+        are kept from those with such a place on, as far as their own middles stay below.
+        """
         step = self.width - self.overlap
+        some, every = bounds(self.model.trans)
         all_codes = [codes(t) for t in texts]
         starts = [(i, a) for i, x in enumerate(all_codes) for a in range(0, max(1, len(x) - self.overlap), step) if len(x)]
-        kept: dict[int, np.ndarray] = {}
-        open_ = np.zeros(len(starts) + 2, bool)
+        found: dict[int, np.ndarray] = {}  # emissions of windows that may be kept
+        begins, passes = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
         for g in range(0, len(starts), self.group):
             part = starts[g : g + self.group]
             x = np.full((len(part), self.width), PAD, np.uint8)
@@ -412,19 +418,27 @@ class Finder:
                 c = all_codes[i][a : a + self.width]
                 x[r, : len(c)] = c
             e = emissions(self.model, np.ascontiguousarray(x.T))
-            now = (e[:, 0] - e[:, 1:].max(1)).min(0) <= bounds(self.model.trans)[1]
-            open_[g + 1 : g + 1 + len(part)] = now
+            lead = e[:, 0] - e[:, 1:].max(1)
+            begins[g : g + len(part)] = lead.min(0) <= some
+            passes[g : g + len(part)] = lead[self.overlap : self.width - self.overlap].max(0) <= every
+            now = (begins | passes)[g : g + len(part)]
             near = now.copy()
             near[1:] |= now[:-1]
             near[:-1] |= now[1:]
             near[[0, -1]] = True  # windows beside those of another group
-            for r in np.nonzero(near)[0]:
-                kept[g + int(r)] = e[:, :, r].copy()
+            found.update({g + int(r): e[:, :, r].copy() for r in np.nonzero(near)[0]})
+        same = np.array([a[0] == b[0] for a, b in zip(starts, starts[1:], strict=False)], bool)  # with the next one, in one text
+        keep, more = begins, begins
+        while more.any():
+            near = np.zeros(len(keep), bool)
+            near[1:] |= more[:-1] & same
+            near[:-1] |= more[1:] & same
+            near &= ~keep
+            keep, more = keep | near, near & passes
         out: dict[int, np.ndarray] = {}
         weight: dict[int, np.ndarray] = {}
-        for w, e in kept.items():
-            if not open_[w : w + 3].any():
-                continue
+        for w in np.nonzero(keep)[0]:
+            e = found[int(w)]
             i, a = starts[w]
             n = len(all_codes[i])
             if i not in out:
