@@ -104,6 +104,13 @@ def chunks(texts: pa.Array, ids: pa.Array | None = None, size: int = CHUNK_CHARS
         yield run_ids, run
 
 
+def rows_of(batches) -> Iterator[dict]:
+    """Rows of Arrow batches, one open at a time: for rows that hold packed arrays."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 

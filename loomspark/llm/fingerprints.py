@@ -11,6 +11,7 @@ all of it stands in `linking`.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, Workspace, chunks, lean, many_shingles, mix, pick, shingle_hashes, words
-from .linking import Shingling, class_components, class_of, text_hash
+from .linking import Shingling, class_components, text_hash
+
+#: Words count as they are written; equal texts are one class.
+SHINGLING = Shingling(5, lower=False, by_text=True)
 
 
 class MinHash:
@@ -34,6 +38,10 @@ class MinHash:
 
     def signatures(self, texts: list[str]) -> np.ndarray:
         """One row of `size` 16-bit values a text; all ones without words."""
+        return self.signed(texts)[0]
+
+    def signed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of texts, and how many shingles each has, repeated ones counted."""
         x, count = many_shingles([self.hashes.of(words(t)) for t in texts], self.width)
         out = np.full((len(texts), self.size), 0xFFFF, np.uint16)
         full, ends = np.nonzero(count)[0], np.cumsum(count)
@@ -49,7 +57,7 @@ class MinHash:
                 least = np.minimum.reduceat(h, at)
                 out[full[a:b], j] = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
             a = b
-        return out
+        return out, count
 
 
 def edited_text(text: str, following: str) -> str:
@@ -67,29 +75,24 @@ _SIGNED = "th bigint, n_shingles bigint, cls binary"
 _NAMES = [c.split()[0] for c in f"{_OUT}, {_SIGNED}".split(", ")]
 
 
-def _rows(ids: list, hashes: list, texts: list[str], following: list[str], mh: MinHash) -> list[pa.Array]:
-    edited = [edited_text(t, f) for t, f in zip(texts, following, strict=True)]
-    own, other, after = mh.signatures(texts), mh.signatures(edited), mh.signatures(following)
-    sets = [np.unique(mh.shingles(t)) for t in texts]
+def _rows(ids: list, hashes: list, texts: list[str], mh: MinHash, following: list[str] | None = None) -> list[pa.Array]:
+    """Columns of texts beside those that follow them; without these, each text follows the one before it, and the last one only follows."""
+    (signed, count), n = mh.signed(texts), len(ids)
+    after = signed[1:] if following is None else mh.signatures(following)
+    own, signed = texts[:n], signed[:n]
+    edited = [edited_text(t, f) for t, f in zip(own, texts[1:] if following is None else following, strict=True)]
+    other = mh.signatures(edited)
     return [
-        pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+        pa.array(ids, pa.int64()), pa.array([len(t) for t in own], pa.int64()),
         pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
-        pa.array([r.astype(">u2").tobytes().hex() for r in own]), pa.array([r.astype(">u2").tobytes().hex() for r in other]),
-        pa.array(likeness(own, other), pa.float64()), pa.array(likeness(own, after), pa.float64()),
-        pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.binary()),
+        pa.array([r.astype(">u2").tobytes().hex() for r in signed]), pa.array([r.astype(">u2").tobytes().hex() for r in other]),
+        pa.array(likeness(signed, other), pa.float64()), pa.array(likeness(signed, after), pa.float64()),
+        pa.array(hashes, pa.int64()), pa.array(count[:n], pa.int64()), pa.array(SHINGLING.classes(own, [range(k) for k in count[:n]]), pa.binary()),
     ]
 
 
-def _packing(sample: list[str]):
-    """Compressor and decompressor of texts; the sample is their dictionary, as single texts are short."""
-    import zstandard
-
-    held = zstandard.ZstdCompressionDict("".join(sample).encode()[:100_000] or b"-", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=1, dict_data=held), zstandard.ZstdDecompressor(dict_data=held)
-
-
 def neighboured(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5) -> DataFrame:
-    """Per row: fingerprints of the text and of its edited text, likenesses, and the text's hash, number of shingles and class.
+    """Per row: fingerprints of the text and of its edited text, likenesses, and the text's hash, number of shingles and class. Written.
 
     The following document is the next by descending doc_id (null last, equal ids by
     a hash of the text); the last one's is the first. Texts are compressed, dealt out
@@ -97,10 +100,11 @@ def neighboured(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5)
     neighbours; one row a partition edge is stitched after, by the partitions' order.
     """
     rows = pick(df, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", text_hash(F.col("text")))
-    sample = [r["text"] for r in rows.select(F.substring("text", 1, 4000).alias("text")).limit(32).collect()]  # helps compression, nothing else
 
     def squeeze(batches):
-        c, _ = _packing(sample)
+        import zstandard
+
+        c = zstandard.ZstdCompressor(level=1)
         for b in (x.slice(a, 256) for x in batches for a in range(0, x.num_rows, 256)):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([c.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "th", "z"])
 
@@ -109,7 +113,9 @@ def neighboured(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5)
     dealt = z.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def run(batches):
-        _, d = _packing(sample)
+        import zstandard
+
+        d = zstandard.ZstdDecompressor()
         mh = MinHash(size, width)
         names, kinds = [*_NAMES, "part", "edge", "z"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.binary()]
 
@@ -129,7 +135,7 @@ def neighboured(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5)
                 if len(own) > 1:
                     ids, hashes, texts = map(list, zip(*own, strict=True))
                     n = len(own) - 1
-                    cols = _rows(ids[:-1], hashes[:-1], texts[:-1], texts[1:], mh)
+                    cols = _rows(ids[:-1], hashes[:-1], texts, mh)
                     yield pa.RecordBatch.from_arrays([*cols, pa.array([part] * n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], names)
                 last = own[-1]
         if last is not None:
@@ -145,9 +151,10 @@ def neighboured(df: DataFrame, ws: Workspace, *, size: int = 64, width: int = 5)
         mh = MinHash(size, width)
         for b in batches:
             ids, hashes, own, following = (b.column(i).to_pylist() for i in range(4))
-            yield pa.RecordBatch.from_arrays(_rows(ids, hashes, [t.decode() for t in own], [t.decode() for t in following], mh), _NAMES)
+            yield pa.RecordBatch.from_arrays(_rows(ids, hashes, [t.decode() for t in own], mh, [t.decode() for t in following]), _NAMES)
 
-    return made.filter("edge is null").select(*_NAMES).unionByName(tails.mapInArrow(lean(stitch), f"{_OUT}, {_SIGNED}"))
+    stitched = ws.write(tails.mapInArrow(lean(stitch), f"{_OUT}, {_SIGNED}"), "stitched")
+    return made.filter("edge is null").select(*_NAMES).unionByName(stitched)
 
 
 def _next_part(order: list[int]):
@@ -186,10 +193,9 @@ def with_neighbours(df: DataFrame, ws: Workspace, *, size: int = 64, width: int
     one row has itself as the following document; repeated rows each yield a row; an
     empty table yields none.
     """
-    made = ws.write(neighboured(df, ws, size=size, width=width), "neighboured")
-    ws.drop("fingerprints")
+    made = neighboured(df, ws, size=size, width=width)
     texts = pick(df, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     signed = bands(made.filter("cls is not null"), size, rows)
-    groups = class_components(texts, signed, ws, Shingling(width, lower=False), size=size // rows, matches=1, percent=percent)
+    groups = class_components(texts, signed, ws, replace(SHINGLING, width=width), size=size // rows, matches=1, percent=percent)
     group = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return made.join(groups, "cls", "left").select(*[c.split()[0] for c in _OUT.split(", ")], group.alias("near_group"))

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import WordHashes, Workspace, chunks, lean, many_shingles, words
+from .common import WordHashes, Workspace, chunks, lean, many_shingles, mix, rows_of, words
 
 #: Classes whose texts are fetched by a broadcast of their keys (16 bytes each); beyond, by a shuffle.
 BROADCAST_KEYS = 200_000
@@ -62,10 +62,11 @@ def lowered(text: str) -> str:
 
 @dataclass(frozen=True)
 class Shingling:
-    """How texts become sets: words a shingle, and whether A-Z count as a-z."""
+    """How texts become sets: words a shingle, and whether A-Z count as a-z; what makes a class: equal sets or equal texts."""
 
     width: int
     lower: bool = True
+    by_text: bool = False
 
     def of(self, texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Shingle hashes of all texts in a row, their counts, and the sorted distinct ones of each."""
@@ -74,6 +75,10 @@ class Shingling:
         return x, count, [np.unique(x[e - n : e]) for e, n in zip(ends, count, strict=True)]
 
 
+    def classes(self, texts: list[str], sets: list[np.ndarray]) -> list[bytes | None]:
+        return [class_of(np.frombuffer(t.encode(), np.uint8) if self.by_text else s) if len(s) else None for t, s in zip(texts, sets, strict=True)]
+
+
 def class_of(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
@@ -102,13 +107,6 @@ def _open(row: dict, kinds: dict) -> dict:
     return {k: np.frombuffer(row[k], d) if d != "S16" else np.frombuffer(row[k], np.void(16).dtype) for k, d in kinds.items()}
 
 
-def _rows(batches):
-    """Rows of Arrow batches, one at a time."""
-    for b in batches:
-        for i in range(b.num_rows):
-            yield b.slice(i, 1).to_pylist()[0]
-
-
 def _buckets(packs: DataFrame) -> int:
     total = packs.agg(F.sum("total")).first()[0] or 0
     return max(LEAST_BUCKETS, total // BUCKET_KEYS)
@@ -172,7 +170,7 @@ def _sender(made):
     """Packets of every packed row; `made` yields (keys, payload) of one."""
 
     def run(batches):
-        yield from exchange.emit(p for r in _rows(batches) for p in made(r))
+        yield from exchange.emit(p for r in rows_of(batches) for p in made(r))
 
     return lean(run)
 
@@ -189,7 +187,7 @@ def _post(packs: DataFrame, size: int, matches: int) -> DataFrame:
 
     def run(batches):
         p = _Packer(_POSTED)
-        for r in _rows(batches):
+        for r in rows_of(batches):
             x = _open(r, _PACK)
             own, place = np.unique(x["keys"], return_inverse=True)
             often = exchange.values(r["answers"], own, buckets, "<u4")[place].reshape(-1, size).astype(np.int64)
@@ -212,36 +210,33 @@ def _hold(posted: DataFrame, rows: DataFrame, shingling: Shingling) -> DataFrame
     """The packed classes in play with their full sets, each from the row that stands for its class."""
 
     def flat(batches):
-        for r in _rows(batches):
-            x = _open(r, {"id": "<i8", "th": "<i8", "cls": "S16"})
-            n = len(x["id"])
-            yield pa.RecordBatch.from_arrays([pa.array((r["batch"] << _SHIFT) + np.arange(n)), pa.array(x["id"]), pa.array(x["th"]), pa.array([r["cls"][16 * i : 16 * i + 16] for i in range(n)], pa.binary())], ["c", "_id", "_th", "cls"])
+        for r in rows_of(batches):
+            x = _open(r, {"id": "<i8", "th": "<i8"})
+            yield pa.RecordBatch.from_arrays([pa.array((r["batch"] << _SHIFT) + np.arange(len(x["id"]))), pa.array(x["id"]), pa.array(x["th"])], ["c", "_id", "_th"])
 
-    need = posted.select("batch", "id", "th", "cls").mapInArrow(lean(flat), "c bigint, _id bigint, _th bigint, cls binary")
+    need = posted.select("batch", "id", "th").mapInArrow(lean(flat), "c bigint, _id bigint, _th bigint")
     few = need.count() <= BROADCAST_KEYS
     texts = rows.select(F.coalesce("doc_id", F.lit(NONE)).alias("_id"), text_hash(F.col("text")).alias("_th"), "text")
-    asked = texts.join(F.broadcast(need) if few else need, ["_id", "_th"]).select("c", "cls", "text")
+    asked = texts.join(F.broadcast(need) if few else need, ["_id", "_th"]).select("c", "text")
 
     def sets(batches):
         hashes = WordHashes()
         for b in batches:
-            for at, texts in chunks(b.column(2), pa.array(range(b.num_rows))):
+            for c, texts in chunks(b.column(1), b.column(0)):
                 found = shingling.of(texts, hashes)[2]
-                own = b.column(1).take(pa.array(at)).to_pylist()
-                at = [(i, s) for i, s, c in zip(at, found, own, strict=True) if class_of(s) == c]
-                c = b.column(0).take(pa.array([i for i, _ in at], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([v >> _SHIFT for v in c.to_pylist()], pa.int64()), c, pa.array([s.tobytes() for _, s in at], pa.binary())], ["batch", "c", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([v >> _SHIFT for v in c], pa.int64()), pa.array(c, pa.int64()), pa.array(shingling.classes(texts, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["batch", "c", "cls", "shingles"])
 
-    made = asked.mapInArrow(lean(sets), "batch bigint, c bigint, shingles binary")
+    made = asked.mapInArrow(lean(sets), "batch bigint, c bigint, cls binary, shingles binary")
 
     def meet(packs: pa.Table, sets: pa.Table) -> pa.Table:
         r = packs.to_pylist()[0]
-        held = dict(zip(sets.column("c").to_pylist(), sets.column("shingles").to_pylist(), strict=True))
-        c = (r["batch"] << _SHIFT) + np.arange(len(r["n"]) // 8)
-        out = {"c": c, "shingles": b"".join(held[v] for v in c.tolist())} | {k: r[k] for k in ("id", "n", "keys", "posted", "lists")}
+        c = (r["batch"] << _SHIFT) + np.arange(len(r["id"]) // 8)
+        held = {v: s for v, k, s in zip(*(sets.column(x).to_pylist() for x in ("c", "cls", "shingles")), strict=True) if k == r["cls"][16 * (v % CLASSES) : 16 * (v % CLASSES) + 16]}
+        found = [held[v] for v in c.tolist()]
+        out = {"c": c, "n": np.array([len(s) // 8 for s in found], "<i8"), "shingles": b"".join(found)} | {k: r[k] for k in ("id", "keys", "posted", "lists")}
         return pa.Table.from_batches([_packed(r["batch"], len(out["shingles"]) // 8, _HELD, out)])
 
-    kinds = ("batch", "id", "n", "keys", "posted", "lists")
+    kinds = ("batch", "id", "cls", "keys", "posted", "lists")
     return posted.select(*kinds).groupBy("batch").cogroup(made.groupBy("batch")).applyInArrow(meet, _schema(_HELD))
 
 
@@ -260,7 +255,7 @@ def _know(held: DataFrame, percent: int) -> DataFrame:
     answers = exchange.ask(held.select("batch", "shingles").mapInArrow(_sender(made), exchange.PACKET), _sum_counts)
 
     def run(batches):
-        for r in _rows(batches):
+        for r in rows_of(batches):
             x = _open(r, _HELD)
             own, place = np.unique(x["shingles"], return_inverse=True)
             often = exchange.values(r["answers"], own, buckets, "<u4")[place]
@@ -319,7 +314,7 @@ def _star(known: DataFrame, percent: int) -> DataFrame:
     answers = exchange.ask(known.mapInArrow(_sender(made), exchange.PACKET), _least_pivot)
 
     def run(batches):
-        for r in _rows(batches):
+        for r in rows_of(batches):
             x, owner = spread(r)
             own, place = np.unique(x["posted"], return_inverse=True)
             p = exchange.values(r["answers"], own, buckets, _PIVOT)[place]
@@ -333,8 +328,6 @@ def _star(known: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    from .common import mix
-
     return mix(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -362,7 +355,7 @@ def _verified(asked: DataFrame, held: DataFrame, percent: int, matches: int) ->
     """Packed links (a, b, id of a, id of b) of the asked pairs that hold; in each block only those that join components."""
 
     def flat(batches):
-        for r in _rows(batches):
+        for r in rows_of(batches):
             x = _open(r, {k: _HELD[k] for k in ("c", "id", "n", "keys")})
             ends, size = np.cumsum(x["n"]) * 8, len(r["keys"]) // max(1, len(x["c"]))
             blobs = [r["shingles"][e - 8 * n : e] for e, n in zip(ends.tolist(), x["n"].tolist(), strict=True)]
@@ -453,7 +446,7 @@ def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
         return ws.write(links.select("edges").coalesce(1).mapInArrow(lean(run), ROOTS), name)
 
     def flat(batches):
-        for r in _rows(batches):
+        for r in rows_of(batches):
             e = np.frombuffer(r["edges"], "<i8").reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, i].copy()) for i in range(4)], ["a", "b", "id_a", "id_b"])
 
@@ -464,7 +457,7 @@ def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
     packed = rooted.join(least, "root").groupBy(F.shiftright("node", _SHIFT).alias("batch")).agg(F.collect_list(F.struct("node", "root", "id")).alias("x"))
 
     def pack(batches):
-        for r in _rows(batches):
+        for r in rows_of(batches):
             cols = [np.array([y[k] for y in r["x"]], "<i8").tobytes() for k in ("node", "root", "id")]
             yield pa.RecordBatch.from_arrays([pa.array([r["batch"]], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], ["batch", "nodes", "roots", "ids"])
 
@@ -497,7 +490,7 @@ _SPAN = np.dtype([("low", "<i8"), ("high", "<i8")])
 
 def _rooted(known: DataFrame, roots: DataFrame) -> DataFrame:
     def run(batches):
-        for r in _rows(batches):
+        for r in rows_of(batches):
             x = _open(r, {k: v for k, v in _KNOWN.items() if k != "shared"})
             root = x["c"].copy()
             if r["nodes"] is not None:
@@ -537,7 +530,7 @@ def _still_open(rooted: DataFrame) -> DataFrame:
     answers = exchange.ask(rooted.select("batch", "posted", "root", "lists").mapInArrow(_sender(made), exchange.PACKET), _spans)
 
     def run(batches):
-        for r in _rows(batches):
+        for r in rows_of(batches):
             x = _open(r, _ROOTED)
             own, place = np.unique(x["posted"], return_inverse=True)
             wide = exchange.bits(r["answers"], own, buckets)[place]
@@ -593,7 +586,7 @@ def _settle(opened: DataFrame) -> DataFrame:
     answers = exchange.ask(opened.filter("total > 0").mapInArrow(_sender(made), exchange.PACKET), _main_roots)
 
     def run(batches):
-        for r in _rows(batches):
+        for r in rows_of(batches):
             x, owner, pos, v, root, new = spread(r)
             m = exchange.values(r["answers"], v[new], buckets, _MAIN)[np.cumsum(new) - 1]
             salts = -(-m["members"] // SALT_MEMBERS)
@@ -631,8 +624,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def class_components(rows: DataFrame, signed: DataFrame, ws: Workspace, shingling: Shingling, *, size: int, matches: int, percent: int) -> DataFrame:
     """cls, component_id: for every class of the signed rows the least doc_id that links reach.
 
-    rows: doc_id, text (not null). signed: doc_id, th (`text_hash`), n_shingles, cls
-    (null without shingles), keys (`size` hashes). The id is null where no linked row
+    rows: doc_id, text (not null). signed: doc_id, th (`text_hash`), n_shingles (as many
+    or more), cls (null without shingles), keys (`size` hashes). The id is null where no linked row
     has one. Tables of the workspace are dropped as soon as nothing reads them.
     """
     packs = ws.write(_pack_classes(signed, size), "packs")
@@ -657,13 +650,13 @@ def class_components(rows: DataFrame, signed: DataFrame, ws: Workspace, shinglin
     ws.drop("held", "opened")
 
     def named(batches):
-        for r in _rows(batches):
+        for r in rows_of(batches):
             nodes, ids = np.frombuffer(r["nodes"], "<i8"), np.frombuffer(r["ids"], "<i8")
             cls = [r["cls"][16 * i : 16 * i + 16] for i in (nodes & (CLASSES - 1)).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(ids)], ["cls", "linked"])
 
     def alone(batches):
-        for r in _rows(batches):
+        for r in rows_of(batches):
             ids = np.frombuffer(r["id"], "<i8")
             yield pa.RecordBatch.from_arrays([pa.array([r["cls"][16 * i : 16 * i + 16] for i in range(len(ids))], pa.binary()), pa.array(ids)], ["cls", "id"])
 
