@@ -16,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WordHashes, Workspace, chunks, lean, mix, pick
+from .common import WORD_PATTERN, WordHashes, Workspace, chunks, lean, mix, pick
 from .linking import Shingling, class_components, class_of, text_hash
 
 
@@ -73,7 +72,7 @@ def _signed(rows: DataFrame, shingling: Shingling, size: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, ws: Workspace, *, width: int = 5, percent: int = 80, size: int = 24, miss: float = 1e-6) -> DataFrame:
-    """Per row: doc_id, n_shingles, class_id (hex, null without shingles), component_id, kept.
+    """Per row: doc_id, n_shingles, class_id (hex, null without shingles), component_id, kept, th (`text_hash`).
 
     `percent`: least Jaccard similarity of a link, in hundredths. component_id is the
     least doc_id that links reach, null ids left aside; kept marks rows whose doc_id it
@@ -86,11 +85,11 @@ def near_duplicates(df: DataFrame, ws: Workspace, *, width: int = 5, percent: in
     rows = pick(df, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     signed = ws.write(_signed(rows, shingling, size), "signed")
     ids = class_components(rows, signed, ws, shingling, size=size, matches=least_matches(size, percent / 100, miss), percent=percent)
-    out = signed.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
+    out = signed.select("doc_id", "n_shingles", "cls", "th").join(ids, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", F.hex("cls").alias("class_id"), component.alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.hex("cls").alias("class_id"), component.alias("component_id"), "th")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | F.col("class_id").isNull())
-    return out.withColumn("kept", kept)
+    return out.withColumn("kept", kept).select("doc_id", "n_shingles", "class_id", "component_id", "kept", "th")
 
 
 def deduplicated(df: DataFrame, ws: Workspace, *, width: int = 5, percent: int = 80, **options) -> DataFrame:
@@ -100,25 +99,16 @@ def deduplicated(df: DataFrame, ws: Workspace, *, width: int = 5, percent: int =
     one), of equal ids the row of the least class; repeated rows count once.
     """
     names = df.columns
-    found = near_duplicates(df, ws, width=width, percent=percent, **options)
+    found = ws.write(near_duplicates(df, ws, width=width, percent=percent, **options), "found")
     linked = found.filter("class_id is not null")
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("class "), F.col("class_id")))
-    stay = linked.groupBy(group.alias("g")).agg(F.min_by(F.struct("doc_id", "class_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "class_id")).alias("x"))
-    stay = stay.select(F.col("x.doc_id").alias("_id"), F.col("x.class_id").alias("_class")).distinct()
+    stay = linked.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "class_id", "th")).alias("x"))
+    stay = stay.select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_kept")).distinct()
     place, at = names.index("text"), names.index("doc_id")
     plain = df.toDF(*[f"_{i}" for i in range(len(names))])
-    schema = T.StructType([*plain.schema.fields, T.StructField("_class", T.StringType())])
-
-    shingling = Shingling(width)
-
-    def classed(batches):
-        hashes = WordHashes()
-        for b in batches:
-            sets = (class_of(s) for _, ts in chunks(b.column(place)) for s in shingling.of(ts, hashes)[2])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if c is None else c.hex().upper() for c in sets], pa.string())], schema.names)
-
-    rows = plain.mapInArrow(lean(classed), schema)
-    once = linked.groupBy("doc_id", "class_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() == 0
-    met = rows.filter("_class is not null").join(stay.withColumnRenamed("_class", "_kept"), F.col(f"_{at}").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_kept")), "left_semi")
-    met = met if once else met.dropDuplicates([f"_{at}", "_class"])
-    return met.unionAll(rows.filter("_class is null")).drop("_class").toDF(*names)
+    text = F.coalesce(F.col(f"_{place}"), F.lit(""))
+    rows = plain.withColumn("_th", F.when(text.rlike(WORD_PATTERN), text_hash(text)))
+    once = linked.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() == 0
+    met = rows.filter("_th is not null").join(stay, F.col(f"_{at}").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_kept")), "left_semi")
+    met = met if once else met.dropDuplicates([f"_{at}", "_th"])
+    return met.unionAll(rows.filter("_th is null")).drop("_th").toDF(*names)
