@@ -26,7 +26,8 @@ from .common import WORD_PATTERN, Workspace, pick
 
 UNIT = 1 << 20
 OFFSETS = 64
-SALTS = 64
+#: Salts of a (source, size) cell: these, or one for so many documents of the table.
+SALTS, SALT_ROWS = 64, 250_000
 SIZE_BLOCK = 256
 #: Halvings after the Newton steps: more than a bracket of doubles rounded to 9 places has.
 HALVINGS = 100
@@ -122,10 +123,11 @@ def mix(df: DataFrame, ws: Workspace, *, weights: tuple[int, ...] = (5, 2, 1), s
     rounding, whichever of them that is. An empty table yields no row.
     """
     carry = carry or {}
+    salts = max(SALTS, df.count() // SALT_ROWS)
     rows = pick(df, **{"doc_id": "bigint", "text": "string", "source": "string"} | carry)
     rows = rows.withColumn("size", word_count(F.col("text")))
     rows = rows.select("doc_id", "source", "size", *[c for c in carry if c not in ("doc_id", "source")])
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     if not carry:
         rows = ws.write(rows, "sized")
     fine = ws.write(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "fine")
@@ -167,10 +169,12 @@ def mix(df: DataFrame, ws: Workspace, *, weights: tuple[int, ...] = (5, 2, 1), s
     sub = sub.withColumn("at", F.col("start") + earlier * F.col("part"))
     u = (F.col("o") * (UNIT // OFFSETS)).cast("decimal(38,0)")
     sub = sub.withColumn("extra", passed(F.col("at") + F.col("n") * F.col("part"), u) - passed(F.col("at"), u))
-    sub = sub.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("salt").alias("_salt"), "rate", "whole", "extra", "target", "source_size")
-    sub = ws.write(sub, "sub")
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")))
-    out = ranked.join(sub, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("salt") == F.col("_salt")))
+    # The same four columns deal both sides, and the ranks: the documents' rows move once.
+    keyed = lambda x: x.withColumns({"_none": F.col("source").isNull(), "_source": F.coalesce("source", F.lit("")), "_size": F.col("size"), "_salt": F.col("salt")})
+    key = ["_none", "_source", "_size", "_salt"]
+    sub = ws.write(keyed(sub).select(*key, "rate", "whole", "extra", "target", "source_size"), "sub")
+    ranked = keyed(rows).withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")))
+    out = ranked.join(sub.hint("merge"), key).drop(*key)
     out = out.withColumn("copies", (F.col("whole") + F.when(F.col("place") <= F.col("extra"), 1).otherwise(0)).cast("bigint"))
     keep = [c for c in carry if c not in ("doc_id",)]
     return out.select("doc_id", *keep, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
