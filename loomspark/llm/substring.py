@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import WordHashes, Workspace, lean, mix, pick, words
+from .common import WordHashes, Workspace, lean, mix, pick, rows_of, words
 
 FAR = 1 << 40
 NULL_ID = (1 << 63) - 1
@@ -229,11 +229,10 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
         hashes = WordHashes()
 
         def made():
-            for b in batches:
-                for batch, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    seq = Sequence(unsqueeze(z)[1], hashes)
-                    keys, two, *_ = _symbol_keys(seq, width, rounds)
-                    yield from exchange.packets(batch, keys, two, buckets)
+            for r in rows_of(batches):
+                seq = Sequence(unsqueeze(r["z"])[1], hashes)
+                keys, two, *_ = _symbol_keys(seq, width, rounds)
+                yield from exchange.packets(r["batch"], keys, two, buckets)
 
         yield from exchange.emit(made())
 
@@ -248,24 +247,23 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
 
     def screened(batches):
         hashes = WordHashes()
-        for b in batches:
-            for r in b.to_pylist():
-                ids, texts = unsqueeze(r["z"])
-                seq = Sequence(texts, hashes)
-                keys, _, place, low, high = _symbol_keys(seq, width, rounds)
-                unique = ~exchange.bits(r["answers"], keys, buckets)[place]
-                at = _candidates(seq, unique, low, high, width)
-                has = np.zeros(len(ids), bool)
-                has[seq.doc[at]] = True
-                done = [(*row(ids[i], seq, i, None), None, None, None) for i in np.nonzero(~has)[0]]
-                if has.any():
-                    left = np.nonzero(has)[0]
-                    bits = np.zeros(len(seq.h), bool)
-                    bits[at] = True
-                    bits = np.concatenate([bits[seq.starts[i] : seq.ends[i]] for i in left])
-                    z = squeeze([int(x) for x in ids[left]], [texts[i] for i in left])
-                    done.append((None,) * 5 + (r["batch"], z, np.packbits(bits).tobytes()))
-                yield exchange.record(done, [*names, "batch", "z", "bits"], [*kinds, pa.int64(), pa.binary(), pa.binary()])
+        for r in rows_of(batches):
+            ids, texts = unsqueeze(r["z"])
+            seq = Sequence(texts, hashes)
+            keys, _, place, low, high = _symbol_keys(seq, width, rounds)
+            unique = ~exchange.bits(r["answers"], keys, buckets)[place]
+            at = _candidates(seq, unique, low, high, width)
+            has = np.zeros(len(ids), bool)
+            has[seq.doc[at]] = True
+            done = [(*row(ids[i], seq, i, None), None, None, None) for i in np.nonzero(~has)[0]]
+            if has.any():
+                left = np.nonzero(has)[0]
+                bits = np.zeros(len(seq.h), bool)
+                bits[at] = True
+                bits = np.concatenate([bits[seq.starts[i] : seq.ends[i]] for i in left])
+                z = squeeze([int(x) for x in ids[left]], [texts[i] for i in left])
+                done.append((None,) * 5 + (r["batch"], z, np.packbits(bits).tobytes()))
+            yield exchange.record(done, [*names, "batch", "z", "bits"], [*kinds, pa.int64(), pa.binary(), pa.binary()])
 
     met = raw.select("batch", "z").join(shared, "batch", "left")
     screen = ws.write(met.mapInArrow(lean(screened), result + ", batch bigint, z binary, bits binary"), "screened")
@@ -282,10 +280,9 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
         hashes = WordHashes()
 
         def made():
-            for b in batches:
-                for r in b.to_pylist():
-                    *_, keys, least, _, _ = opened(r, hashes)
-                    yield from exchange.packets(r["batch"], keys, least, buckets)
+            for r in rows_of(batches):
+                *_, keys, least, _, _ = opened(r, hashes)
+                yield from exchange.packets(r["batch"], keys, least, buckets)
 
         yield from exchange.emit(made())
 
@@ -293,11 +290,10 @@ def dedup(df: DataFrame, ws: Workspace, *, width: int = 50, rounds: int = 7, bat
 
     def judged(batches):
         hashes = WordHashes()
-        for b in batches:
-            for r in b.to_pylist():
-                ids, seq, at, keys, least, place, own = opened(r, hashes)
-                gone = _covered(seq, at[exchange.bits(r["answers"], keys, buckets)[place] | (own > least[place])], width)
-                yield exchange.record([row(ids[i], seq, i, gone) for i in range(len(ids))], names, kinds)
+        for r in rows_of(batches):
+            ids, seq, at, keys, least, place, own = opened(r, hashes)
+            gone = _covered(seq, at[exchange.bits(r["answers"], keys, buckets)[place] | (own > least[place])], width)
+            yield exchange.record([row(ids[i], seq, i, gone) for i in range(len(ids))], names, kinds)
 
     checked = left.join(first, "batch", "left").mapInArrow(lean(judged), result)
     out = screen.filter("batch is null").select(*names).unionByName(checked)

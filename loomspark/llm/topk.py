@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, lean, pick
+from .common import Workspace, lean, pick, rows_of
 
 EXACT = float(1 << 53)
 
@@ -154,16 +154,15 @@ def top_k(df: DataFrame, is_query: Column, ws: Workspace, *, k: int = 5, bits: i
         def run(batches):
             q, q_ids, q_x = shared.value
             best: list[list] = [[] for _ in q]
-            for batch in batches:
-                for at in range(batch.num_rows):
-                    ids, x, cells = _opened(batch.slice(at, 1).to_pylist()[0])
-                    width = max(x.shape[1], q_x.shape[1])
-                    y = np.pad(q_x, ((0, 0), (0, width - q_x.shape[1])))
-                    if width > x.shape[1]:
-                        x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-                        cells = Cells.of(x, bits)
-                    for j in range(len(q)):
-                        best[j] = search_block(cells, x, ids, y[j], q_ids[j], k, best[j])[0]
+            for r in rows_of(batches):
+                ids, x, cells = _opened(r)
+                width = max(x.shape[1], q_x.shape[1])
+                y = np.pad(q_x, ((0, 0), (0, width - q_x.shape[1])))
+                if width > x.shape[1]:
+                    x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+                    cells = Cells.of(x, bits)
+                for j in range(len(q)):
+                    best[j] = search_block(cells, x, ids, y[j], q_ids[j], k, best[j])[0]
             out = [(q[j], int(q_ids[j]), i, -s) for j, b in enumerate(best) for s, i in b]
             for a in range(0, len(out), 10_000):
                 cols = list(zip(*out[a : a + 10_000], strict=True))
