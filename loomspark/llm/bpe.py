@@ -10,7 +10,8 @@ one encoding of the joined bytes), which makes encodings a monoid and the shape
 of the tree irrelevant. Decoding concatenates up the tree.
 
 A text's pieces never interact, so a text's encoding is the plain concatenation
-of theirs. Pieces recur; each worker remembers a bounded number.
+of theirs. Pieces, short subtrees and pairs of tokens recur; each worker remembers a
+bounded number of each.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ class TreeBpe:
         self.ranks, self.leaf, self.remembered = ranks, leaf, remembered
         self.split = regex.compile(pattern).findall
         self.tokens = {v: k for k, v in ranks.items()}
-        self._holds: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[tuple[int, int], list[int] | None] = {}
+        self._short: dict[bytes, list[int]] = {}
         self.known = _Known(self)
 
     def merge(self, data: bytes) -> list[int]:
@@ -53,31 +55,43 @@ class TreeBpe:
                 cost[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
         return [ranks[p] for p in parts]
 
+    def pair(self, a: int, b: int) -> list[int] | None:
+        """The encoding of two adjacent tokens' bytes, or None where that is the two."""
+        known = self._pairs.get((a, b), 0)
+        if known == 0:
+            if len(self._pairs) >= self.remembered // 2:
+                self._pairs.clear()
+            ids = self.merge(self.tokens[a] + self.tokens[b])
+            known = self._pairs[a, b] = None if ids == [a, b] else ids
+        return known
+
     def holds(self, a: int, b: int) -> bool:
         """Whether two adjacent tokens are the encoding of their bytes."""
-        known = self._holds.get((a, b))
-        if known is None:
-            if len(self._holds) > 200_000:
-                self._holds.clear()
-            known = self._holds[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-        return known
+        return self.pair(a, b) is None
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        if not left or not right or self.holds(left[-1], right[0]):
+        if not left or not right or (window := self.pair(left[-1], right[0])) is None:
             return left + right
-        k = 2
+        k = 1
         while True:
             a, b = max(0, len(left) - k), min(len(right), k)
-            window = self.merge(b"".join(map(self.tokens.__getitem__, left[a:] + right[:b])))
+            if k > 1:
+                window = self.merge(b"".join(map(self.tokens.__getitem__, left[a:] + right[:b])))
             if (not a or self.holds(left[a - 1], window[0])) and (b == len(right) or self.holds(window[-1], right[b])):
                 return left[:a] + window + right[b:]
             k *= 2
 
     def tree(self, data: bytes) -> list[int]:
-        if len(data) <= self.leaf:
-            return self.merge(data)
-        half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        """Ids of bytes; those of short subtrees are remembered, as pieces share their halves."""
+        ids = self._short.get(data)
+        if ids is None:
+            half = len(data) // 2
+            ids = self.merge(data) if len(data) <= self.leaf else self.join(self.tree(data[:half]), self.tree(data[half:]))
+            if len(data) <= 3 * self.leaf:
+                if len(self._short) >= self.remembered // 2:
+                    self._short.clear()
+                self._short[data] = ids
+        return ids
 
     def piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
