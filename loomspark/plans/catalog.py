@@ -812,3 +812,45 @@ def bootstrap_summary(spark, sf_dir):
     present = _table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") % 2 == 0, "Basic").otherwise("Table").alias("model_name"))
     return models.bootstrap(models.starter_models(spark), present).select(F.array_join("created", ",").alias("created"), F.array_join("already_present", ",").alias("already_present"))
 
+
+@query("""SELECT r_name, ['A: unknown shape odd', 'A: unknown keys [''more'']', 'A: missing key fields', 'A: cutoffs must be whole numbers', NULL][1 + r_regionkey % 5] AS error FROM region""")
+def shape_faults(spark, sf_dir):
+    given = ({"shape": "odd", "fields": {}}, {"shape": "cloze", "fields": {}, "more": 1}, {"shape": "cloze"}, {"shape": "cloze", "fields": {}, "cutoffs": {"x": True}}, {"shape": "cloze", "fields": {}, "cutoffs": {"x": 1}})
+
+    def fault(shape: dict) -> str | None:
+        try:
+            readers.shapes_from({"A": shape})
+        except ConfigError as e:
+            return str(e)
+
+    return _table(spark, sf_dir, "region").select("r_name", _pick([fault(g) for g in given], F.col("r_regionkey") % 5).cast("string").alias("error"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN 4 ELSE greatest(1, (n_nationkey - 1) // 2) END AS width FROM nation")
+def call_widths(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", _pick([classify.width(n) for n in range(25)], F.col("n_nationkey")).alias("width"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'run-1' ELSE lower(p_type) || ',run-1' END AS tags FROM part")
+def tagged_cards(spark, sf_dir):
+    cards = _cards(spark, sf_dir).drop("tags")
+    said = F.to_json(F.struct(F.array(F.col("p_type")).alias("tags")))
+    replies = _table(spark, sf_dir, "part").filter("p_partkey % 3 <> 0").select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("source_id"), F.lit(0).alias("chunk_ord"), F.lit(0).alias("row_ord"), said.alias("tag_raw"))
+    return tagging.tagged(cards, replies, "run-1").select("p_partkey", F.array_join("tags", ",").alias("tags"))
+
+
+def _tag_model(prompt: str) -> str:
+    name = prompt.split("Front: ", 1)[1].split("\n", 1)[0]
+    return '{"tags": ["t%d", "known"]}' % len(name) if "\n- " in prompt else "no tags"
+
+
+@query("SELECT p_partkey, 't' || length(p_name) || ',known' AS tags FROM part")
+def model_tags(spark, sf_dir):
+    cards = _cards(spark, sf_dir).drop("tags")
+    replies = runs.tag_with_model(_vocabulary(spark, sf_dir), _tag_model)(cards)
+    return tagging.tagged(cards, replies).select("p_partkey", F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT event_id, 'run-' || strftime(ts, '%Y%m%d-%H%M%S') AS tag FROM events")
+def batch_tags(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", X.batch_tag(F.col("ts"), "run").alias("tag"))
