@@ -238,7 +238,7 @@ def test_a_span_is_found_at_every_offset(tagger):
     """Between the same words a span is found wherever it stands to the seams of windows, and whole."""
     finder, words_ = pii.Finder(tagger), "the words of a text go on "
     put = "(555) 555-0123"
-    texts = [f"{(words_ * 40)[:300 + k]} {put} {words_ * 30}" for k in range(4 * finder.width)]
+    texts = [f"{(words_ * 60)[:300 + k]} {put} {words_ * 30}" for k in range(4 * finder.width)]
     found = [put in [t[a:b] for a, _, b in added] for t, (_, added) in zip(texts, finder.spans(texts), strict=True)]
     assert np.mean(found) > 0.9
     assert all(found[k] == found[k % len(words_)] for k in range(len(texts)))
@@ -470,6 +470,19 @@ def test_mixing_halves_to_the_target(spark):
     assert abs(sum(r.taken for r in got) - got[0].target) <= 0.005 * got[0].target
 
 
+def test_mixing_beyond_the_bounds(spark, monkeypatch):
+    """Many sources join by a shuffle, and large cells have more salts: the same targets, taken as closely."""
+    rows = [(i, "w " * (i % 7 + 1), ["a", "b", None, "c"][i % 4]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    summed = lambda: sorted(map(str, mixing.mix(df, Workspace(spark)).groupBy("source_size", "target").sum("taken").collect()))
+    before = summed()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert summed() == before
+    monkeypatch.setattr(mixing, "SALT_ROWS", 10)
+    got = mixing.mix(df, Workspace(spark)).groupBy("target").sum("taken").collect()
+    assert all(abs(r[1] - r[0]) <= max(3, 0.005 * r[0]) for r in got) and len(got) >= 3
+
+
 def test_mixing_of_few(spark):
     assert mixing.mix(docs(spark, {1: "a"}).filter("false"), Workspace(spark)).count() == 0
     assert [r.taken for r in mixing.mix(docs(spark, {1: None, 2: ""}, ["s", "s"]), Workspace(spark)).collect()] == [0, 0]
@@ -495,7 +508,8 @@ def test_mixed_rows(spark):
 
 def test_pipeline(spark, sf_dir, tiktoken_):
     pipeline = pytest.importorskip("corpus_pipeline")
-    from loomspark.llm import neardup
+    from test_searches import brute_near
+
     from loomspark.llm.common import table
 
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "near_dedup", "personal_data", "source_mix", "bpe"]
@@ -509,15 +523,31 @@ def test_pipeline(spark, sf_dir, tiktoken_):
     assert all(x.columns == start.columns for x in seen[:4])
     scores = {r.doc_id: r.predicted for r in toxicity.classify(start, table(spark, sf_dir, "labels")).collect()}
     assert {r.doc_id for r in clean.collect()} == {i for i, p in scores.items() if not p}
-    near = neardup.near_duplicates(clean, Workspace(spark))
-    assert {r.doc_id for r in alone.collect()} == {r.doc_id for r in near.filter("kept").collect()}
-    assert alone.count() == red.count() and not any(brute_pii(r.text) for r in red.filter("text like '%@%'").collect() if "<email>" not in r.text)
+    pairs = [(r.doc_id, r.text) for r in clean.collect()]
+    assert {r.doc_id for r in alone.collect()} == {i for i, _, c in brute_near(pairs, 5, 80) if c == i}
+    assert alone.count() == red.count() and not any(brute_pii(r.text) for r in red.collect())
+    sizes, taken = {}, {}
+    for r in red.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(words(r.text))
+    for r in mix.collect():
+        taken[r.source] = taken.get(r.source, 0) + len(words(r.text))
+    most = max(len(words(r.text)) for r in red.collect())
+    assert all(abs(taken.get(x, 0) - t) <= max(most, 0.01 * t) for x, t in brute_targets(sizes).items())
+    assert {r.text for r in mix.collect()} <= {r.text for r in red.collect()}
     rows = {r.doc_id: r for r in mix.collect()}
     assert ids.count() == mix.count()
     for r in ids.collect()[:50]:
         assert r.n_tokens == len(tiktoken_.encode_ordinary(rows[r.doc_id].text))
 
 
+def test_pipeline_of_none(spark, tmp_path):
+    """Tables without rows pass all stages."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs(spark, {1: "a"}).filter("false").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_entry_without_the_package(tmp_path):
     """The entry points import, and list the engine's queries, where the package and the pipeline are gone."""
     import shutil
